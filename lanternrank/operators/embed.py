@@ -38,7 +38,7 @@ class Encoder:
 
 
 _REGISTRY: dict[str, Encoder] = {}
-_LOADED: dict[str, Callable] = {}
+_LOADED: dict[str, Callable] = {}  # per Python worker
 
 
 def register_encoder(encoder: Encoder) -> Encoder:
@@ -61,6 +61,13 @@ def instructed(name: str, load: Callable, batch_size: int = 256) -> Encoder:
     return Encoder(name, load, instruct, batch_size)
 
 
+def _loaded(name: str, load: Callable[[], Callable]) -> Callable:
+    """The model of this worker; found by module name, so tasks share it."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
 def _float_lists(rows: list[np.ndarray | None]) -> pa.Array:
     return pa.array(rows, pa.list_(pa.float32()))
 
@@ -78,9 +85,7 @@ def embed(
     name, load, size = model.name, model.load, model.batch_size
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if name not in _LOADED:
-            _LOADED[name] = load()
-        run = _LOADED[name]
+        run = _loaded(name, load)
         for batch in batches:
             texts = batch.to_pylist()
             real = [i for i, text in enumerate(texts) if text is not None]
@@ -94,7 +99,6 @@ def embed(
 
     # Declared nondeterministic so that a model never runs twice on a row,
     # e.g. because a filter on its result was moved below it.
-    encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     run_model = F.arrow_udf(encode, "array<float>").asNondeterministic()
     text = F.col(text_col)
     if role == "query" and model.prompt is not None:
@@ -173,7 +177,6 @@ def embed_remote(
                 ["embedding", "error"],
             )
 
-    request.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     ask = F.arrow_udf(request, "embedding array<float>, error string").asNondeterministic()
     if max_parallel is not None:
         df = df.repartition(max_parallel)
