@@ -13,9 +13,10 @@ def fit_tokens(tokens: Column, max_length: int, eos: Column, pad: Column) -> Col
     """The first ``max_length - 1`` tokens, then ``eos``, then ``pad`` to length."""
     if max_length < 1:
         raise ValueError("max_length must be at least 1")
-    kept = F.slice(tokens, 1, max_length - 1)
-    padding = F.array_repeat(pad, F.lit(max_length - 1) - F.size(kept))
-    return F.concat(kept, F.array(eos), padding)
+    # Padded in full and cut, so that the tokens are computed once.
+    padding = F.array_repeat(pad, max_length - 1)
+    row = F.concat(F.slice(tokens, 1, max_length - 1), F.array(eos), padding)
+    return F.slice(row, 1, max_length)
 
 
 def attention_mask(tokens: Column, pad: Column) -> Column:

@@ -1,8 +1,11 @@
 """NumPy work on one block of queries and the candidates streaming past it.
 
-Scores are cosines in double precision, rounded to nine places and kept as
-integers (``ticks``), so that equal scores compare equal on every machine.
-Order is by score, best first, then by id.
+A score is a cosine in double precision. It is compared after rounding to nine
+places, as a whole number of *ticks*, so that equal scores are equal on every
+machine. Order is by score, best first, then by id.
+
+Most pairs are settled by one comparison with a bound per query; only scores
+near or above the bound are rounded and looked at singly.
 """
 
 from __future__ import annotations
@@ -16,9 +19,10 @@ import pyarrow.compute as pc
 from lanternrank.operators.sweep import GROUP, Kernel
 
 TICKS_PER_UNIT = 10**9
-_LOW = -(1 << 62)  # below every score, and safe to negate
-_HIGH = (1 << 63) - 1
-_ROWS, _COLUMNS = 1024, 4096  # one tile of the score matrix: 32 MiB
+_NO_ID = (1 << 63) - 1
+_ROWS, _COLUMNS = 256, 1024     # one tile of the score matrix: 2 MiB, stays in cache
+_PENDING = 1 << 18              # candidates gathered before a top-k list is updated
+_OUT_ROWS = 1 << 16             # rows per result batch
 
 
 def unit_vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -34,30 +38,35 @@ def integers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(False)
 
 
-def score_ticks(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    return np.rint(queries @ candidates.T * TICKS_PER_UNIT).astype(np.int64)
+def _positions(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the true entries; faster than a 2-D nonzero."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
 
 
 class _Scoring(Kernel):
     def start(self, resident: pa.Table) -> None:
         self.group = resident[GROUP][0].as_py()
         self.ids = integers(resident["id"])
-        self.vectors = unit_vectors(resident["embedding"])
+        self.vectors = unit_vectors(resident["embedding"]) * TICKS_PER_UNIT
+        self._tile = np.empty(_ROWS * _COLUMNS)
 
     def tiles(self, part: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-        """Tiles of the score matrix: query slice, candidate positions, ids, ticks.
-
-        Candidates come in id order, so the first of several equals wins a tie.
+        """Tiles of scores in ticks, not yet rounded: query slice, candidate
+        positions, ids, scores. Candidates come in id order; the scores are
+        overwritten by the next tile.
         """
         ids = integers(part.column("id"))
         vectors = unit_vectors(part.column("embedding"))
         by_id = np.argsort(ids)
         for lo in range(0, len(ids), _COLUMNS):
             where = by_id[lo : lo + _COLUMNS]
-            block = vectors[where]
+            block = vectors[where].T
             for top in range(0, len(self.ids), _ROWS):
                 rows = slice(top, min(top + _ROWS, len(self.ids)))
-                yield rows, where, ids[where], score_ticks(self.vectors[rows], block)
+                shape = (rows.stop - top, len(where))
+                scores = self._tile[: shape[0] * shape[1]].reshape(shape)
+                np.matmul(self.vectors[rows], block, out=scores)
+                yield rows, where, ids[where], scores
 
     def batch(self, rows: int, **columns: np.ndarray) -> pa.RecordBatch:
         group = pa.array([self.group] * rows, pa.string())
@@ -70,6 +79,7 @@ class TopK(_Scoring):
     """The k best candidates of every query."""
 
     SCHEMA = f"{GROUP} string, query_id bigint, passage_id bigint, ticks bigint"
+    BYTES_PER_K = 40  # of state per query, gathered candidates included
 
     def __init__(self, k: int) -> None:
         super().__init__()
@@ -77,54 +87,60 @@ class TopK(_Scoring):
 
     def start(self, resident: pa.Table) -> None:
         super().start(resident)
-        shape = (len(self.ids), self.k)
-        self.best = np.full(shape, _LOW)
-        self.best_ids = np.full(shape, _HIGH)
+        n = len(self.ids)
+        self.best = np.full((n, self.k), -np.inf)
+        self.best_ids = np.full((n, self.k), _NO_ID)
+        self.worst = np.full(n, -np.inf)     # score and id of the k-th best
+        self.worst_id = np.full(n, _NO_ID)
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_pending = 0
 
     def feed(self, part: pa.RecordBatch) -> None:
-        for rows, _, ids, ticks in self.tiles(part):
-            last, last_id = self.best[rows, -1:], self.best_ids[rows, -1:]
-            better = (ticks > last) | ((ticks == last) & (ids < last_id))
-            if ticks.shape[1] > self.k:
-                better &= self._within_tile(ticks, better)
-            self._merge(rows.start, better, ids, ticks)
-
-    def _within_tile(self, ticks: np.ndarray, better: np.ndarray) -> np.ndarray:
-        """True for the k best of a tile's row; equals are kept in id order."""
-        keep = np.ones_like(better)
-        crowded = np.flatnonzero(better.sum(axis=1) > self.k)
-        if len(crowded):
-            some = ticks[crowded]
-            cut = np.partition(some, -self.k, axis=1)[:, -self.k][:, None]
-            above, equal = some > cut, some == cut
-            room = self.k - above.sum(axis=1, keepdims=True)
-            keep[crowded] = above | (equal & (np.cumsum(equal, axis=1) <= room))
-        return keep
-
-    def _merge(self, first: int, better: np.ndarray, ids: np.ndarray, ticks: np.ndarray) -> None:
-        row, col = np.nonzero(better)
-        if not len(row):
+        for rows, _, ids, scores in self.tiles(part):
+            row, col = _positions(scores >= self.worst[rows, None] - 0.5)
+            if not len(row):
+                continue
+            ticks, found = np.rint(scores[row, col]), ids[col]
+            row += rows.start
+            worst = self.worst[row]
+            better = (ticks > worst) | ((ticks == worst) & (found < self.worst_id[row]))
+            self.pending.append((row[better], ticks[better], found[better]))
+            self.n_pending += int(better.sum())
+            if self.n_pending > max(_PENDING, self.best.size):
+                self.settle()
+
+    def settle(self) -> None:
+        """Merge what was gathered into the lists."""
+        if not self.pending:
             return
-        touched, row = np.unique(row, return_inverse=True)
-        mine = touched + first
-        all_rows = np.concatenate([np.repeat(np.arange(len(touched)), self.k), row])
-        all_ticks = np.concatenate([self.best[mine].ravel(), ticks[touched[row], col]])
-        all_ids = np.concatenate([self.best_ids[mine].ravel(), ids[col]])
-        order = np.lexsort((all_ids, -all_ticks, all_rows))
-        starts = np.searchsorted(all_rows[order], np.arange(len(touched)))
-        winners = order[starts[:, None] + np.arange(self.k)]
-        self.best[mine] = all_ticks[winners]
-        self.best_ids[mine] = all_ids[winners]
+        row, ticks, ids = (np.concatenate(x) for x in zip(*self.pending))
+        self.pending, self.n_pending = [], 0
+        order = np.argsort(row, kind="stable")
+        row, ticks, ids = row[order], ticks[order], ids[order]
+        touched, starts = np.unique(row, return_index=True)
+        for q, lo, hi in zip(touched, starts, [*starts[1:], len(row)]):
+            t = np.concatenate([self.best[q], ticks[lo:hi]])
+            i = np.concatenate([self.best_ids[q], ids[lo:hi]])
+            cut = np.partition(t, -self.k)[-self.k]
+            above, equal = np.flatnonzero(t > cut), np.flatnonzero(t == cut)
+            room = self.k - len(above)
+            if room < len(equal):
+                equal = equal[np.argpartition(i[equal], room - 1)[:room]]
+            chosen = np.concatenate([above, equal])
+            self.best[q], self.best_ids[q] = t[chosen], i[chosen]
+            self.worst[q], self.worst_id[q] = cut, i[equal].max()
 
     def finish(self) -> Iterator[pa.RecordBatch]:
-        for top in range(0, len(self.ids), _ROWS):
-            found = self.best[top : top + _ROWS] > _LOW
-            owner = np.repeat(self.ids[top : top + _ROWS], found.sum(axis=1))
+        self.settle()
+        step = max(1, _OUT_ROWS // self.k)
+        for top in range(0, len(self.ids), step):
+            found = self.best[top : top + step] > -np.inf
+            owner = np.repeat(self.ids[top : top + step], found.sum(axis=1))
             yield self.batch(
                 len(owner),
                 query_id=owner,
-                passage_id=self.best_ids[top : top + _ROWS][found],
-                ticks=self.best[top : top + _ROWS][found],
+                passage_id=self.best_ids[top : top + step][found],
+                ticks=self.best[top : top + step][found].astype(np.int64),
             )
 
 
@@ -137,29 +153,30 @@ class BestMatch(_Scoring):
         super().start(resident)
         self.keys = pc.unique(resident["key"])
         self.codes = integers(pc.index_in(resident["key"], self.keys))
-        self.best = np.full(len(self.ids), _LOW)
-        self.best_ids = np.full(len(self.ids), _HIGH)
+        self.best = np.full(len(self.ids), -np.inf)
+        self.best_ids = np.full(len(self.ids), _NO_ID)
 
     def feed(self, part: pa.RecordBatch) -> None:
         part = part.filter(pc.is_in(part.column("key"), self.keys))
         if part.num_rows == 0:
             return
         codes = integers(pc.index_in(part.column("key"), self.keys))
-        for rows, where, ids, ticks in self.tiles(part):
-            ticks[self.codes[rows][:, None] != codes[where]] = _LOW
-            first = ticks.argmax(axis=1)
-            score, chosen = ticks[np.arange(len(first)), first], ids[first]
+        for rows, where, ids, scores in self.tiles(part):
+            scores[self.codes[rows, None] != codes[where]] = -np.inf
+            np.rint(scores, out=scores)
+            first = scores.argmax(axis=1)  # of equals, the lowest id
+            ticks, chosen = scores[np.arange(len(first)), first], ids[first]
             best, best_ids = self.best[rows], self.best_ids[rows]
-            won = (score > best) | ((score == best) & (score > _LOW) & (chosen < best_ids))
-            best[won], best_ids[won] = score[won], chosen[won]
+            won = (ticks > best) | ((ticks == best) & np.isfinite(ticks) & (chosen < best_ids))
+            best[won], best_ids[won] = ticks[won], chosen[won]
 
     def finish(self) -> Iterator[pa.RecordBatch]:
-        found = self.best > _LOW
+        found = np.isfinite(self.best)
         yield self.batch(
             int(found.sum()),
             query_id=self.ids[found],
             gold_id=self.best_ids[found],
-            gold_ticks=self.best[found],
+            gold_ticks=self.best[found].astype(np.int64),
         )
 
 
@@ -170,16 +187,21 @@ class CountAhead(_Scoring):
 
     def start(self, resident: pa.Table) -> None:
         super().start(resident)
-        self.gold = integers(resident["gold_ticks"])[:, None]
-        self.gold_ids = integers(resident["gold_id"])[:, None]
+        self.gold = integers(resident["gold_ticks"]).astype(np.float64)
+        self.gold_ids = integers(resident["gold_id"])
         self.ahead = np.zeros(len(self.ids), np.int64)
 
     def feed(self, part: pa.RecordBatch) -> None:
-        for rows, _, ids, ticks in self.tiles(part):
+        for rows, _, ids, scores in self.tiles(part):
             gold, gold_ids = self.gold[rows], self.gold_ids[rows]
-            before = (ticks > gold) | ((ticks == gold) & (ids < gold_ids))
-            before &= ids != gold_ids
-            self.ahead[rows] += before.sum(axis=1)
+            above = scores > gold[:, None] + 0.5
+            close = (scores >= gold[:, None] - 0.5) & ~above
+            self.ahead[rows] += np.count_nonzero(above, axis=1)
+            row, col = _positions(close)
+            ticks, found = np.rint(scores[row, col]), ids[col]
+            before = (ticks > gold[row]) | ((ticks == gold[row]) & (found < gold_ids[row]))
+            before &= found != gold_ids[row]
+            self.ahead[rows] += np.bincount(row[before], minlength=len(gold))
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         yield self.batch(len(self.ids), query_id=self.ids, ahead=self.ahead)

@@ -41,8 +41,12 @@ def knn_join(
     if k < 1:
         raise ValueError("k must be at least 1")
     resident, stream = side(queries, by), side(passages, by)
-    fit = measure(resident, 16 * k, limits)
-    nearest = sweep(resident, stream, partial(TopK, k), TopK.SCHEMA, fit)
+    fit = measure(resident, TopK.BYTES_PER_K * k, limits)
+    # Shuffled by name: a task's lists hold at most k per query already, and a
+    # limit before the shuffle, which Spark would add, only sorts them once more.
+    nearest = sweep(resident, stream, partial(TopK, k), TopK.SCHEMA, fit).repartition(
+        GROUP, "query_id"
+    )
     best_first = Window.partitionBy(GROUP, "query_id").orderBy(F.desc("ticks"), "passage_id")
     return (
         nearest.withColumn("position", F.row_number().over(best_first))

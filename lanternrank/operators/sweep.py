@@ -144,13 +144,25 @@ def _runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, pa.R
         yield tuple(batch.column(n)[lo].as_py() for n in names), batch.slice(lo, hi - lo)
 
 
-def run_cells(cells: DataFrame, keys: list[str], kernel: Callable[[], Kernel], schema: str) -> DataFrame:
-    """Bring each cell into one task, in turn order, and run the kernel on it.
+def shuffle_tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def run_cells(
+    rows: DataFrame, n_cells: int | None, kernel: Callable[[], Kernel], schema: str
+) -> DataFrame:
+    """Bring each cell of a group into one task, in turn order; run the kernel.
 
     Nothing is gathered: rows arrive in Arrow batches from a sorted partition
-    and only the kernel's bounded state stays in memory.
+    and only the kernel's bounded state stays in memory. Neighbouring cells go
+    to different tasks, a few cells to each, so that tasks even out.
     """
-    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * shuffle_tasks(rows)
+    if n_cells is not None:
+        parts = max(1, min(parts, n_cells))
+    n = F.lit(parts)
+    place = F.pmod(F.pmod(F.xxhash64(GROUP), n) + F.col("cell"), n).cast("int")
+    keys = [GROUP, "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, work = None, None
@@ -165,7 +177,7 @@ def run_cells(cells: DataFrame, keys: list[str], kernel: Callable[[], Kernel], s
             yield from work.result()
 
     return (
-        cells.repartition(tasks, *keys)
+        rows.repartitionById(parts, place)
         .sortWithinPartitions(*keys, "turn")
         .mapInArrow(run, schema)
     )
@@ -211,23 +223,25 @@ def _grid_sweep(
             F.ceil(F.count("*") / F.lit(fit.rows_per_block)).cast("int").alias("blocks")
         )
     else:
-        tasks = int(resident.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        stripes = max(1, -(-2 * tasks // max(1, sum(fit.blocks.values()))))
+        stripes = max(1, -(-4 * shuffle_tasks(resident) // sum(fit.blocks.values())))
         blocks = fit.blocks
+    n = F.lit(stripes)
     held = with_group_value(resident, "blocks", blocks).select(
         *resident.columns,
+        every(n).alias("stripe"),
         bucket(F.col("blocks")).alias("block"),
-        every(F.lit(stripes)).alias("stripe"),
         F.lit(0).alias("turn"),
     )
     passing = with_group_value(stream, "blocks", blocks).select(
         *stream.columns,
+        bucket(n).alias("stripe"),
         every(F.col("blocks")).alias("block"),
-        bucket(F.lit(stripes)).alias("stripe"),
         F.lit(1).alias("turn"),
     )
-    cells = held.unionByName(passing, allowMissingColumns=True)
-    return run_cells(cells, [GROUP, "block", "stripe"], kernel, schema)
+    rows = held.unionByName(passing, allowMissingColumns=True)
+    rows = rows.withColumn("cell", F.col("block") * n + F.col("stripe")).drop("block", "stripe")
+    n_cells = None if fit.blocks is None else stripes * sum(fit.blocks.values())
+    return run_cells(rows, n_cells, kernel, schema)
 
 
 def sweep(
