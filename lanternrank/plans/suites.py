@@ -96,10 +96,9 @@ def display(
 
 def display_line(shown: DataFrame, value: str) -> DataFrame:
     """The figures as one tab-joined line; a suite has few rows."""
-    pairs = F.array_sort(F.collect_list(F.struct("position", F.col(value).cast("string"))))
-    return shown.agg(
-        F.array_join(F.transform(pairs, lambda p: p[value]), "\t").alias("line")
-    )
+    pairs = F.array_sort(F.collect_list(F.struct("position", F.col(value).alias("figure"))))
+    figures = F.transform(pairs, lambda p: p["figure"].cast("string"))
+    return shown.agg(F.array_join(figures, "\t").alias("line"))
 
 
 def run_suite(

@@ -1,0 +1,62 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lanternrank.operators.collate import collate, collate_code
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_csn(spark):
+    schema = "url string, docstring_tokens array<string>, code_tokens array<string>, code_wo_comment string"
+    df = spark.createDataFrame([("u", ["a", "b"], ["x", "(", ")"], None), ("v", [], [], "k\n")], schema)
+    assert rows(collate(df, "csn")) == [("u", "a b", "x ( )"), ("v", "", "")]
+    assert rows(collate(df, "csn", remain_format=True)) == [("u", "a b", ""), ("v", "", "k\n")]
+    assert rows(collate(df.drop("code_wo_comment"), "csn", True))[1] == ("v", "", "")
+
+
+def test_cosqa_sides(spark):
+    asked = spark.createDataFrame([(7, " how  to\tsort ")], "retrieval_idx bigint, doc string")
+    assert rows(collate(asked, "cosqa")) == [("7", "how to sort")]
+    code = spark.createDataFrame([(7, "a\n b", "a\n b ")], "url bigint, code string, code_wo_comment string")
+    assert rows(collate(code, "cosqa")) == [("7", "a b")]
+    assert rows(collate(code, "cosqa", remain_format=True)) == [("7", "a\n b ")]
+    with pytest.raises(ValueError, match="code_wo_comment"):
+        collate(code.drop("code_wo_comment"), "cosqa", True)
+
+
+def test_advtest(spark):
+    schema = "url string, docstring_tokens array<string>, function_tokens array<string>, function_wo_comment string"
+    df = spark.createDataFrame([("u", ["a", "b"], ["f", "x"], "f\n x")], schema)
+    assert rows(collate(df, "advtest")) == [("u", "a b", "f x")]
+    assert rows(collate(df, "advtest", remain_format=True)) == [("u", "a b", "f\n x")]
+    with pytest.raises(ValueError):
+        collate(df.drop("function_wo_comment"), "advtest", True)
+
+
+def test_code(spark):
+    df = spark.createDataFrame(
+        [("1", "3", "def f():\n    '''d'''\n    return 1 # c\n"), ("2", "4", "def ('''")],
+        "index string, label string, func string",
+    )
+    assert rows(collate_code(df, "python")) == [
+        ("1", 3, "python", "def f(): return 1"), ("2", 4, "python", None),
+    ]
+    mixed = df.withColumn("lang", F.when(F.col("index") == "1", "ruby").otherwise("c"))
+    assert [r[3] for r in rows(collate_code(mixed))] == [
+        "def f(): '''d''' return 1 # c", "def ('''",
+    ]
+
+
+def test_unknown_layout(spark):
+    with pytest.raises(ValueError, match="unknown layout"):
+        collate(spark.range(1), "other")
+
+
+def test_only_needed_fields_are_read(spark, tmp_path):
+    schema = "url string, docstring_tokens array<string>, code_tokens array<string>, code_wo_comment string"
+    spark.createDataFrame([("u", ["a"], ["x"], "k")], schema).write.parquet(str(tmp_path / "t"))
+    side = collate(spark.read.parquet(str(tmp_path / "t")), "csn").select("url", "query")
+    plan = side._jdf.queryExecution().executedPlan().toString()
+    assert "docstring_tokens" in plan and "code_tokens" not in plan and "code_wo" not in plan
