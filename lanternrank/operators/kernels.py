@@ -76,7 +76,11 @@ class _Scoring(Kernel):
 
 
 class TopK(_Scoring):
-    """The k best candidates of every query."""
+    """The k best candidates of every query.
+
+    A resident column ``floor`` may say, in ticks, what k candidates are known
+    to reach; what lies below it is not kept.
+    """
 
     SCHEMA = f"{GROUP} string, query_id bigint, passage_id bigint, ticks bigint"
     BYTES_PER_K = 40  # of state per query, gathered candidates included
@@ -90,8 +94,11 @@ class TopK(_Scoring):
         n = len(self.ids)
         self.best = np.full((n, self.k), -np.inf)
         self.best_ids = np.full((n, self.k), _NO_ID)
-        self.worst = np.full(n, -np.inf)     # score and id of the k-th best
+        self.worst = np.full(n, -np.inf)     # score and id to beat
         self.worst_id = np.full(n, _NO_ID)
+        if "floor" in resident.column_names:
+            known = resident["floor"].cast(pa.float64()).fill_null(-np.inf)
+            self.worst = known.to_numpy().copy()
         self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n_pending = 0
 
@@ -128,7 +135,8 @@ class TopK(_Scoring):
                 equal = equal[np.argpartition(i[equal], room - 1)[:room]]
             chosen = np.concatenate([above, equal])
             self.best[q], self.best_ids[q] = t[chosen], i[chosen]
-            self.worst[q], self.worst_id[q] = cut, i[equal].max()
+            if cut >= self.worst[q]:
+                self.worst[q], self.worst_id[q] = cut, i[equal].max()
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         self.settle()

@@ -10,46 +10,83 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lanternrank.operators.kernels import TICKS_PER_UNIT, BestMatch, CountAhead, TopK
-from lanternrank.operators.sweep import GROUP, Limits, measure, side, sweep
+from lanternrank.operators.sweep import (
+    GROUP,
+    TASKS_PER_CORE,
+    Fit,
+    Limits,
+    measure,
+    shuffle_tasks,
+    side,
+    sweep,
+)
 
 # Neighbours searched by default, and depth of an evaluation.
 DEFAULT_K = 5
 DEFAULT_DEPTH = 1000
 
+PILOT = 64  # one in so many passages is looked at for a first bound
+
 
 def _named(by: str | None) -> list:
     return [F.col(GROUP).alias(by)] if by else []
 
 
+def _best_first() -> WindowSpec:
+    return Window.partitionBy(GROUP, "query_id").orderBy(F.desc("ticks"), "passage_id")
+
+
+def _with_floor(resident: DataFrame, stream: DataFrame, k: int, fit: Fit) -> DataFrame:
+    """Queries with the score of their k-th best among a part of the passages.
+
+    The k-th best of all is at least as good, so nothing below can be among
+    the k best. This only keeps tasks from returning what cannot win.
+    """
+    part = stream.where(F.pmod(F.xxhash64("id"), F.lit(PILOT)) == 0)
+    floors = (
+        sweep(resident, part, partial(TopK, k), TopK.SCHEMA, fit)
+        .withColumn("position", F.row_number().over(_best_first()))
+        .where(F.col("position") == k)
+        .select(GROUP, F.col("query_id").alias("id"), F.col("ticks").alias("floor"))
+    )
+    return resident.join(floors, [GROUP, "id"], "left")
+
+
 def knn_join(
     queries: DataFrame,
     passages: DataFrame,
     k: int = DEFAULT_K,
     by: str | None = None,
     limits: Limits = Limits(),
+    pilot: bool | None = None,
 ) -> DataFrame:
     """The k passages nearest to each query: ``query_id, passage_id, score, rank``.
 
     Score is cosine similarity to nine places; equal scores are ranked by id.
     Every task keeps at most k candidates per query, and only those are
-    shuffled for the final ranking.
+    shuffled for the final ranking. With very many tasks (``pilot``, decided by
+    their number if not given) a first look at few passages bounds what tasks
+    return; the result is the same.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     resident, stream = side(queries, by), side(passages, by)
     fit = measure(resident, TopK.BYTES_PER_K * k, limits)
+    if pilot is None:
+        pilot = TASKS_PER_CORE * shuffle_tasks(resident) > 8 * PILOT
+    if pilot:
+        resident = _with_floor(resident, stream, k, fit)
     # Shuffled by name: a task's lists hold at most k per query already, and a
     # limit before the shuffle, which Spark would add, only sorts them once more.
     nearest = sweep(resident, stream, partial(TopK, k), TopK.SCHEMA, fit).repartition(
         GROUP, "query_id"
     )
-    best_first = Window.partitionBy(GROUP, "query_id").orderBy(F.desc("ticks"), "passage_id")
     return (
-        nearest.withColumn("position", F.row_number().over(best_first))
+        nearest.withColumn("position", F.row_number().over(_best_first()))
         .where(F.col("position") <= k)
         .select(
             *_named(by),

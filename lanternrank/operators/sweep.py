@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from lanternrank.functions.vectors import has_direction
 
 GROUP = "grp"
+TASKS_PER_CORE = 4  # relative to spark.sql.shuffle.partitions
 
 
 @dataclass(frozen=True)
@@ -157,7 +158,7 @@ def run_cells(
     and only the kernel's bounded state stays in memory. Neighbouring cells go
     to different tasks, a few cells to each, so that tasks even out.
     """
-    parts = 4 * shuffle_tasks(rows)
+    parts = TASKS_PER_CORE * shuffle_tasks(rows)
     if n_cells is not None:
         parts = max(1, min(parts, n_cells))
     n = F.lit(parts)
@@ -201,7 +202,8 @@ def _broadcast_sweep(
         for each in work.values():
             yield from each.result()
 
-    return stream.mapInArrow(run, schema)
+    # Splits are read several to a task: each task returns a result per query.
+    return stream.coalesce(TASKS_PER_CORE * shuffle_tasks(stream)).mapInArrow(run, schema)
 
 
 def bucket(n: Column) -> Column:
@@ -223,7 +225,7 @@ def _grid_sweep(
             F.ceil(F.count("*") / F.lit(fit.rows_per_block)).cast("int").alias("blocks")
         )
     else:
-        stripes = max(1, -(-4 * shuffle_tasks(resident) // sum(fit.blocks.values())))
+        stripes = max(1, -(-TASKS_PER_CORE * shuffle_tasks(resident) // sum(fit.blocks.values())))
         blocks = fit.blocks
     n = F.lit(stripes)
     held = with_group_value(resident, "blocks", blocks).select(

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import brute
-from lanternrank.operators import kernels
+from lanternrank.operators import kernels, search
 from lanternrank.operators.search import first_hit_rank, first_hits, knn_join
 from lanternrank.operators.sweep import Limits
 
@@ -36,10 +36,13 @@ def frame(spark, data):
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)
-@pytest.mark.parametrize("k", [1, 7, 500])
-def test_knn_equals_brute_force(spark, layout, k):
+@pytest.mark.parametrize("k, pilot", [(1, False), (500, False), (7, True)])
+def test_knn_equals_brute_force(spark, layout, k, pilot, monkeypatch):
+    monkeypatch.setattr(search, "PILOT", 4)
     q, p = items(40, 1), items(170, 2)
-    found = knn_join(frame(spark, q), frame(spark, p), k, limits=LAYOUTS[layout]).collect()
+    found = knn_join(
+        frame(spark, q), frame(spark, p), k, limits=LAYOUTS[layout], pilot=pilot
+    ).collect()
     got = {(r.query_id, r["rank"]): (r.passage_id, round(r.score * 1e9)) for r in found}
     want = {}
     score = brute.ticks(q[2], p[2])
