@@ -14,7 +14,7 @@ from lanternrank.functions.python_source import strip_python
 # They decide the result and must stay as they are.
 # Every code point that Unicode treats as whitespace in str.split().
 WHITESPACE = (
-    r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+    r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 )
 SEARCH_TASK = (
     "Given a code search query, retrieve relevant code snippet that answer the query"
@@ -41,13 +41,13 @@ def join_tokens(tokens: Column) -> Column:
 
 def collapse_ws(text: Column) -> Column:
     """Runs of Unicode whitespace become one space; both ends are trimmed."""
-    return F.trim(F.regexp_replace(text, WHITESPACE, " "))
+    return F.trim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
 
 
 def drop_blank_lines(text: Column) -> Column:
     """Lines that hold nothing but whitespace are removed."""
     lines = F.split(text, "\n", -1)
-    return F.array_join(F.filter(lines, lambda line: collapse_ws(line) != ""), "\n")
+    return F.array_join(F.filter(lines, lambda line: line.rlike(f"[^{WHITESPACE}]")), "\n")
 
 
 def strip_c_comments(text: Column) -> Column:

@@ -122,7 +122,7 @@ def _py_code() -> Column:
 
 def _code_records(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as labelled code: the label is the number of the source."""
-    return _table(spark, folder, "documents").select(
+    return r.spread(_table(spark, folder, "documents")).select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").alias("index"),
         F.substring("source", 4, 9).alias("label"),
@@ -132,7 +132,7 @@ def _code_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _code_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    code = r.spread(_code_records(spark, folder))
+    code = _code_records(spark, folder)
     clean = co.collate_code(code, lang="java")
     vectors = embed(clean.withColumn("id", F.col("index").cast("bigint")), "func", HASHING)
     langs = _table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"))
@@ -308,7 +308,7 @@ def code_suite(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str, **columns: Column) -> DataFrame:
-    return _table(spark, folder, "documents").select(
+    return r.spread(_table(spark, folder, "documents")).select(
         "doc_id", *[c.alias(name) for name, c in columns.items()]
     )
 
@@ -348,7 +348,8 @@ def strip_c_comments(spark: SparkSession, folder: str) -> DataFrame:
 
 def strip_c_comments_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Markup is full of slashes and quotes, paired and not."""
-    return _table(spark, folder, "pages").select("page_id", t.strip_c_comments(F.col("html")).alias("code"))
+    pages = r.spread(_table(spark, folder, "pages"))
+    return pages.select("page_id", t.strip_c_comments(F.col("html")).alias("code"))
 
 
 def strip_py_comments(spark: SparkSession, folder: str) -> DataFrame:
@@ -385,7 +386,7 @@ def attention_mask(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _csn_records(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "documents").select(
+    return r.spread(_table(spark, folder, "documents")).select(
         F.concat_ws("/", "source", "doc_id").alias("url"),
         F.split("text", "\n").alias("docstring_tokens"),
         _words().alias("code_tokens"),
@@ -408,7 +409,7 @@ def collate_cosqa_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cosqa_code(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "documents").select(
+    return r.spread(_table(spark, folder, "documents")).select(
         F.col("doc_id").alias("url"), _c_code().alias("code"), F.col("text").alias("code_wo_comment")
     )
 
