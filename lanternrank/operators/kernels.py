@@ -29,6 +29,8 @@ def unit_vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column as a matrix of unit rows in double precision."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if len(column) and pc.count_distinct(pc.list_value_length(column)).as_py() != 1:
+        raise ValueError("vectors differ in length")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(column), -1)
     return matrix / np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]

@@ -41,6 +41,7 @@ class Limits:
     vectors: int = 64 << 20        # resident vectors held by one task
     state: int = 256 << 20         # partial results held by one task
     groups: int = 10_000           # group or label sizes read by the driver (rows)
+    broadcast_groups: int = 64     # groups told apart within one task (rows)
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,11 @@ def measure(resident: DataFrame, state_per_row: int, limits: Limits = Limits())
     fits = max(1, min(limits.vectors // (8 * dim), limits.state // max(1, state_per_row)))
     if not known:
         return Fit(fits, False, None)
-    small = sum(r["n"] for r in rows) <= fits and sum(r["bytes"] for r in rows) <= limits.broadcast
+    small = (
+        len(rows) <= limits.broadcast_groups
+        and sum(r["n"] for r in rows) <= fits
+        and sum(r["bytes"] for r in rows) <= limits.broadcast
+    )
     return Fit(fits, small, {r[GROUP]: -(-r["n"] // fits) for r in rows})
 
 
@@ -133,7 +138,7 @@ class Kernel:
 
 
 def _runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Consecutive rows with equal values in the named columns."""
+    """Consecutive rows with equal values in the named columns, of sorted rows."""
     if batch.num_rows == 0:
         return
     codes = np.stack(
@@ -145,6 +150,17 @@ def _runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, pa.R
         yield tuple(batch.column(n)[lo].as_py() for n in names), batch.slice(lo, hi - lo)
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """The rows of each group, in whatever order they come."""
+    coded = pc.dictionary_encode(batch.column(GROUP))
+    if len(coded.dictionary) == 1:
+        yield coded.dictionary[0].as_py(), batch
+        return
+    codes = coded.indices.to_numpy()
+    for code, group in enumerate(coded.dictionary.to_pylist()):
+        yield group, batch.take(pa.array(np.flatnonzero(codes == code)))
+
+
 def shuffle_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -192,7 +208,7 @@ def _broadcast_sweep(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work: dict[str, Kernel] = {}
         for batch in batches:
-            for (group,), part in _runs(batch, [GROUP]):
+            for group, part in _groups(batch):
                 if group not in work:
                     mine = held.value.filter(pc.equal(held.value[GROUP], group))
                     work[group] = kernel()

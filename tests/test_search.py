@@ -78,6 +78,7 @@ def test_groups_do_not_mix(spark, layout):
     for n, (a, b) in enumerate(parts):
         q = tag(a, n) if q is None else q.unionByName(tag(a, n))
         p = tag(b, n) if p is None else p.unionByName(tag(b, n))
+    q, p = q.repartition(2), p.repartition(2)  # groups interleaved
     limits = LAYOUTS[layout]
     near = knn_join(q, p, 4, by="dataset", limits=limits).collect()
     ranks = first_hit_rank(q, p, by="dataset", limits=limits).collect()
@@ -114,6 +115,13 @@ def test_bad_arguments(spark):
         knn_join(some.withColumn("id", F.col("id").cast("string")), some)
 
 
+def test_vectors_of_different_length_are_refused(spark):
+    p = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0, 0.0, 1.0])], SCHEMA)
+    q = spark.createDataFrame([(1, "a", [1.0, 0.0])], SCHEMA)
+    with pytest.raises(Exception, match="differ in length"):
+        knn_join(q, p.coalesce(1), 1).collect()
+
+
 def test_scale_of_vectors_does_not_matter(spark):
     q, p = items(20, 5), items(60, 6)
     big = (p[0], p[1], p[2] * 37.5)
