@@ -4,8 +4,9 @@ A score is a cosine in double precision. It is compared after rounding to nine
 places, as a whole number of *ticks*, so that equal scores are equal on every
 machine. Order is by score, best first, then by id.
 
-Most pairs are settled by one comparison with a bound per query; only scores
-near or above the bound are rounded and looked at singly.
+Most pairs are settled in single precision, by one comparison with a bound per
+query. The error of a single-precision product of unit vectors has a known limit;
+pairs that lie within it, or above the bound, are computed again in double.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from lanternrank.operators.sweep import GROUP, Kernel
 TICKS_PER_UNIT = 10**9
 _NO_ID = (1 << 63) - 1
 _ROWS, _COLUMNS = 256, 1024     # one tile of the score matrix: 2 MiB, stays in cache
+_FEW = 64                       # one in so many columns is computed singly
 _PENDING = 1 << 18              # candidates gathered before a top-k list is updated
 _OUT_ROWS = 1 << 16             # rows per result batch
 
@@ -49,26 +51,51 @@ class _Scoring(Kernel):
     def start(self, resident: pa.Table) -> None:
         self.group = resident[GROUP][0].as_py()
         self.ids = integers(resident["id"])
-        self.vectors = unit_vectors(resident["embedding"]) * TICKS_PER_UNIT
-        self._tile = np.empty(_ROWS * _COLUMNS)
-
-    def tiles(self, part: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-        """Tiles of scores in ticks, not yet rounded: query slice, candidate
-        positions, ids, scores. Candidates come in id order; the scores are
-        overwritten by the next tile.
+        unit = unit_vectors(resident["embedding"])
+        self.vectors = unit * TICKS_PER_UNIT
+        self.coarse = unit.astype(np.float32)
+        # Rounding the inputs, summing in any order, and rounding the bound.
+        self.margin = (unit.shape[1] + 10) * 2.0**-24
+
+    def bound(self, ticks: np.ndarray, side: int) -> np.ndarray:
+        """A column of scores that is safely below (-1) or above (+1) these."""
+        score = (ticks + side * 0.5) / TICKS_PER_UNIT + side * self.margin
+        return score.astype(np.float32)[:, None]
+
+    def tiles(
+        self, part: pa.RecordBatch, queries: np.ndarray
+    ) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Tiles of scores in the precision and scale of ``queries``: query
+        slice, candidate positions, ids, vectors, scores. Candidates come in id
+        order; the scores are overwritten by the next tile.
         """
         ids = integers(part.column("id"))
         vectors = unit_vectors(part.column("embedding"))
         by_id = np.argsort(ids)
+        tile = np.empty(_ROWS * _COLUMNS, queries.dtype)
         for lo in range(0, len(ids), _COLUMNS):
             where = by_id[lo : lo + _COLUMNS]
-            block = vectors[where].T
+            block = vectors[where]
+            right = block.T.astype(queries.dtype)
             for top in range(0, len(self.ids), _ROWS):
                 rows = slice(top, min(top + _ROWS, len(self.ids)))
                 shape = (rows.stop - top, len(where))
-                scores = self._tile[: shape[0] * shape[1]].reshape(shape)
-                np.matmul(self.vectors[rows], block, out=scores)
-                yield rows, where, ids[where], scores
+                scores = tile[: shape[0] * shape[1]].reshape(shape)
+                np.matmul(queries[rows], right, out=scores)
+                yield rows, where, ids[where], block, scores
+
+    def exact(self, rows: slice, block: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """Ticks of chosen pairs of a tile; rows with many are done whole."""
+        mine = self.vectors[rows]
+        crowded = np.bincount(row, minlength=len(mine)) > len(block) // _FEW
+        whole = crowded[row]
+        few = ~whole
+        ticks = np.empty(len(row))
+        ticks[few] = np.einsum("ij,ij->i", mine[row[few]], block[col[few]])
+        if whole.any():
+            at = np.cumsum(crowded) - 1
+            ticks[whole] = (mine[crowded] @ block.T)[at[row[whole]], col[whole]]
+        return np.rint(ticks)
 
     def batch(self, rows: int, **columns: np.ndarray) -> pa.RecordBatch:
         group = pa.array([self.group] * rows, pa.string())
@@ -105,11 +132,11 @@ class TopK(_Scoring):
         self.n_pending = 0
 
     def feed(self, part: pa.RecordBatch) -> None:
-        for rows, _, ids, scores in self.tiles(part):
-            row, col = _positions(scores >= self.worst[rows, None] - 0.5)
+        for rows, _, ids, block, scores in self.tiles(part, self.coarse):
+            row, col = _positions(scores >= self.bound(self.worst[rows], -1))
             if not len(row):
                 continue
-            ticks, found = np.rint(scores[row, col]), ids[col]
+            ticks, found = self.exact(rows, block, row, col), ids[col]
             row += rows.start
             worst = self.worst[row]
             better = (ticks > worst) | ((ticks == worst) & (found < self.worst_id[row]))
@@ -171,7 +198,7 @@ class BestMatch(_Scoring):
         if part.num_rows == 0:
             return
         codes = integers(pc.index_in(part.column("key"), self.keys))
-        for rows, where, ids, scores in self.tiles(part):
+        for rows, where, ids, _, scores in self.tiles(part, self.vectors):
             scores[self.codes[rows, None] != codes[where]] = -np.inf
             np.rint(scores, out=scores)
             first = scores.argmax(axis=1)  # of equals, the lowest id
@@ -202,13 +229,12 @@ class CountAhead(_Scoring):
         self.ahead = np.zeros(len(self.ids), np.int64)
 
     def feed(self, part: pa.RecordBatch) -> None:
-        for rows, _, ids, scores in self.tiles(part):
+        for rows, _, ids, block, scores in self.tiles(part, self.coarse):
             gold, gold_ids = self.gold[rows], self.gold_ids[rows]
-            above = scores > gold[:, None] + 0.5
-            close = (scores >= gold[:, None] - 0.5) & ~above
+            above = scores > self.bound(gold, 1)
             self.ahead[rows] += np.count_nonzero(above, axis=1)
-            row, col = _positions(close)
-            ticks, found = np.rint(scores[row, col]), ids[col]
+            row, col = _positions((scores >= self.bound(gold, -1)) & ~above)
+            ticks, found = self.exact(rows, block, row, col), ids[col]
             before = (ticks > gold[row]) | ((ticks == gold[row]) & (found < gold_ids[row]))
             before &= found != gold_ids[row]
             self.ahead[rows] += np.bincount(row[before], minlength=len(gold))

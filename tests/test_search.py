@@ -72,7 +72,7 @@ def test_searched_neighbours_give_the_same_ranks(spark):
 
 @pytest.mark.parametrize("layout", LAYOUTS)
 def test_groups_do_not_mix(spark, layout):
-    parts = [(frame(spark, items(30, s)), frame(spark, items(80, s + 50))) for s in (1, 2, 3)]
+    parts = [(frame(spark, items(30, s)), frame(spark, items(80, s + 50))) for s in (1, 2)]
     tag = lambda df, n: df.withColumn("dataset", F.lit(f"d{n}"))
     q = p = None
     for n, (a, b) in enumerate(parts):
