@@ -140,7 +140,8 @@ def first_hit_rank(
     fit = measure(resident, 64, limits)
 
     asked = resident.select(GROUP, "key").distinct()
-    answers = stream.join(F.broadcast(asked) if fit.broadcast else asked, [GROUP, "key"], "left_semi")
+    asked = F.broadcast(asked) if fit.broadcast_keys else asked
+    answers = stream.join(asked, [GROUP, "key"], "left_semi")
     best = (
         sweep(resident, answers.select(*stream.columns), BestMatch, BestMatch.SCHEMA, fit)
         .groupBy(GROUP, F.col("query_id").alias("id"))

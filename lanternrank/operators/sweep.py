@@ -51,6 +51,7 @@ class Fit:
     rows_per_block: int
     broadcast: bool
     blocks: dict[str, int] | None   # by group; None: too many groups to list
+    broadcast_keys: bool = False    # the keys alone are small, if not the vectors
 
 
 def side(df: DataFrame, by: str | None, *extra: Column) -> DataFrame:
@@ -69,11 +70,12 @@ def side(df: DataFrame, by: str | None, *extra: Column) -> DataFrame:
 
 def measure(resident: DataFrame, state_per_row: int, limits: Limits = Limits()) -> Fit:
     """Count the resident side (one small job) and choose the layout."""
-    keys = F.octet_length("key") if "key" in resident.columns else F.lit(0)
+    key = F.coalesce(F.octet_length("key"), F.lit(0)) if "key" in resident.columns else F.lit(0)
     sizes = resident.groupBy(GROUP).agg(
         F.count("*").alias("n"),
         F.max(F.size("embedding")).alias("dim"),
-        F.sum(4 * F.size("embedding") + F.coalesce(keys, F.lit(0))).alias("bytes"),
+        F.sum(4 * F.size("embedding")).alias("vector_bytes"),
+        F.sum(key + 32).alias("key_bytes"),  # as entries of a hash table
     )
     rows = sizes.limit(limits.groups + 1).collect()
     known = len(rows) <= limits.groups
@@ -84,12 +86,14 @@ def measure(resident: DataFrame, state_per_row: int, limits: Limits = Limits())
     fits = max(1, min(limits.vectors // (8 * dim), limits.state // max(1, state_per_row)))
     if not known:
         return Fit(fits, False, None)
+    key_bytes = sum(r["key_bytes"] for r in rows)
     small = (
         len(rows) <= limits.broadcast_groups
         and sum(r["n"] for r in rows) <= fits
-        and sum(r["bytes"] for r in rows) <= limits.broadcast
+        and sum(r["vector_bytes"] for r in rows) + key_bytes <= limits.broadcast
     )
-    return Fit(fits, small, {r[GROUP]: -(-r["n"] // fits) for r in rows})
+    blocks = {r[GROUP]: -(-r["n"] // fits) for r in rows}
+    return Fit(fits, small, blocks, key_bytes <= limits.broadcast)
 
 
 def with_group_value(df: DataFrame, name: str, values: dict[str, int] | DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from lanternrank.operators.sweep import Limits
 LAYOUTS = {
     "broadcast": Limits(),
     "grid": Limits(broadcast=0, vectors=8 * 4 * 9, state=1 << 20),
+    "grid, keys broadcast": Limits(broadcast=60_000, vectors=8 * 4 * 9, state=1 << 20),
     "grid, many groups": Limits(broadcast=0, vectors=8 * 4 * 9, state=1 << 20, groups=0),
 }
 SCHEMA = "id bigint, key string, embedding array<float>"
