@@ -132,11 +132,9 @@ def _code_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _code_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    code = _code_records(spark, folder)
-    clean = co.collate_code(code, lang="java")
-    vectors = embed(clean.withColumn("id", F.col("index").cast("bigint")), "func", HASHING)
-    langs = _table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"))
-    return r.materialize(vectors.drop("func", "lang").join(langs, "id"), "code-vectors")
+    clean = co.collate_code(_code_records(spark, folder))
+    rows = clean.withColumn("id", F.col("index").cast("bigint")).withColumnRenamed("lang", "domain")
+    return r.materialize(embed(rows, "func", HASHING).drop("func"), "code-vectors")
 
 
 # --- vectors --------------------------------------------------------------
