@@ -6,15 +6,9 @@ text by fixed templates; the SQL in ``oracle`` builds the same ones.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import lanternrank
 from lanternrank.functions import text as t
 from lanternrank.functions import tokens as tk
 from lanternrank.functions import vectors as v
@@ -35,6 +29,7 @@ from lanternrank.operators.search import first_hit_rank, first_hits, knn_join
 from lanternrank.operators.sweep import Limits
 from lanternrank.plans import suites
 from lanternrank.sources import records as r
+from lanternrank.sources.session import prepare, read_table
 from lanternrank.streaming.embeddings import append_embeddings, read_record_stream
 
 HASHING = register_encoder(Encoder("hashing", HashingModel))
@@ -47,36 +42,16 @@ SMALL_TASKS = Limits(broadcast=0, vectors=64 * 8 * 128, state=128 * 16 * 10)
 # --- inputs ---------------------------------------------------------------
 
 
-def _prepare(spark: SparkSession) -> None:
-    """Give workers the package, and local trials a folder for tables."""
-    context = spark.sparkContext
-    if not any("lanternrank" in Path(f).name for f in context.listFiles):
-        root = Path(lanternrank.__file__).parent
-        archive = Path(tempfile.mkdtemp(prefix="run-")) / "lanternrank.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for source in sorted(root.rglob("*.py")):
-                z.write(source, source.relative_to(root.parent))
-        context.addPyFile(os.fspath(archive))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not shared and context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
-
-
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    _prepare(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled vectors; each is its own item."""
-    return _table(spark, folder, "embeddings").select(
+    return read_table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("vec_id").alias("index"), "label", "embedding"
     )
 
 
 def _chat(spark: SparkSession, folder: str, role: str) -> DataFrame:
     """What one side says in a conversation, keyed by the conversation."""
-    return _table(spark, folder, "conversations").where(F.col("role") == role).select(
+    return read_table(spark, folder, "conversations").where(F.col("role") == role).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.col("conv_id").cast("string").alias("key"),
         "text",
@@ -92,7 +67,7 @@ def _chat_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 
 def _page_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Page titles look for their pages."""
-    pages = r.spread(_table(spark, folder, "pages"))
+    pages = r.spread(read_table(spark, folder, "pages"))
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
     asked = pages.select(F.col("page_id").alias("id"), F.col("url").alias("key"), title.alias("text"))
     offered = pages.select(F.col("page_id").alias("id"), F.col("url").alias("key"), F.col("html").alias("text"))
@@ -122,7 +97,7 @@ def _py_code() -> Column:
 
 def _code_records(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as labelled code: the label is the number of the source."""
-    return r.spread(_table(spark, folder, "documents")).select(
+    return r.spread(read_table(spark, folder, "documents")).select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").alias("index"),
         F.substring("source", 4, 9).alias("label"),
@@ -199,8 +174,8 @@ def knn_topk_blocked(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_search_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items look for the five nearest documents."""
-    items = _table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text")
-    texts = _table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = read_table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text")
+    texts = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = suites.embed_side(items, HASHING, "query")
     offered = suites.embed_side(r.spread(texts), HASHING, "passage")
     return _rounded(knn_join(asked, offered))
@@ -306,7 +281,7 @@ def code_suite(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str, **columns: Column) -> DataFrame:
-    return r.spread(_table(spark, folder, "documents")).select(
+    return r.spread(read_table(spark, folder, "documents")).select(
         "doc_id", *[c.alias(name) for name, c in columns.items()]
     )
 
@@ -329,7 +304,7 @@ def drop_blank_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def instruct(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "benchmark").select("item_id", t.instruct(F.col("text")).alias("text"))
+    return read_table(spark, folder, "benchmark").select("item_id", t.instruct(F.col("text")).alias("text"))
 
 
 def truncate_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -346,7 +321,7 @@ def strip_c_comments(spark: SparkSession, folder: str) -> DataFrame:
 
 def strip_c_comments_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Markup is full of slashes and quotes, paired and not."""
-    pages = r.spread(_table(spark, folder, "pages"))
+    pages = r.spread(read_table(spark, folder, "pages"))
     return pages.select("page_id", t.strip_c_comments(F.col("html")).alias("code"))
 
 
@@ -384,7 +359,7 @@ def attention_mask(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _csn_records(spark: SparkSession, folder: str) -> DataFrame:
-    return r.spread(_table(spark, folder, "documents")).select(
+    return r.spread(read_table(spark, folder, "documents")).select(
         F.concat_ws("/", "source", "doc_id").alias("url"),
         F.split("text", "\n").alias("docstring_tokens"),
         _words().alias("code_tokens"),
@@ -402,12 +377,12 @@ def collate_csn_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def collate_cosqa_query(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _table(spark, folder, "benchmark")
+    rows = read_table(spark, folder, "benchmark")
     return co.collate(rows.select(F.col("item_id").alias("retrieval_idx"), F.col("text").alias("doc")), "cosqa")
 
 
 def _cosqa_code(spark: SparkSession, folder: str) -> DataFrame:
-    return r.spread(_table(spark, folder, "documents")).select(
+    return r.spread(read_table(spark, folder, "documents")).select(
         F.col("doc_id").alias("url"), _c_code().alias("code"), F.col("text").alias("code_wo_comment")
     )
 
@@ -421,7 +396,7 @@ def collate_cosqa_code_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _advtest_records(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "conversations").select(
+    return read_table(spark, folder, "conversations").select(
         F.concat_ws("/", "conv_id", "turn").alias("url"),
         F.split("text", " ").alias("docstring_tokens"),
         F.split("text", "\n").alias("function_tokens"),
@@ -453,19 +428,19 @@ def _components(vectors: DataFrame) -> DataFrame:
 
 
 def embed_local(spark: SparkSession, folder: str) -> DataFrame:
-    texts = _table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    texts = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     return _components(embed(r.spread(texts), "text", encoder("models/hashing-64")))
 
 
 def embed_query(spark: SparkSession, folder: str) -> DataFrame:
     """Queries carry the instruction, passages do not."""
-    texts = _table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text")
+    texts = read_table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text")
     return _components(embed(texts, "text", PROMPTED, role="query"))
 
 
 def embed_service(spark: SparkSession, folder: str) -> DataFrame:
     """A service whose first answer per task fails and is asked for again."""
-    texts = _table(spark, folder, "conversations").select(
+    texts = read_table(spark, folder, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"
     )
     answered = embed_remote(
@@ -476,7 +451,7 @@ def embed_service(spark: SparkSession, folder: str) -> DataFrame:
 
 def _states(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors as token states: two layers of a sequence per label."""
-    rows = _table(spark, folder, "embeddings")
+    rows = read_table(spark, folder, "embeddings")
     layers = F.array(
         F.struct(F.lit(0).alias("layer"), F.reverse("embedding").alias("hidden")),
         F.struct(F.lit(1).alias("layer"), F.col("embedding").alias("hidden")),
@@ -514,7 +489,7 @@ def pick_first_layer(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fresh(spark: SparkSession, name: str) -> str:
-    _prepare(spark)
+    prepare(spark)
     return r.fresh_path(spark, name)
 
 
@@ -539,7 +514,7 @@ def report_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def dataset_counts(spark: SparkSession, folder: str) -> DataFrame:
     names = ("documents", "embeddings", "conversations", "benchmark", "pages")
-    return r.row_counts(**{n: _table(spark, folder, n) for n in names})
+    return r.row_counts(**{n: read_table(spark, folder, n) for n in names})
 
 
 def embed_stream(spark: SparkSession, folder: str) -> DataFrame:
