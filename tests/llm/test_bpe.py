@@ -1,0 +1,93 @@
+"""Ids and bytes equal those of the library that the rank file was made for."""
+
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from lanternrank.llm import bpe, queries
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return bpe.read_ranks(PATH)
+
+
+@pytest.fixture(scope="module")
+def reference(ranks):
+    return tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    )
+
+
+@pytest.fixture(scope="module")
+def coder(ranks):
+    return bpe.Encoder(bpe.Vocabulary(ranks, public_tokenizers.PATTERN))
+
+
+def ids(coder, text):
+    return np.frombuffer(coder([text])[0], np.int32).tolist()
+
+
+def test_every_token_is_itself(coder, reference, ranks):
+    tokens = [t.decode() for t in ranks if _valid(t)]
+    assert [ids(coder, t) for t in tokens] == [reference.encode_ordinary(t) for t in tokens]
+
+
+def _valid(token):
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def test_random_text(coder, reference):
+    draw = random.Random(3)
+    pools = [
+        "abc  \n\tt'sre 019.,!<|endoftext|>",
+        "".join(map(chr, range(0x300))),
+        "".join(map(chr, [0x1C, 0x85, 0xA0, 0x2028, 0x3000, 0x200B, 0x4E2D, 0x1F600, 0x1C89, 0x10D40, 0xFF11])),
+    ]
+    for k in range(3000):
+        pool = pools[k % 3] + pools[0] * (k % 2)
+        text = "".join(draw.choice(pool) for _ in range(draw.randrange(60)))
+        assert ids(coder, text) == reference.encode_ordinary(text), repr(text)
+
+
+def test_every_code_point(coder, reference):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(points), 997):
+        text = "".join(f"a{chr(c)}1" for c in points[start : start + 997])
+        assert ids(coder, text) == reference.encode_ordinary(text), hex(points[start])
+
+
+def test_long_runs(coder, reference):
+    for text in ("a" * 30_000, " " * 5_000, "ab " * 9_000, "é" * 3_000, "\n" * 999 + "x"):
+        assert ids(coder, text) == reference.encode_ordinary(text)
+
+
+def test_rows(spark, reference):
+    rows = [(1, "Hello world's"), (2, None), (3, ""), (1, "Hello world's"), (None, "x" * 200_000)]
+    df = spark.createDataFrame([(*r, 0, "c") for r in rows], "doc_id long, text string, ids int, decoded string")
+    words = bpe.vocabulary(spark, PATH, public_tokenizers.PATTERN)
+    got = bpe.decode(bpe.encode(df, words), words).collect()
+    want = [(i, reference.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows]
+    assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in got), key=str) == sorted(want, key=str)
+    assert bpe.encode(df.limit(0), words).count() == 0
+
+
+def test_query(spark, tables, reference):
+    got = queries.op10_bpe(spark, tables).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        want = reference.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(want)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
