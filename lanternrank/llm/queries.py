@@ -6,13 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternrank.llm import bpe
+from lanternrank.llm import bpe, language_id
+from lanternrank.llm.shared import held_out
 from lanternrank.llm.oracle import SQL
 from lanternrank.sources.session import read_table
 
 __all__ = ["QUERIES", "SQL"]
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = read_table(spark, folder, "documents")
+    model = language_id.model_for(spark, docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.identify(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "words"
+    )
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's token ids and of the bytes they decode to."""
     docs = read_table(spark, folder, "documents")
@@ -28,4 +38,4 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op10_bpe,)}
+QUERIES = {f.__name__: f for f in (op8_language_id, op10_bpe)}
