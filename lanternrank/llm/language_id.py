@@ -167,7 +167,7 @@ def _long(pieces: Pieces, table: np.ndarray, word: str) -> np.ndarray:
             if k is not None:
                 total = total + recent[-back] * table[k]
         logs += np.log(total)
-        recent = [r / total for r in recent[-keep + 1 :]] + [np.ones_like(total)]
+        recent = [*(r / total for r in recent), np.ones_like(total)][-keep:]
     return logs
 
 
