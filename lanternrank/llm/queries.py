@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternrank.llm import bpe, language_id
+from lanternrank.llm import bpe, decontaminate, language_id
 from lanternrank.llm.shared import held_out
 from lanternrank.llm.oracle import SQL
 from lanternrank.sources.session import read_table
@@ -14,6 +14,12 @@ from lanternrank.sources.session import read_table
 __all__ = ["QUERIES", "SQL"]
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item that occurs in it, with the edits."""
+    docs = read_table(spark, folder, "documents")
+    return decontaminate.matches(docs, read_table(spark, folder, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = read_table(spark, folder, "documents")
@@ -38,4 +44,4 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op8_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op8_language_id, op10_bpe)}
