@@ -1,3 +1,30 @@
 """SQL for the queries that SQL can express."""
 
 SQL: dict[str, str] = {}
+
+SQL["op3_url_filter"] = r"""
+WITH p AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(regexp_matches(url, '[?&]utm_'), false)::int AS t
+  FROM pages),
+h AS (SELECT host, count(*) AS n, sum(t) AS t FROM p GROUP BY host),
+l AS (SELECT host FROM h WHERE t * (SELECT sum(n) FROM h) > (SELECT sum(t) FROM h) * n),
+j AS (
+  SELECT page_id, host, path,
+    CASE
+      WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/'
+    END AS rule,
+    host IN (SELECT host FROM l) AS listed
+  FROM p)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN listed THEN 'block' ELSE 'allow' END AS verdict,
+  listed
+FROM j
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternrank.llm import bpe, decontaminate, language_id
+from lanternrank.llm import bpe, decontaminate, language_id, url_filter
 from lanternrank.llm.shared import held_out
 from lanternrank.llm.oracle import SQL
 from lanternrank.sources.session import read_table
@@ -20,6 +20,14 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.matches(docs, read_table(spark, folder, "benchmark"))
 
 
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """A verdict for every page: by rule, else by the list of tracking hosts."""
+    pages = read_table(spark, folder, "pages")
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host"))
+    cascade = url_filter.build(hosts, url_filter.tracking_hosts(pages), "host")
+    return url_filter.judge_urls(pages, cascade)
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = read_table(spark, folder, "documents")
@@ -44,4 +52,4 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op8_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_url_filter, op8_language_id, op10_bpe)}
