@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternrank.llm import bpe, decontaminate, language_id, url_filter
+from lanternrank.llm import bpe, decontaminate, language_id, quality, url_filter
 from lanternrank.llm.shared import held_out
 from lanternrank.llm.oracle import SQL
 from lanternrank.sources.session import read_table
@@ -37,6 +37,13 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and the likelihood ratio's verdict for every document."""
+    docs = read_table(spark, folder, "documents")
+    ratios = quality.keep_table(docs, read_table(spark, folder, "labels"))
+    return quality.judge(docs, ratios)
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's token ids and of the bytes they decode to."""
     docs = read_table(spark, folder, "documents")
@@ -52,4 +59,4 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_url_filter, op8_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_url_filter, op8_language_id, op9_quality, op10_bpe)}
