@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternrank.llm import bpe, decontaminate, language_id, quality, url_filter
+from lanternrank.llm import bpe, decontaminate, jaccard_join, language_id, quality, url_filter
 from lanternrank.llm.shared import held_out
 from lanternrank.llm.oracle import SQL
 from lanternrank.sources.session import read_table
@@ -28,6 +28,11 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(pages, cascade)
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose 4-word shingles have a Jaccard similarity of 0.85."""
+    return jaccard_join.groups(read_table(spark, folder, "documents"), width=4, percent=85)
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = read_table(spark, folder, "documents")
@@ -59,4 +64,4 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_url_filter, op8_language_id, op9_quality, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_url_filter, op6_jaccard_join, op8_language_id, op9_quality, op10_bpe)}

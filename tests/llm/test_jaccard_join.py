@@ -1,0 +1,98 @@
+"""Components against all pairs; copies, chains, shared passages, odd rows."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from lanternrank.llm import jaccard_join as j
+
+
+def sets_of(text, width):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")) if w]
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1)))
+
+
+def brute(rows, width, percent):
+    sets = [sets_of(t, width) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and None not in (rows[a][0], rows[b][0]):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * len(sets[a] | sets[b]):
+                    root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return sorted(((i, len(s), i if i is None else least[find(k)]) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+def make(seed, n=160):
+    draw = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    passage = draw.choices(words, k=40)
+    texts = []
+    for k in range(n):
+        kind = draw.random()
+        if kind < 0.6 and texts:
+            t = draw.choice(texts[-30:]).split(" ")
+            for _ in range(draw.randrange(4)):
+                t[draw.randrange(len(t))] = draw.choice(words)
+        elif kind < 0.8:
+            t = passage + draw.choices(words, k=draw.randrange(1, 14))
+        else:
+            t = draw.choices(words, k=draw.choice([1, 2, 3, 4, 5, 8, 60, 90]))
+        texts.append(" ".join(t))
+    ids = list(range(3 * n))
+    draw.shuffle(ids)
+    return [(i, draw.choice([str.upper, str])(t)) for i, t in zip(ids, texts, strict=False)]
+
+
+@pytest.mark.parametrize("width,percent,seed", [(4, 85, 1), (5, 80, 2), (2, 60, 3)])
+def test_components_equal_all_pairs(spark, monkeypatch, width, percent, seed):
+    monkeypatch.setattr(j, "LEAST", 3)
+    rows = make(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r) for r in j.groups(df, width=width, percent=percent).collect()), key=str)
+    assert got == brute(rows, width, percent)
+    assert len({c for _, _, c in got}) < len(got) * 0.8
+
+
+def test_odd_rows(spark):
+    base = " ".join(f"w{k}" for k in range(50))
+    long = " ".join(f"x{k % 7000}" for k in range(60_000))
+    rows = [
+        (9, base), (9, base), (5, base + " more"), (None, base), (7, None), (8, ""), (3, " \t\n"), (2, "one"),
+        (1, "ONE"), (4, long), (6, long + " end"), *((100 + k, base + " more") for k in range(200)),
+    ]
+    df = spark.createDataFrame([(*r, 0, 1) for r in rows], "doc_id long, text string, n_shingles int, node int")
+    got = sorted((tuple(r) for r in j.groups(df, width=4, percent=85).collect()), key=str)
+    assert got == brute(rows, 4, 85)
+    kept = j.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([None, 7, 8, 3, 1, 4, 5], key=str)
+    assert j.groups(df.limit(0)).count() == 0 and j.keep_first(df.limit(0)).count() == 0
+
+
+def test_prefixes_share_enough():
+    draw = np.random.default_rng(4)
+    tokens = np.sort(draw.choice(2000, 80, replace=False).astype(np.uint64))
+    counts = draw.integers(8, 5000, 80)
+    for _ in range(300):
+        x = np.unique(draw.choice(2000, draw.integers(1, 60)).astype(np.uint64))
+        y = np.unique(np.r_[draw.choice(x, max(1, len(x) - draw.integers(0, 6)), replace=False), draw.choice(2000, draw.integers(0, 3)).astype(np.uint64)])
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 80 * (len(x) + len(y) - both):
+            (p, k), (q, m) = (j.prefix(s, tokens, counts, 80) for s in (x, y))
+            assert len(np.intersect1d(p, q)) >= min(k, m)
