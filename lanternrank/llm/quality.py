@@ -100,7 +100,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     raw = rows.groupBy("bucket").agg(F.count("*").alias("raw"))
     chosen = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct()
     best = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    best = best.join(chosen, "id", "left_semi").select(F.explode(grams(words_of(F.col("text")))).alias("bucket"))
+    # One plan at every size: texts meet their labels in one shuffle.
+    best = best.join(chosen.hint("shuffle_merge"), "id", "left_semi").select(F.explode(grams(words_of(F.col("text")))).alias("bucket"))
     target = best.groupBy("bucket").agg(F.count("*").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     both = every.join(raw, "bucket", "left").join(target, "bucket", "left").na.fill(0, ["raw", "target"])
