@@ -230,6 +230,30 @@ def decode(encoded: DataFrame, words, ids_col: str = "ids", out: str = "decoded"
     return encoded.withColumn(out, F.arrow_udf("binary")(work)(ids_col))
 
 
+def encode_checked(docs: DataFrame, words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_tokens, ids, round_trip`` of every row: its ids, and whether they
+    decode to its whole text. NULL and empty texts have no ids and come back."""
+    coder = words
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        vocabulary = coder.value
+        token = dict(zip(vocabulary.ids, vocabulary.tokens, strict=True)).__getitem__
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        parts = vocabulary.encoder()(texts)
+        same = [
+            b"".join(map(token, np.frombuffer(p, np.int32).tolist())) == t.encode()
+            for p, t in zip(parts, texts, strict=True)
+        ]
+        sizes = pa.array([len(p) // 4 for p in parts], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), sizes, _lists(parts), pa.array(same, pa.bool_())], [id_col, "n_tokens", "ids", "round_trip"]
+        )
+
+    kept = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    kind = kept.schema[id_col].dataType.simpleString()
+    return over_slices(kept, "text", work, f"`{id_col}` {kind}, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def joined(ids: str) -> Column:
     """Ids as decimal numbers with one space between."""
     return F.array_join(F.col(ids).cast("array<string>"), " ")

@@ -324,6 +324,26 @@ def identify(
     return over_slices(kept, "text", work, f"`{id_col}` {kind}, lang_pred string, score double, words long")
 
 
+def relabel(
+    docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """The rows of ``docs`` whose text has letters, with all their columns and
+    the language found in ``lang_col``. One pass over the rows, no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model = shared.value
+        sums, sizes = model.scorer()(batch.column(text_col).to_pylist())
+        keep = sizes > 0
+        if model.languages:
+            names = np.array(model.languages, object)[sums.argmax(1)]
+            at = batch.schema.get_field_index(lang_col)
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(names, pa.string()))
+        return batch.filter(pa.array(keep))
+
+    return over_slices(docs, text_col, work, docs.schema)
+
+
 def model_for(spark: SparkSession, docs: DataFrame, path: str) -> Model:
     """A model over the pieces of a public sentencepiece file."""
     return train(docs, read_pieces(path))

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternrank.llm import bpe, decontaminate, jaccard_join, language_id, quality, url_filter
+import corpus_pipeline
+
+from lanternrank.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality, url_filter
 from lanternrank.llm.shared import held_out
 from lanternrank.llm.oracle import SQL
 from lanternrank.sources.session import read_table
@@ -33,6 +35,12 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.groups(read_table(spark, folder, "documents"), width=4, percent=85)
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier one."""
+    docs = read_table(spark, folder, "documents")
+    return line_dedup.dedup(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = read_table(spark, folder, "documents")
@@ -64,4 +72,4 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_url_filter, op6_jaccard_join, op8_language_id, op9_quality, op10_bpe)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_decontamination, op3_url_filter, op6_jaccard_join, op7_line_dedup, op8_language_id, op9_quality, op10_bpe)}
