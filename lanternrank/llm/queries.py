@@ -7,10 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-
-from lanternrank.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality, url_filter
-from lanternrank.llm.shared import held_out
+from lanternrank.llm import bpe, decontaminate, html_text, jaccard_join, labelled_pages, language_id, line_dedup, quality, url_filter
 from lanternrank.llm.oracle import SQL
+from lanternrank.llm.shared import held_out
 from lanternrank.sources.session import read_table
 
 __all__ = ["QUERIES", "SQL"]
@@ -30,6 +29,12 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(pages, cascade)
 
 
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The article of every page, by a field trained on the labelled pages."""
+    pages = read_table(spark, folder, "pages")
+    return html_text.main_text(pages, html_text.train(labelled_pages.labelled()))
+
+
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose 4-word shingles have a Jaccard similarity of 0.85."""
     return jaccard_join.groups(read_table(spark, folder, "documents"), width=4, percent=85)
@@ -72,4 +77,4 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_decontamination, op3_url_filter, op6_jaccard_join, op7_line_dedup, op8_language_id, op9_quality, op10_bpe)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_decontamination, op3_url_filter, op5_html_text, op6_jaccard_join, op7_line_dedup, op8_language_id, op9_quality, op10_bpe)}
