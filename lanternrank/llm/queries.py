@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lanternrank.llm import bpe, decontaminate, html_text, jaccard_join, labelled_pages, language_id, line_dedup, quality, url_filter
+from lanternrank.llm import bpe, decontaminate, html_text, jaccard_join, labelled_pages, language_id, licenses, line_dedup, quality, url_filter
 from lanternrank.llm.oracle import SQL
 from lanternrank.llm.shared import held_out
 from lanternrank.sources.session import read_table
@@ -15,6 +15,11 @@ from lanternrank.sources.session import read_table
 __all__ = ["QUERIES", "SQL"]
 
 
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and licence notice that stands in it."""
+    return licenses.scan(read_table(spark, folder, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and benchmark item that occurs in it, with the edits."""
     docs = read_table(spark, folder, "documents")
@@ -77,4 +82,4 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_decontamination, op3_url_filter, op5_html_text, op6_jaccard_join, op7_line_dedup, op8_language_id, op9_quality, op10_bpe)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_licenses, op2_decontamination, op3_url_filter, op5_html_text, op6_jaccard_join, op7_line_dedup, op8_language_id, op9_quality, op10_bpe)}
