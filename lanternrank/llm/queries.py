@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lanternrank.llm import bpe, decontaminate, html_text, jaccard_join, labelled_pages, language_id, licenses, line_dedup, quality, url_filter
+from lanternrank.llm import bpe, decontaminate, html_text, jaccard_join, labelled_pages, language_id, licenses, line_dedup, quality, toxicity, url_filter
 from lanternrank.llm.oracle import SQL
 from lanternrank.llm.shared import held_out
 from lanternrank.sources.session import read_table
@@ -34,6 +34,13 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(pages, cascade)
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document, voted by its nearest labelled examples."""
+    docs = read_table(spark, folder, "documents")
+    index = toxicity.train(docs, read_table(spark, folder, "labels"))
+    return toxicity.score(docs, index).select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
 def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
     """The article of every page, by a field trained on the labelled pages."""
     pages = read_table(spark, folder, "pages")
@@ -82,4 +89,4 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_licenses, op2_decontamination, op3_url_filter, op5_html_text, op6_jaccard_join, op7_line_dedup, op8_language_id, op9_quality, op10_bpe)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_licenses, op2_decontamination, op3_url_filter, op4_toxicity, op5_html_text, op6_jaccard_join, op7_line_dedup, op8_language_id, op9_quality, op10_bpe)}
