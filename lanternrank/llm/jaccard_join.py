@@ -218,18 +218,13 @@ def groups(
         if reps.groupBy("node").count().where("count > 1").isEmpty():
             break
         seed += 1
-    often = (
-        told.where("token is not null").groupBy("token").agg(F.sum("times").alias("times"))
-        .where(F.col("times") >= LEAST).orderBy(F.desc("times"), "token").limit(FREQUENT).toPandas()
-    )
-    often["token"] = often["token"].to_numpy(np.int64).view(np.uint64)
-    often = often.sort_values("token")
-    frequent = spark.sparkContext.broadcast((often["token"].to_numpy(np.uint64), often["times"].to_numpy(np.int64)))
-
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    cut = prefixes(texts.select("text"), frequent, width, percent, seed)
-    cut = cut.groupBy("node").agg(F.first(F.struct("n", "ell", "prefix")).alias("p")).select("node", "p.*")
-    postings = part_files(cut.select(F.explode("prefix").alias("token"), "node", "n", "ell"), "postings")
+    seen = told.where("token is not null").groupBy("token").agg(F.sum("times").alias("times"))
+    frequent = _frequent(seen)
+    # What is frequent in these prefixes goes behind in those that are joined.
+    first_cut = _postings(texts, frequent, width, percent, seed).groupBy("token").agg(F.count("*").alias("times"))
+    frequent = _frequent(seen.union(first_cut).groupBy("token").agg(F.max("times").alias("times")))
+    postings = part_files(_postings(texts, frequent, width, percent, seed), "postings")
 
     lead = postings.groupBy("token").agg(F.min(F.struct("node", "n", "ell")).alias("lead"), F.count("*").alias("size"))
     lists = postings.join(lead.where("size > 1").select("token", "lead"), "token")
@@ -263,6 +258,21 @@ def groups(
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def _frequent(seen: DataFrame):
+    """The n-grams of the largest counts, sorted by hash, for every worker: at most FREQUENT."""
+    often = seen.where(F.col("times") >= LEAST).orderBy(F.desc("times"), "token").limit(FREQUENT).toPandas()
+    tokens, times = often["token"].to_numpy(np.int64).view(np.uint64), often["times"].to_numpy(np.int64)
+    order = np.argsort(tokens)
+    return seen.sparkSession.sparkContext.broadcast((tokens[order], times[order]))
+
+
+def _postings(texts: DataFrame, frequent, width: int, percent: int, seed: int) -> DataFrame:
+    """``token, node, n, ell``: the prefix of every node."""
+    cut = prefixes(texts.select("text"), frequent, width, percent, seed)
+    cut = cut.groupBy("node").agg(F.first(F.struct("n", "ell", "prefix")).alias("p")).select("node", "p.*")
+    return cut.select(F.explode("prefix").alias("token"), "node", "n", "ell")
+
+
 def _enough(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs that share as many n-grams as the less demanding side asks for."""
     near = pairs.where(similar(percent)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("ell").alias("ell"))
