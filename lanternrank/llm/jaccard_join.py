@@ -32,6 +32,8 @@ COMPARE = 20.0
 RARE = 0.1
 # N-grams known as frequent: those of the largest counts, from a least count.
 FREQUENT, LEAST = 1 << 18, 8
+# Nodes of a family that is compared in blocks, if it has more, and of a block.
+FAMILY, BLOCK = 64, 256
 # N-grams that a task counts before it passes on what it saw twice or more.
 COUNTED = 1 << 22
 
@@ -237,18 +239,25 @@ def groups(
     links = part_files(_links(star, _sets(texts, _ends(star), reps, width, seed), percent), "links")
     first = part_files(connected(links), "groups")
 
+    # Many documents that share much, linked or not: compared in blocks.
+    family = part_files(_families(star, first), "families")
+    blocks = family.where("blocks > 0")
+    inside = part_files(_in_blocks(blocks, _sets(texts, blocks.select("node"), reps, width, seed), percent), "blocks")
+
     # Lists that one group does not fill: who is outside the leader's group meets all.
     named = lists.join(first, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    named = part_files(named.select("token", "node", "n", "ell", "group", F.col("lead.node").alias("lead")), "named")
+    named = named.join(blocks.select("node", "family"), "node", "left")
+    named = part_files(named.select("token", "node", "n", "ell", "group", "family", F.col("lead.node").alias("lead")), "named")
     leads = named.where("node = lead").select("token", F.col("group").alias("main"))
     outside = named.join(leads, "token").where("group != main").drop("main", "lead")
-    other = named.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("ell").alias("ell_b"), F.col("group").alias("group_b"))
-    rest = outside.join(other, "token").where((F.col("group") != F.col("group_b")) & similar(percent))
+    other = named.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("ell").alias("ell_b"), F.col("group").alias("group_b"), F.col("family").alias("family_b"))
+    apart = F.coalesce(F.col("family") != F.col("family_b"), F.lit(True))
+    rest = outside.join(other, "token").where((F.col("group") != F.col("group_b")) & apart & similar(percent))
     rest = rest.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), "n", "m", F.least("ell", "ell_b").alias("ell"), "token")
     rest = rest.distinct().select("a", "b", "n", "m", "ell")
     pairs = part_files(_enough(rest, percent).join(star, ["a", "b"], "left_anti"), "rest")
     more = _links(pairs, _sets(texts, _ends(pairs), reps, width, seed), percent)
-    whole = part_files(connected(links.union(more)), "components")
+    whole = part_files(connected(links.union(more).union(inside)), "components")
 
     ids = reps.join(whole, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = ids.groupBy("group").agg(F.min("id").alias("component_id"))
@@ -258,6 +267,65 @@ def groups(
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def _families(star: DataFrame, groups_of: DataFrame) -> DataFrame:
+    """``node, group, family, blocks`` of the nodes that share enough with a leader.
+
+    A family is connected by such pairs, linked or not. ``blocks`` tells in how
+    many blocks a large one is compared, 0 for small ones and for those that
+    links connect already.
+    """
+    nodes = connected(star).withColumnRenamed("component", "family").join(groups_of, "node", "left")
+    nodes = nodes.select("node", "family", F.coalesce("component", "node").alias("group"))
+    size = nodes.groupBy("family").agg(F.count("*").alias("size"), (F.min("group") != F.max("group")).alias("open"))
+    many = F.when(F.col("open") & (F.col("size") > FAMILY), F.ceil(F.col("size") / BLOCK)).otherwise(0)
+    return nodes.join(size, "family").select("node", "family", "group", many.cast("int").alias("blocks"))
+
+
+def _in_blocks(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` within large families, every two blocks in a task.
+
+    Every node goes to its own block's tasks, as many as the family has blocks; a
+    task compares all pairs of its nodes in different groups and returns no more
+    links than connect them.
+    """
+    rows = nodes.join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+
+    def compare(key: tuple, part: pa.Table) -> pa.Table:
+        node, group = part["node"].to_numpy(), part["group"].to_numpy()
+        lists = part["set"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        ends = np.cumsum(sizes)
+        row = np.repeat(np.arange(len(node)), sizes)
+        token = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        root = {g: g for g in group.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        by = np.argsort(token, kind="stable")
+        first = np.searchsorted(token[by], np.arange(token.max() + 2 if len(token) else 1))
+        found = []
+        for k in range(len(node)):
+            own = token[ends[k] - sizes[k] : ends[k]]
+            start, count = first[own], first[own + 1] - first[own]
+            at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+            both = np.bincount(row[by[at]], minlength=len(node))
+            near = np.flatnonzero(100 * both[:k] >= percent * (sizes[k] + sizes[:k] - both[:k]))
+            for m in near:
+                a, b = find(int(group[k])), find(int(group[m]))
+                if a != b:
+                    root[a] = b
+                    found.append((int(node[k]), int(node[m])))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.select("family", "i", "j", "node", "group", "set").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _frequent(seen: DataFrame):
     """The n-grams of the largest counts, sorted by hash, for every worker: at most FREQUENT."""
     often = seen.where(F.col("times") >= LEAST).orderBy(F.desc("times"), "token").limit(FREQUENT).toPandas()
