@@ -24,7 +24,7 @@ from lanternrank.llm.shared import connected, part_files
 BLOCKS = 4
 # Differing bits of 64 up to which lines of a block are compared in full; for
 # pairs within BLOCKS - 1 bits it is certain that they share a block.
-MOST_BITS = 16
+MOST_BITS = 10
 # Edit similarity: one less edits over the longer length.
 PERCENT = 90
 # Lines of fewer words recur by chance in good text and are left alone.
@@ -160,16 +160,19 @@ def _links(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     """Links between distinct lines: first with the leader of each key, then
     between what is outside the leader's group and all others of the key."""
     rows = _buckets(lines, ["node", "length", "bits"])
-    lead = rows.groupBy("key").agg(F.min(F.struct("node", "length", "bits")).alias("lead"))
-    star = rows.join(lead, "key").select("node", "length", "bits", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("node", "length", "bits")])
-    star = part_files(_pairs(star.where((F.col("node") != F.col("node_b")) & _close())), "star")
+    lead = rows.groupBy("key").agg(F.min(F.struct("node", "length", "bits")).alias("lead"), F.count("*").alias("size"))
+    lists = rows.join(lead.where("size > 1"), "key")
+    lists = lists.select("key", "node", "length", "bits", "size", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("node", "length", "bits")])
+    lists = part_files(lists, "lists")
+    star = part_files(_pairs(lists.where((F.col("node") != F.col("node_b")) & _close())), "star")
     links = part_files(_verified(star, docs, id_col, text_col), "links")
     first = part_files(connected(links), "groups")
-    named = lines.join(first, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    rows = _buckets(named, ["node", "length", "bits", "group"])
-    lead = rows.groupBy("key").agg(F.min(F.struct("node", "length", "bits", "group")).alias("lead"))
-    outside = rows.join(lead.select("key", F.col("lead.group").alias("main")), "key").where("group != main")
-    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "length", "bits", "group")])
+    # Of two members of a key one leads: only longer lists have other pairs.
+    named = lists.where("size > 2").select("key", "node", "length", "bits", F.col("node_b").alias("lead")).join(first, "node", "left")
+    named = part_files(named.withColumn("group", F.coalesce("component", "node")).drop("component"), "named")
+    main = named.where("node = lead").select("key", F.col("group").alias("main"))
+    outside = named.drop("lead").join(main, "key").where("group != main")
+    other = named.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "length", "bits", "group")])
     rest = outside.join(other, "key").where((F.col("group") != F.col("group_b")) & _close())
     rest = part_files(_pairs(rest).join(star, ["a", "b"], "left_anti"), "rest")
     return links.union(_verified(rest, docs, id_col, text_col))
