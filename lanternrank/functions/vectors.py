@@ -26,8 +26,10 @@ def norm(vector: Column) -> Column:
 
 
 def has_direction(vector: Column) -> Column:
-    """True unless the vector is NULL, empty or all zeros."""
-    return F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
+    """True unless the vector is NULL, empty, all zeros, or has a component that
+    is NULL, NaN or infinite."""
+    finite = F.forall(vector, lambda x: F.abs(x) < F.lit(float("inf")))
+    return F.coalesce(F.exists(vector, lambda x: x != 0) & finite, F.lit(False))
 
 
 def l2_normalize(vector: Column) -> Column:

@@ -106,15 +106,25 @@ def embed(
     return df.withColumn(out, run_model(text))
 
 
-def _checked(response: object, n: int) -> list[tuple[list[float] | None, str | None]]:
-    """Keep well-formed vectors of a response; say what is wrong with others."""
+def _checked(
+    response: object, n: int, dimension: int | None = None
+) -> list[tuple[list[float] | None, str | None]]:
+    """Keep well-formed vectors of a response; say what is wrong with others.
+
+    Without a declared dimension the first good vector of the response sets it.
+    """
     vectors = list(response)  # type: ignore[call-overload]
     if len(vectors) != n:
         raise ValueError(f"{len(vectors)} vectors for {n} texts")
     checked = []
     for vector in vectors:
         good = isinstance(vector, list) and len(vector) > 0 and isinstance(vector[0], float)
-        checked.append((vector, None) if good else (None, "not a list of floats"))
+        if good and dimension is None:
+            dimension = len(vector)
+        if good and len(vector) != dimension:
+            checked.append((None, f"{len(vector)} components, not {dimension}"))
+        else:
+            checked.append((vector, None) if good else (None, "not a list of floats"))
     return checked
 
 
@@ -129,6 +139,7 @@ def embed_remote(
     wait_connection: float = WAIT_CONNECTION,
     wait_other: float = WAIT_OTHER,
     out: str = "embedding",
+    dimension: int | None = None,
 ) -> DataFrame:
     """Add ``embedding`` and ``error`` from a remote service.
 
@@ -137,6 +148,8 @@ def embed_remote(
     ``chunk`` texts and go round the endpoints. A call that fails is repeated;
     after the last attempt its rows have a NULL embedding and an error.
 
+    A vector that has not ``dimension`` components becomes NULL with an error.
+
     ``max_parallel`` partitions mean at most that many calls at a time, which
     is what services limit; pass None to keep the partitions of ``df``.
     """
@@ -149,7 +162,7 @@ def embed_remote(
             try:
                 response = send(texts, endpoint)
                 if response is not None:
-                    return _checked(response, len(texts))
+                    return _checked(response, len(texts), dimension)
                 error = "empty response"
             except ConnectionError as e:
                 error, wait = f"connection: {e}", wait_connection

@@ -6,6 +6,10 @@ mask)``; mask 0 is padding, on either side.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,27 +31,48 @@ def pick_layer(states: DataFrame, layer: int = -1, layers: int | None = None) ->
 
 def _edge(states: DataFrame, last: bool) -> DataFrame:
     pick = F.max_by if last else F.min_by
-    return (
-        states.where(F.col("mask") == 1)
-        .groupBy("seq_id")
-        .agg(pick("hidden", "pos").cast("array<double>").alias("embedding"))
-    )
+    real = F.col("mask") == 1
+    chosen = pick(F.when(real, F.col("hidden")), F.when(real, F.col("pos")))
+    return states.groupBy("seq_id").agg(chosen.cast("array<double>").alias("embedding"))
 
 
 def _mean(states: DataFrame) -> DataFrame:
-    """Averages per (sequence, component), so partial sums leave each task."""
-    component = states.where(F.col("mask") == 1).select(
-        "seq_id", F.posexplode("hidden").alias("dim", "x")
+    """One sum vector per sequence and batch leaves a task; few are added up."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).dictionary_encode()
+            at = ids.indices.to_numpy()
+            real = batch.column(2).to_numpy(zero_copy_only=False) == 1
+            real &= batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            counts = np.bincount(at[real], minlength=len(ids.dictionary))
+            hidden = batch.column(1).filter(pa.array(real))
+            vectors = hidden.flatten().to_numpy(zero_copy_only=False).reshape(len(hidden), -1) if len(hidden) else np.zeros((0, 0))
+            total = np.zeros((len(counts), vectors.shape[1]))
+            np.add.at(total, at[real], vectors)
+            ends = np.cumsum(np.r_[0, np.where(counts > 0, vectors.shape[1], 0)]).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(total[counts > 0].ravel()))
+            yield pa.RecordBatch.from_arrays([ids.dictionary, parts, pa.array(counts)], ["seq_id", "total", "n"])
+
+    kind = states.schema["seq_id"].dataType.simpleString()
+    rows = states.select("seq_id", F.col("hidden").cast("array<double>"), F.col("mask").cast("int"))
+    parts = rows.mapInArrow(sums, f"seq_id {kind}, total array<double>, n long")
+    merged = parts.groupBy("seq_id").agg(
+        F.collect_list(F.when(F.col("n") > 0, F.col("total"))).alias("totals"), F.sum("n").alias("n")
     )
-    averages = component.groupBy("seq_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = averages.groupBy("seq_id").agg(
-        F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("parts")
+    whole = F.aggregate(
+        F.slice("totals", 2, F.greatest(F.size("totals") - 1, F.lit(0))), F.get("totals", F.lit(0)),
+        lambda a, b: F.zip_with(a, b, lambda x, y: x + y),
     )
-    return ordered.select("seq_id", F.transform("parts", lambda p: p["x"]).alias("embedding"))
+    mean = F.transform(whole, lambda x: x / F.col("n"))
+    return merged.select("seq_id", F.when(F.col("n") > 0, mean).alias("embedding"))
 
 
 def pool(states: DataFrame, strategy: str = "last") -> DataFrame:
-    """``seq_id, embedding`` from the last or first real token, or their mean."""
+    """``seq_id, embedding`` from the last or first real token, or their mean;
+    a sequence of padding only has a NULL vector."""
     if strategy in ("last", "first"):
         return _edge(states, last=strategy == "last")
     if strategy == "mean":

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lanternrank.operators.collate import collate, collate_code
 from lanternrank.operators.embed import Encoder, embed
 from lanternrank.operators.metrics import retrieval_report
-from lanternrank.operators.precision import map_score
+from lanternrank.operators.precision import average_precision, map_score
 from lanternrank.operators.search import DEFAULT_DEPTH, first_hit_rank
 from lanternrank.operators.sweep import Limits
 from lanternrank.sources.records import (
@@ -147,3 +147,23 @@ def cross_map(
     """MAP of queries in one language against candidates in another."""
     src, tgt = (vectors.where(F.col("lang") == x) for x in (src_lang, tgt_lang))
     return map_score(src, None if src_lang == tgt_lang else tgt, limits=limits)
+
+
+def cross_maps(vectors: DataFrame, limits: Limits = Limits(), by: str = "domain") -> DataFrame:
+    """MAP of each domain's queries against each other domain: ``pair, map``.
+
+    One job for all pairs: candidates pass once, in the group of their own
+    domain; a query goes to the groups of all others and names its own in the
+    end. ``vectors`` has one row per id.
+    """
+    named = vectors.withColumnRenamed(by, "_own")
+    every = named.agg(F.collect_set("_own")).scalar()
+    others = named.withColumn("_every", every)
+    asked = others.withColumn("_target", F.explode(F.array_remove("_every", F.col("_own")))).drop("_own", "_every")
+    scored = average_precision(asked, named.withColumnRenamed("_own", "_target"), by="_target", limits=limits)
+    own = named.select(F.col("id").alias("query_id"), "_own")
+    return (
+        scored.join(own, "query_id")
+        .groupBy(F.concat_ws(">", "_own", "_target").alias("pair"))
+        .agg(F.avg("ap").alias("map"))
+    )

@@ -240,6 +240,8 @@ SQL = {
         FROM ({UNIT})""",
     "knn_topk": KNN,
     "knn_topk_blocked": KNN,
+    "knn_topk_1000": f"""SELECT query_id, passage_id, rank FROM (
+        WITH q AS ({UNIT}), p AS ({UNIT}) {_neighbours(1000)})""",
     "text_search_topk": TEXT_TOP5,
     "first_hit": f"{CHAT_RANKS} SELECT * FROM r",
     "first_hit_depth_20": f"WITH {CHAT}, {_ranks('r', 'chat_q', 'chat_p', 20)} SELECT * FROM r",
@@ -257,6 +259,11 @@ SQL = {
     "map_in_domain": f"{LABEL_AP} SELECT round(avg(ap), 6) AS map FROM ap",
     "map_cross_domain": _code_ap("q.lang || '>' || p.lang", "p.lang <> q.lang")
     + "SELECT grp AS pair, round(avg(ap), 6) AS map FROM ap GROUP BY grp",
+    "map_keep_self": f"""
+        WITH u AS ({UNIT}), {_ap(
+            f"SELECT 0 AS grp, q.id AS qid, p.id AS pid, q.label = p.label AS rel, {TICKS} AS ticks "
+            "FROM u q CROSS JOIN u p"
+        )} SELECT round(avg(ap), 6) AS map FROM ap""",
     "suite_report": f"""
         {SUITE} SELECT 'search' AS suite, dataset, metric, value FROM (
           UNPIVOT (SELECT * EXCLUDE (queries) FROM report) ON COLUMNS(* EXCLUDE (dataset))
@@ -330,6 +337,9 @@ SQL = {
     "json_roundtrip": f"""
         SELECT source || '/' || doc_id AS url, replace(text, {NL}, ' ') AS query,
                CASE WHEN lang <> 'en' THEN text ELSE '' END AS passage FROM documents""",
+    "read_documents": "SELECT doc_id, text AS doc FROM documents",
+    "read_code_labels": """SELECT CAST(doc_id AS VARCHAR) AS index, CAST(substr(source, 4) AS INT) AS label
+        FROM documents""",
     "embedding_roundtrip": "WITH p AS (SELECT vec_id AS id, embedding AS e FROM embeddings) " + _components("p"),
     "report_roundtrip": f"{LABEL_AP} SELECT query_id, round(ap, 6) AS ap, relevant FROM ap",
     "dataset_counts": " UNION ALL ".join(

@@ -172,6 +172,12 @@ def knn_topk_blocked(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(knn_join(rows, rows, 10, limits=SMALL_TASKS))
 
 
+def knn_topk_1000(spark: SparkSession, folder: str) -> DataFrame:
+    """At the depth that suites search."""
+    rows = _vectors(spark, folder)
+    return _rounded(knn_join(rows, rows, 1000)).select("query_id", "passage_id", "rank")
+
+
 def text_search_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items look for the five nearest documents."""
     items = read_table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text")
@@ -211,7 +217,9 @@ def hit_curve(spark: SparkSession, folder: str) -> DataFrame:
 def mrr_hard(spark: SparkSession, folder: str) -> DataFrame:
     """Hard cases: conversations that carry a system turn."""
     hard = _chat(spark, folder, "system").select("key")
-    return m.mrr_at_k_hard(_chat_ranks(spark, folder), hard, 50).withColumn("mrr", F.round("mrr", 6))
+    asked, answers = _chat_sides(spark, folder)
+    ranks = first_hit_rank(m.keep_hard(asked, hard), answers)
+    return m.mrr_at_k_hard(ranks, hard, 50).withColumn("mrr", F.round("mrr", 6))
 
 
 def _round_metrics(report: DataFrame) -> DataFrame:
@@ -234,20 +242,20 @@ def map_in_domain(spark: SparkSession, folder: str) -> DataFrame:
     return map_score(_vectors(spark, folder)).select(F.round("map", 6).alias("map"))
 
 
-def _other_domains(vectors: DataFrame, source: bool) -> DataFrame:
-    """Each row once for every pair of domains its own is one side of."""
-    domains = F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")])
-    others = F.explode(F.array_remove(domains, F.col("domain")))
-    paired = vectors.withColumn("other", others)
-    ends = ("domain", "other") if source else ("other", "domain")
-    return paired.withColumn("pair", F.concat_ws(">", *ends)).drop("domain", "other")
-
-
 def map_cross_domain(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of one language against those of each other language."""
+    """Documents of one language against those of each other language.
+
+    Candidates pass once for their own language; queries carry theirs along.
+    """
     vectors = _code_vectors(spark, folder)
-    scores = map_score(_other_domains(vectors, True), _other_domains(vectors, False), by="pair")
-    return scores.withColumn("map", F.round("map", 6))
+    return suites.cross_maps(vectors).withColumn("map", F.round("map", 6))
+
+
+def map_keep_self(spark: SparkSession, folder: str) -> DataFrame:
+    """MAP in which a query's own item counts, for items partly without an index."""
+    rows = _vectors(spark, folder)
+    some = rows.withColumn("index", F.when(F.col("label") < 5, F.col("index")))
+    return map_score(some, exclude_self=False).select(F.round("map", 6).alias("map"))
 
 
 # --- suites ---------------------------------------------------------------
@@ -500,6 +508,22 @@ def json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return co.collate(r.read_records(spark, path, "csn"), "csn", remain_format=True)
 
 
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Records one per line in files that do not say so by their name."""
+    rows = read_table(spark, folder, "documents")
+    path = _fresh(spark, "records.json")
+    rows.select(F.col("doc_id").cast("string").alias("retrieval_idx"), F.col("text").alias("doc")).write.json(path)
+    return r.read_records(spark, path, "cosqa_query").select(F.col("retrieval_idx").cast("bigint").alias("doc_id"), "doc")
+
+
+def read_code_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Code records whose labels are text, quoted as they are written."""
+    path = _fresh(spark, "code")
+    rows = _code_records(spark, folder)
+    rows.select("index", F.col("label").cast("string").alias("label"), "func").write.json(path)
+    return co.collate_code(r.read_records(spark, path, "code"), lang="java").select("index", "label")
+
+
 def embedding_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = _fresh(spark, "vectors")
     r.write_embeddings(_vectors(spark, folder), path, partition_by="label")

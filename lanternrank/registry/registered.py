@@ -11,6 +11,7 @@ QUERIES = {
         q.float32_cast,
         q.knn_topk,
         q.knn_topk_blocked,
+        q.knn_topk_1000,
         q.text_search_topk,
         q.first_hit,
         q.first_hit_depth_20,
@@ -22,6 +23,7 @@ QUERIES = {
         q.average_precision_labels,
         q.map_in_domain,
         q.map_cross_domain,
+        q.map_keep_self,
         q.suite_report,
         q.suite_display,
         q.code_suite,
@@ -52,6 +54,8 @@ QUERIES = {
         q.pool_mean,
         q.pick_first_layer,
         q.json_roundtrip,
+        q.read_documents,
+        q.read_code_labels,
         q.embedding_roundtrip,
         q.report_roundtrip,
         q.dataset_counts,

@@ -20,7 +20,7 @@ LAYOUTS = {
         "url string, docstring_tokens array<string>, function_tokens array<string>, "
         "function_wo_comment string"
     ),
-    "code": "index string, label int, func string",
+    "code": "index string, label string, func string",
 }
 
 # Data sets, languages, and where their files lie.
@@ -81,16 +81,27 @@ def catalogue(root: str, datasets: tuple[str, ...] = DATASETS, use_valid: bool =
     return specs
 
 
-def read_records(spark: SparkSession, path: str, layout: str) -> DataFrame:
+def holds_array(spark: SparkSession, path: str) -> bool:
+    """Whether JSON files hold one array of objects, not one object per line:
+    told by their first text, whatever their name."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    return first is not None and first.value.lstrip("\ufeff \t").startswith("[")
+
+
+def read_records(spark: SparkSession, path: str, layout: str, array: bool | None = None) -> DataFrame:
     """Records with a declared schema: no pass over the data to infer one.
 
-    ``.json`` files hold one array of objects, others one object per line;
-    only the latter can be split between tasks.
+    Files hold one object per line or, if ``array``, one array of objects; only
+    the former can be split between tasks. By default ``.jsonl`` files hold
+    lines, and others are looked at. Labels are read as text, quoted or not;
+    ``collate_code`` casts them. Anything else than that form is an error.
     """
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout {layout!r}, expected one of {sorted(LAYOUTS)}")
     reader = spark.read.schema(LAYOUTS[layout]).option("mode", "FAILFAST")
-    return reader.json(path, multiLine=path.endswith(".json"))
+    if array is None:
+        array = not path.endswith(".jsonl") and holds_array(spark, path)
+    return reader.json(path, multiLine=array)
 
 
 def read_code(spark: SparkSession, directory: str, langs: tuple[str, ...] = CODE_LANGS) -> DataFrame:

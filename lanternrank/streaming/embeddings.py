@@ -16,8 +16,11 @@ from lanternrank.sources.records import LAYOUTS
 
 
 def read_record_stream(spark: SparkSession, folder: str, layout: str) -> DataFrame:
-    """JSON-lines records from files as they appear in a folder."""
-    return spark.readStream.schema(LAYOUTS[layout]).json(folder)
+    """JSON-lines records from files as they appear in a folder; a broken line
+    stops the stream, as it stops a batch."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"unknown layout {layout!r}, expected one of {sorted(LAYOUTS)}")
+    return spark.readStream.schema(LAYOUTS[layout]).option("mode", "FAILFAST").json(folder)
 
 
 def append_embeddings(

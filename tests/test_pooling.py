@@ -21,9 +21,9 @@ def pooled(states, strategy, layer=-1, **options):
 
 
 def test_strategies_on_either_padding(states):
-    assert pooled(states, "last") == {1: [13.0, 2.0], 2: [22.0, 2.0], 3: [33.0, 2.0]}
-    assert pooled(states, "first") == {1: [12.0, 2.0], 2: [20.0, 2.0], 3: [30.0, 2.0]}
-    assert pooled(states, "mean") == {1: [12.5, 2.0], 2: [21.0, 2.0], 3: [31.5, 2.0]}
+    assert pooled(states, "last") == {1: [13.0, 2.0], 2: [22.0, 2.0], 3: [33.0, 2.0], 4: None}
+    assert pooled(states, "first") == {1: [12.0, 2.0], 2: [20.0, 2.0], 3: [30.0, 2.0], 4: None}
+    assert pooled(states, "mean") == {1: [12.5, 2.0], 2: [21.0, 2.0], 3: [31.5, 2.0], 4: None}
 
 
 def test_layers(states):

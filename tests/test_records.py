@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lanternrank.operators.collate import collate_code
 from lanternrank.sources import records as r
+from lanternrank.streaming.embeddings import read_record_stream
 
 
 def test_catalogue():
@@ -49,7 +51,7 @@ def test_code_of_several_languages(spark, tmp_path):
             json.dumps({"index": "1", "label": 5, "func": lang})
         )
     found = r.read_code(spark, str(tmp_path), ("c", "go")).collect()
-    assert sorted(tuple(x) for x in found) == [("1", 5, "c", "c"), ("1", 5, "go", "go")]
+    assert sorted(tuple(x) for x in found) == [("1", "5", "c", "c"), ("1", "5", "go", "go")]
 
 
 def test_tables(spark, tmp_path):
@@ -81,3 +83,35 @@ def test_spread_leaves_wide_scans_alone(spark):
     assert r.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 4
     wide = spark.range(10, numPartitions=9)
     assert r.spread(wide) is wide
+
+
+def test_json_files_are_read_by_what_they_hold(spark, tmp_path):
+    rows = [{"retrieval_idx": k, "doc": f"d{k}"} for k in range(5)]
+    lines, whole = tmp_path / "lines.json", tmp_path / "whole.json"
+    lines.write_text("\n\n" + "\n".join(json.dumps(x) for x in rows))
+    whole.write_text("\n " + json.dumps(rows, indent=2))
+    want = {(str(k), f"d{k}") for k in range(5)}
+    for path in (lines, whole):
+        assert {tuple(x) for x in r.read_records(spark, str(path), "cosqa_query").collect()} == want
+    one = tmp_path / "one.json"
+    one.write_text(json.dumps(rows[0], indent=2))
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        r.read_records(spark, str(one), "cosqa_query").collect()
+
+
+def test_labels_may_be_quoted(spark, tmp_path):
+    path = tmp_path / "go_with_func.jsonl"
+    path.write_text("\n".join(json.dumps({"index": "1", "label": x, "func": "f"}) for x in ("3", 4)))
+    got = collate_code(r.read_code(spark, str(tmp_path), ("go",)))
+    assert sorted(x.label for x in got.collect()) == [3, 4]
+
+
+def test_a_broken_line_stops_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"url": "u"}\n{"url": ')
+    stream = read_record_stream(spark, str(tmp_path / "in"), "csn").writeStream.format("parquet")
+    stream = stream.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+    with pytest.raises(Exception):
+        stream.trigger(availableNow=True).start().awaitTermination()
+    with pytest.raises(ValueError):
+        read_record_stream(spark, str(tmp_path), "other")
