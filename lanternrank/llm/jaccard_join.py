@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternrank.llm.shared import connected, hashed_words, mixed, over_slices, part_files, slices, window_hashes
+from lanternrank.llm.shared import connected, hashed_words, mixed, over_slices, part_files, scratch, slices, window_hashes
 
 WIDTH = 5
 PERCENT = 80
@@ -211,57 +211,59 @@ def groups(
     Words and n-grams are compared by 64-bit hashes, sets by 128 bits.
     """
     spark = docs.sparkSession
-    seed = 0
-    while True:
-        told = part_files(digests(docs, id_col, text_col, width, seed), "digests")
-        rows = told.where("n > 0").select("id", "node", "check", "n")
-        rows = rows.where("id is not null")
-        reps = part_files(rows.groupBy("node", "check", "n").agg(F.min("id").alias("id")), "nodes")
-        if reps.groupBy("node").count().where("count > 1").isEmpty():
-            break
-        seed += 1
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    seen = told.where("token is not null").groupBy("token").agg(F.sum("times").alias("times"))
-    frequent = _frequent(seen)
-    # What is frequent in these prefixes goes behind in those that are joined.
-    first_cut = _postings(texts, frequent, width, percent, seed).groupBy("token").agg(F.count("*").alias("times"))
-    frequent = _frequent(seen.union(first_cut).groupBy("token").agg(F.max("times").alias("times")))
-    postings = part_files(_postings(texts, frequent, width, percent, seed), "postings")
-
-    lead = postings.groupBy("token").agg(F.min(F.struct("node", "n", "ell")).alias("lead"), F.count("*").alias("size"))
-    lists = postings.join(lead.where("size > 1").select("token", "lead"), "token")
-    lists = part_files(lists.select("token", "node", "n", "ell", "lead"), "lists")
-    star = lists.where("node != lead.node").select(
-        F.col("node").alias("a"), F.col("lead.node").alias("b"), "n", F.col("lead.n").alias("m"),
-        F.least("ell", "lead.ell").alias("ell"),
-    )
-    star = part_files(_enough(star, percent), "star")
-    links = part_files(_links(star, _sets(texts, _ends(star), reps, width, seed), percent), "links")
-    first = part_files(connected(links), "groups")
-
-    # Many documents that share much, linked or not: compared in blocks.
-    family = part_files(_families(star, first), "families")
-    blocks = family.where("blocks > 0")
-    inside = part_files(_in_blocks(blocks, _sets(texts, blocks.select("node"), reps, width, seed), percent), "blocks")
-
-    # Lists that one group does not fill: who is outside the leader's group meets all.
-    named = lists.join(first, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    named = named.join(blocks.select("node", "family"), "node", "left")
-    named = part_files(named.select("token", "node", "n", "ell", "group", "family", F.col("lead.node").alias("lead")), "named")
-    leads = named.where("node = lead").select("token", F.col("group").alias("main"))
-    outside = named.join(leads, "token").where("group != main").drop("main", "lead")
-    other = named.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("ell").alias("ell_b"), F.col("group").alias("group_b"), F.col("family").alias("family_b"))
-    apart = F.coalesce(F.col("family") != F.col("family_b"), F.lit(True))
-    rest = outside.join(other, "token").where((F.col("group") != F.col("group_b")) & apart & similar(percent))
-    rest = rest.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), "n", "m", F.least("ell", "ell_b").alias("ell"), "token")
-    rest = rest.distinct().select("a", "b", "n", "m", "ell")
-    pairs = part_files(_enough(rest, percent).join(star, ["a", "b"], "left_anti"), "rest")
-    more = _links(pairs, _sets(texts, _ends(pairs), reps, width, seed), percent)
-    whole = part_files(connected(links.union(more).union(inside)), "components")
-
-    ids = reps.join(whole, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    least = ids.groupBy("group").agg(F.min("id").alias("component_id"))
-    final = part_files(ids.join(least, "group").select("node", "component_id"), "final")
+    with scratch(spark):
+        seed = 0
+        while True:
+            told = part_files(digests(docs, id_col, text_col, width, seed), "digests", keep=True)
+            rows = told.where("n > 0").select("id", "node", "check", "n")
+            rows = rows.where("id is not null")
+            reps = part_files(rows.groupBy("node", "check", "n").agg(F.min("id").alias("id")), "nodes")
+            if reps.groupBy("node").count().where("count > 1").isEmpty():
+                break
+            seed += 1
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+        seen = told.where("token is not null").groupBy("token").agg(F.sum("times").alias("times"))
+        frequent = _frequent(seen)
+        # What is frequent in these prefixes goes behind in those that are joined.
+        first_cut = _postings(texts, frequent, width, percent, seed).groupBy("token").agg(F.count("*").alias("times"))
+        frequent = _frequent(seen.union(first_cut).groupBy("token").agg(F.max("times").alias("times")))
+        with scratch(spark):
+            postings = part_files(_postings(texts, frequent, width, percent, seed), "postings")
+
+            lead = postings.groupBy("token").agg(F.min(F.struct("node", "n", "ell")).alias("lead"), F.count("*").alias("size"))
+            lists = postings.join(lead.where("size > 1").select("token", "lead"), "token")
+            lists = part_files(lists.select("token", "node", "n", "ell", "lead"), "lists", keep=True)
+        star = lists.where("node != lead.node").select(
+            F.col("node").alias("a"), F.col("lead.node").alias("b"), "n", F.col("lead.n").alias("m"),
+            F.least("ell", "lead.ell").alias("ell"),
+        )
+        star = part_files(_enough(star, percent), "star")
+        links = part_files(_links(star, _sets(texts, _ends(star), reps, width, seed), percent), "links")
+        first = part_files(connected(links), "groups")
+
+        # Many documents that share much, linked or not: compared in blocks.
+        family = part_files(_families(star, first), "families")
+        blocks = family.where("blocks > 0")
+        inside = part_files(_in_blocks(blocks, _sets(texts, blocks.select("node"), reps, width, seed), percent), "blocks")
+
+        # Lists that one group does not fill: who is outside the leader's group meets all.
+        named = lists.join(first, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+        named = named.join(blocks.select("node", "family"), "node", "left")
+        named = part_files(named.select("token", "node", "n", "ell", "group", "family", F.col("lead.node").alias("lead")), "named")
+        leads = named.where("node = lead").select("token", F.col("group").alias("main"))
+        outside = named.join(leads, "token").where("group != main").drop("main", "lead")
+        other = named.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("ell").alias("ell_b"), F.col("group").alias("group_b"), F.col("family").alias("family_b"))
+        apart = F.coalesce(F.col("family") != F.col("family_b"), F.lit(True))
+        rest = outside.join(other, "token").where((F.col("group") != F.col("group_b")) & apart & similar(percent))
+        rest = rest.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), "n", "m", F.least("ell", "ell_b").alias("ell"), "token")
+        rest = rest.distinct().select("a", "b", "n", "m", "ell")
+        pairs = part_files(_enough(rest, percent).join(star, ["a", "b"], "left_anti"), "rest")
+        more = _links(pairs, _sets(texts, _ends(pairs), reps, width, seed), percent)
+        whole = part_files(connected(links.union(more).union(inside)), "components")
+
+        ids = reps.join(whole, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        least = ids.groupBy("group").agg(F.min("id").alias("component_id"))
+        final = part_files(ids.join(least, "group").select("node", "component_id"), "final", keep=True)
     out = told.where("token is null").select("id", "n", "node").join(final, "node", "left")
     own = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))

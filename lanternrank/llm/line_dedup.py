@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternrank.llm.quality import let
-from lanternrank.llm.shared import connected, part_files
+from lanternrank.llm.shared import connected, part_files, scratch
 
 BLOCKS = 4
 # Differing bits of 64 up to which lines of a block are compared in full; for
@@ -209,7 +209,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     are; rows that share an id are dropped the same lines. Other columns stay;
     columns named ``n_lines`` or ``n_dropped`` are replaced.
     """
-    away = part_files(repeats(docs, id_col, text_col), "repeats").withColumnRenamed("drop", "_drop")
+    with scratch(docs.sparkSession):
+        away = part_files(repeats(docs, id_col, text_col), "repeats", keep=True).withColumnRenamed("drop", "_drop")
     rows = docs.drop("n_lines", "n_dropped").join(away, id_col, "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = let(lines, lambda x: F.array_join(

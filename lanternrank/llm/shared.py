@@ -4,16 +4,17 @@ words, links between rows, and connected groups."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lanternrank.sources.records import materialize
+from lanternrank.sources.records import fresh_path
 
 # Text that a task holds in Python at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -86,9 +87,38 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def part_files(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder: later steps and retries read it, not its history."""
-    return materialize(df, name)
+_OPEN: list[list[str]] = []
+
+
+def part_files(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """A table in the shared folder: later steps and retries read it, not its history.
+
+    Within ``scratch`` it goes when the block ends; if it is to be kept, with the
+    block around that one, or not at all.
+    """
+    path = fresh_path(df.sparkSession, name)
+    scopes = _OPEN[:-1] if keep else _OPEN
+    if scopes:
+        scopes[-1].append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that were written within, when all that reads them is done."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of this run from the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def connected(links: DataFrame) -> DataFrame:
