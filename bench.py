@@ -18,6 +18,7 @@ from lanternrank.registry.registered import QUERIES
 HEADLINE = (
     "knn_topk",
     "knn_topk_blocked",
+    "knn_topk_1000",
     "text_search_topk",
     "search_report",
     "mrr_curve",
