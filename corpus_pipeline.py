@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occur before, exactly or nearly, go; a document of which only
     blank space is left goes too."""
-    left = line_dedup.dedup(docs)
+    left = line_dedup.dedup(docs, complete=True)
     left = left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     return left.select([(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])
 

@@ -8,6 +8,11 @@ similarity of the normalised lines. Of each connected group the first line stays
 Equal lines are one node. A block shared by many is not expanded into all pairs:
 lines meet the first line of their block, and afterwards only those that are
 outside the group which leads the block meet the others in it.
+
+SimHash blocks miss pairs that are similar enough. With ``complete`` every pair
+of groups that this leaves apart is tried by pieces: a line of which up to k
+characters may be edited is cut in k + 1 pieces, and one of them stands unchanged,
+and little moved, in the longer line. Nothing but the edit similarity decides.
 """
 
 from __future__ import annotations
@@ -178,7 +183,82 @@ def _links(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     return links.union(_verified(rest, docs, id_col, text_col))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# Width of a band of lengths (of the logarithm), and of places as a share of the
+# longest line of a band; they only cut the lists of a piece.
+BAND, PLACES = 0.42, 0.25
+
+
+def _budget(length: str) -> str:
+    """Edits that a line may be away from one of its length or longer."""
+    return f"(((100 * {length}) div {PERCENT}) * {100 - PERCENT}) div 100"
+
+
+def _keyed(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(F.expr("xxhash64(substring(plain, place + 1, q), q, band, field)").alias("key"), "node", "group", "length", "place", *columns)
+
+
+def _pieces(texts: DataFrame) -> DataFrame:
+    """Every line in one piece more than it may have edits, at all keys where a
+    longer line can have the piece: moved by at most as many characters as there
+    are edits before it and, from the other end, behind it."""
+    rows = texts.withColumn("k", F.expr(_budget("length"))).where("k > 0").withColumn("q", F.expr("length div (k + 1)"))
+    ends = f"cast(floor(ln(length) / {BAND}) as int), cast(floor(ln((100 * length) div {PERCENT}) / {BAND}) as int)"
+    rows = rows.withColumn("band", F.expr(f"explode(sequence({ends}))")).withColumn("j", F.expr("explode(sequence(0L, k))"))
+    rows = rows.withColumn("place", F.expr("j * q")).withColumn("wide", F.expr(_WIDE))
+    fields = "explode(sequence(greatest(place - least(j, k - j), 0L) div wide, (place + j) div wide))"
+    return _keyed(rows.withColumn("field", F.expr(fields)), "j", "k")
+
+
+_WIDE = f"cast(ceil(exp((band + 1) * {BAND}) * {PLACES}) as bigint)"
+
+
+def _windows(texts: DataFrame) -> DataFrame:
+    """Every stretch of a line that is as long as the pieces of similar lines."""
+    least = f"length - (length * {100 - PERCENT}) div 100"
+    sizes = f"explode(array_distinct(transform(sequence({least}, length), n -> n div ({_budget('n')} + 1))))"
+    rows = texts.where(f"length * {100 - PERCENT} >= 100").withColumn("q", F.expr(sizes))
+    rows = rows.withColumn("band", F.expr(f"cast(floor(ln(length) / {BAND}) as int)")).withColumn("wide", F.expr(_WIDE))
+    rows = rows.withColumn("place", F.expr("explode(sequence(0L, length - q))"))
+    return _keyed(rows.withColumn("field", F.expr("place div wide")))
+
+
+def _missed(lines: DataFrame, links: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links between the groups of ``links``: all that the edit similarity allows.
+
+    Two of the group that has most pairs at a key do not meet there.
+    """
+    each = lines_of(docs, id_col, text_col).select(normal(F.col("line")).alias("plain")).withColumn("node", F.xxhash64("plain"))
+    texts = each.groupBy("node").agg(F.first("plain").alias("plain")).join(lines.select("node"), "node")
+    texts = texts.join(connected(links), "node", "left").select(
+        "node", F.coalesce("component", "node").alias("group"), F.length("plain").cast("long").alias("length"), "plain"
+    )
+    texts = part_files(texts, "texts").repartition(_parts(lines))
+    pieces, windows = _pieces(texts), _windows(texts)
+    counts = pieces.select("key", "group", F.lit(1).alias("p"), F.lit(0).alias("w"))
+    counts = counts.union(windows.select("key", "group", F.lit(0), F.lit(1)))
+    counts = counts.groupBy("key", "group").agg(F.sum("p").alias("p"), F.sum("w").alias("w"))
+    keys = counts.groupBy("key").agg(
+        F.max_by("group", F.struct(F.col("p") * F.col("w"), "group")).alias("main"),
+        F.sum("p").alias("p"), F.sum("w").alias("w"), F.count("*").alias("n"),
+    )
+    keys = part_files(keys.where("p > 0 and w > 0 and n > 1").select("key", "main"), "keys")
+    side = F.col("group") == F.col("main")
+    few = pieces.join(keys, "key").withColumn("key", F.xxhash64("key", side.cast("int")))
+    many = windows.join(keys, "key").withColumn("side", F.explode(F.when(side, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    many = many.select(
+        F.xxhash64("key", "side").alias("key"), *[F.col(c).alias(f"{c}_b") for c in ("node", "group", "length", "place")]
+    )
+    moved, longer = "(place_b - place)", "(length_b - length)"
+    fit = f"{longer} between 0 and (length_b * {100 - PERCENT}) div 100 and abs({moved}) <= j and abs({moved} - {longer}) <= k - j"
+    pairs = few.join(many, "key").where("group != group_b").where(fit)
+    pairs = part_files(_pairs(pairs), "tried")
+    near = pairs.join(texts.select(F.col("node").alias("a"), F.col("plain").alias("x")), "a")
+    near = near.join(texts.select(F.col("node").alias("b"), F.col("plain").alias("y")), "b")
+    most = f"cast(floor(greatest(length(x), length(y)) * {100 - PERCENT} / 100) as int)"
+    return part_files(near.where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b"), "missed")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", complete: bool = False) -> DataFrame:
     """``id, drop``: for each document the numbers (from 0) of its lines that
     repeat a line before: one of a smaller id, or an earlier one of its own."""
     some = docs.where(F.col(id_col).isNotNull())
@@ -191,6 +271,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "distinct",
     )
     links = _links(lines, some, id_col, text_col)
+    if complete:
+        links = links.union(_missed(lines, part_files(links, "near"), some, id_col, text_col))
     whole = part_files(connected(links), "components")
     named = lines.join(whole, "node", "left").where("component is not null or times > 1")
     named = named.select("node", "place", F.coalesce("component", "node").alias("group"))
@@ -200,17 +282,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return away.groupBy("id").agg(F.collect_set("line_no").alias("drop")).withColumnRenamed("id", id_col)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", complete: bool = False) -> DataFrame:
     """``docs`` without repeated lines, with ``n_lines`` and ``n_dropped`` of each row.
 
     Lines of fewer than five words stay. Of each connected group of equal or
     similar lines the first one stays, by id, then by place. Blank lines and the
     order of lines stay. NULL texts, and rows with a NULL id, are left as they
     are; rows that share an id are dropped the same lines. Other columns stay;
-    columns named ``n_lines`` or ``n_dropped`` are replaced.
+    columns named ``n_lines`` or ``n_dropped`` are replaced. Unless ``complete``,
+    only pairs are compared that share a SimHash block.
     """
     with scratch(docs.sparkSession):
-        away = part_files(repeats(docs, id_col, text_col), "repeats", keep=True).withColumnRenamed("drop", "_drop")
+        away = part_files(repeats(docs, id_col, text_col, complete), "repeats", keep=True).withColumnRenamed("drop", "_drop")
     rows = docs.drop("n_lines", "n_dropped").join(away, id_col, "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = let(lines, lambda x: F.array_join(

@@ -55,7 +55,7 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the lines that repeat an earlier one."""
     docs = read_table(spark, folder, "documents")
-    return line_dedup.dedup(docs).select("doc_id", "text", "n_lines", "n_dropped")
+    return line_dedup.dedup(docs, complete=True).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:

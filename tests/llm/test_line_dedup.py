@@ -101,3 +101,49 @@ def test_odd_rows(spark):
         "e": ("\n \n", 3, 0), "f": (line, 1, 0), "g": (long, 2, 1), "h": ("", 1, 1),
     }
     assert d.dedup(df.limit(0)).count() == 0
+
+
+def by_edits(rows, fewest):
+    """Lines that stay by the edit similarity alone."""
+    lines = [(i, k, plain(x)) for i, t in sorted(rows) for k, x in enumerate(t.split("\n"))]
+    lines = [x for x in lines if len(x[2].split(" ")) >= fewest]
+    names = list(dict.fromkeys(x[2] for x in lines))
+    root = {n: n for n in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(names)):
+        for b in range(a):
+            x, y = names[a], names[b]
+            most = max(len(x), len(y)) * (100 - d.PERCENT) // 100
+            if abs(len(x) - len(y)) <= most and find(x) != find(y) and distance(x, y) <= most:
+                root[find(x)] = find(y)
+    seen, gone = set(), set()
+    for i, k, n in lines:
+        if find(n) in seen:
+            gone.add((i, k))
+        seen.add(find(n))
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+
+
+def test_complete_by_edits_alone(spark):
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    rows = []
+    for n in range(40):
+        line = " ".join("".join(draw.choices(letters[:-1], k=draw.randrange(1, 8))) for _ in range(draw.randrange(5, 16)))
+        copies = [line]
+        for _ in range(2):
+            x = list(line)
+            for _ in range(draw.choice([1, 2, len(x) // 10, len(x) // 10 + 1])):
+                at = draw.randrange(len(x))
+                x[at : at + 1] = draw.choice([[], [draw.choice(letters)], [x[at], draw.choice(letters)]])
+            copies.append("".join(x))
+        rows += [(3 * n + k, x) for k, x in enumerate(copies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = by_edits(rows, d.FEWEST_WORDS)
+    assert {r.doc_id: r.text for r in d.dedup(df, complete=True).collect()} == want
+    assert want != {r.doc_id: r.text for r in d.dedup(df).collect()}
