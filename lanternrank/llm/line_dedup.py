@@ -32,7 +32,8 @@ BLOCKS = 4
 MOST_BITS = 10
 # Edit similarity: one less edits over the longer length.
 PERCENT = 90
-# Lines of fewer words recur by chance in good text and are left alone.
+# Lines of fewer words are never compared by similarity; unless ``complete``,
+# they are left alone.
 FEWEST_WORDS = 5
 
 
@@ -91,12 +92,14 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), split)
 
 
-def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, line_no, node, length, bits`` of the lines long enough to count."""
+def nodes_of(docs: DataFrame, id_col: str, text_col: str, fewest: int = FEWEST_WORDS) -> DataFrame:
+    """``id, line_no, node, length, bits`` of the lines long enough to count;
+    those of fewer than FEWEST_WORDS words have no bits."""
     each = lines_of(docs, id_col, text_col).select("id", "line_no", normal(F.col("line")).alias("plain"))
-    each = each.withColumn("words", F.split("plain", " ")).where(F.size("words") >= FEWEST_WORDS)
+    each = each.withColumn("words", F.split("plain", " ")).where((F.size("words") >= fewest) & (F.col("plain") != ""))
+    bits = F.when(F.size("words") >= FEWEST_WORDS, simhash(F.col("words")))
     return each.select(
-        "id", "line_no", F.xxhash64("plain").alias("node"), F.length("plain").alias("length"), simhash(F.col("words")).alias("bits")
+        "id", "line_no", F.xxhash64("plain").alias("node"), F.length("plain").alias("length"), bits.alias("bits")
     )
 
 
@@ -262,7 +265,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", com
     """``id, drop``: for each document the numbers (from 0) of its lines that
     repeat a line before: one of a smaller id, or an earlier one of its own."""
     some = docs.where(F.col(id_col).isNotNull())
-    every = part_files(nodes_of(some, id_col, text_col), "lines")
+    every = part_files(nodes_of(some, id_col, text_col, 1 if complete else FEWEST_WORDS), "lines")
     lines = part_files(
         every.groupBy("node").agg(
             F.first("length").alias("length"), F.first("bits").alias("bits"),
@@ -270,9 +273,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", com
         ),
         "distinct",
     )
-    links = _links(lines, some, id_col, text_col)
+    long = lines.where("bits is not null")
+    links = _links(long, some, id_col, text_col)
     if complete:
-        links = links.union(_missed(lines, part_files(links, "near"), some, id_col, text_col))
+        links = links.union(_missed(long, part_files(links, "near"), some, id_col, text_col))
     whole = part_files(connected(links), "components")
     named = lines.join(whole, "node", "left").where("component is not null or times > 1")
     named = named.select("node", "place", F.coalesce("component", "node").alias("group"))
@@ -285,7 +289,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", com
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", complete: bool = False) -> DataFrame:
     """``docs`` without repeated lines, with ``n_lines`` and ``n_dropped`` of each row.
 
-    Lines of fewer than five words stay. Of each connected group of equal or
+    Lines of fewer than five words stay; if ``complete``, only the first of equal
+    ones does. Lines without letters and digits stay. Of each connected group of equal or
     similar lines the first one stays, by id, then by place. Blank lines and the
     order of lines stay. NULL texts, and rows with a NULL id, are left as they
     are; rows that share an id are dropped the same lines. Other columns stay;

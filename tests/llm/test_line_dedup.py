@@ -147,3 +147,10 @@ def test_complete_by_edits_alone(spark):
     want = by_edits(rows, d.FEWEST_WORDS)
     assert {r.doc_id: r.text for r in d.dedup(df, complete=True).collect()} == want
     assert want != {r.doc_id: r.text for r in d.dedup(df).collect()}
+
+
+def test_complete_short_lines(spark):
+    rows = [(1, "Read more!\n---\nread more\n短い行です"), (2, "Read more\n---\n短い行です\nRead on\n\n"), (3, "READ MORE..."), (None, "Read more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.text, r.n_dropped) for r in d.dedup(df, complete=True).collect()}
+    assert got == {1: ("Read more!\n---\n短い行です", 1), 2: ("---\nRead on\n\n", 2), 3: ("", 1), None: ("Read more", 0)}
