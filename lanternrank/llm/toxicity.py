@@ -26,8 +26,6 @@ EXAMPLES = 1024
 NEAREST = 16
 THRESHOLD = 0.3
 STEM = 5
-# Examples that a stem occurs in at least, and share of documents at most.
-LEAST_EXAMPLES, MOST_DOCUMENTS = 3, 0.1
 BLOCK = 64
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -147,10 +145,11 @@ def train(
     sample = F.broadcast(chosen[0].union(chosen[1]))
     few = rows.join(sample, "id").dropDuplicates(["id", "label"]).orderBy("id", "label").select("id", "label", "text").toLocalIterator()
     found = [(r.id, r.label, stems(r.text)) for r in few]
-    times = Counter(t for _, _, c in found for t in c)
-    names = sorted(t for t, n in times.items() if n >= LEAST_EXAMPLES)
+    known_stems = {t for _, _, c in found for t in c}
+    names = sorted(known_stems)
     total, counts = frequencies(rows, names)
-    idf = {t: float(np.log((total + 1) / (n + 1))) for t, n in zip(names, counts, strict=True) if n <= max(MOST_DOCUMENTS * total, LEAST_EXAMPLES)}
+    # Every stem counts; frequent ones weigh little.
+    idf = {t: float(np.log((total + 1) / (n + 1))) for t, n in zip(names, counts, strict=True)}
     every = sum(sizes.values())
     return Index(found, idf, sizes.get(1, 0) / every if every else 0.0)
 

@@ -61,6 +61,21 @@ def test_rows(spark):
     assert {r.score for r in t.score(df, none).collect()} == {0.0} and t.score(df.limit(0), none).count() == 0
 
 
+def test_copies_keep_their_stems(spark):
+    draw = random.Random(4)
+    plain = [f"{a}{b}" for a in ("tree", "lake", "sky", "moss", "fern") for b in "abcdefgh"]
+    rows = [(k, " ".join(draw.choices(plain, k=12))) for k in range(200)]
+    rows += [(300 + k, "you idiot scum trash clown " + draw.choice(plain)) for k in range(20)]
+    rows += [(400 + k, "you idiot scum trash clown") for k in range(110)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i, _ in rows], "doc_id long, toxic int")
+    index = t.train(df, labels)
+    seen = [c for i, _, c in ((i, 0, t.stems(x)) for i, x in rows) if i in set(index.ids)]
+    assert set(index.terms) == {w for c in seen for w in c}
+    got = {r.doc_id: r.predicted for r in t.score(df, index).collect()}
+    assert got == {i: int(i >= 300) for i, _ in rows}
+
+
 def test_held_out(spark, tables):
     tables = tables.replace("sf0.001", "sf0.1")
     got = {r.doc_id: r for r in queries.op4_toxicity(spark, tables).collect()}
