@@ -115,3 +115,24 @@ def test_a_broken_line_stops_a_stream(spark, tmp_path):
         stream.trigger(availableNow=True).start().awaitTermination()
     with pytest.raises(ValueError):
         read_record_stream(spark, str(tmp_path), "other")
+
+
+def test_a_second_root_is_an_error(spark, tmp_path):
+    array = '[{"retrieval_idx": "1", "doc": "a ] \\\" ["}]'
+    for name, text in (("two.json", f"{array}\n{array}\n"), ("tail.json", f'{array}\n{{"retrieval_idx": "2"}}')):
+        (tmp_path / name).write_text(text)
+        for kind in (None, True):
+            with pytest.raises(ValueError, match="after the first"):
+                r.read_records(spark, str(tmp_path / name), "cosqa_query", kind)
+    (tmp_path / "one.json").write_text(f"\n{array}\n\n")
+    assert r.read_records(spark, str(tmp_path / "one.json"), "cosqa_query").count() == 1
+
+
+def test_a_folder_of_both_forms(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    rows = [{"retrieval_idx": str(k), "doc": f"d{k}"} for k in range(5)]
+    (folder / "a.json").write_text(json.dumps(rows[:2], indent=1))
+    (folder / "b.json").write_text("\n" + "\n".join(json.dumps(x) for x in rows[2:]))
+    got = r.read_records(spark, str(folder), "cosqa_query").collect()
+    assert sorted(tuple(x) for x in got) == [(str(k), f"d{k}") for k in range(5)]
