@@ -47,3 +47,35 @@ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id
 FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
+
+
+def _centroids(rounds: int = 3) -> str:
+    """Rounds of assignment and update as one chain of tables."""
+    steps = [
+        """WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, v
+  FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 16))"""
+    ]
+    near = """a{0} AS (
+  SELECT vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS n
+  FROM (SELECT vec_id, k.v, c, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - m.v[i]) * (k.v[i] - m.v[i])))::BIGINT AS d
+    FROM kept k, c{0} m) GROUP BY vec_id)"""
+    moved = """u{0} AS (
+  SELECT c, list(m ORDER BY i) AS v
+  FROM (SELECT c, i, floor(sum(x) / count(*))::BIGINT AS m
+    FROM (SELECT n.c AS c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{0}) GROUP BY c, i) GROUP BY c),
+c{1} AS (SELECT c{0}.c, coalesce(u{0}.v, c{0}.v) AS v FROM c{0} LEFT JOIN u{0} USING (c))"""
+    for k in range(rounds):
+        steps += [near.format(k), moved.format(k, k + 1)]
+    steps.append(near.format(rounds))
+    return ",\n".join(steps) + f"""
+SELECT vec_id, n.c::INT AS cluster, n.d AS distance, (sum(n.d) OVER (PARTITION BY n.c))::BIGINT AS cluster_inertia,
+  (sum(n.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} m ON m.c = n.c
+"""
+
+
+SQL["op12_centroids"] = _centroids()

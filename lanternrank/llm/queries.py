@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lanternrank.llm import bpe, decontaminate, html_text, jaccard_join, labelled_pages, language_id, licenses, line_dedup, quality, toxicity, url_filter
+from lanternrank.llm import bpe, centroids, decontaminate, html_text, importance, jaccard_join, labelled_pages, language_id, licenses, line_dedup, quality, toxicity, url_filter, vantage
 from lanternrank.llm.oracle import SQL
 from lanternrank.llm.shared import held_out
 from lanternrank.sources.session import read_table
@@ -89,4 +89,21 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_licenses, op2_decontamination, op3_url_filter, op4_toxicity, op5_html_text, op6_jaccard_join, op7_line_dedup, op8_language_id, op9_quality, op10_bpe)}
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """The weight and score of every document, and the rank of those drawn."""
+    docs = read_table(spark, folder, "documents")
+    gains = importance.gains(docs, read_table(spark, folder, "benchmark"))
+    return importance.draw(importance.weigh(docs, gains))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """The cluster of every vector after three rounds around 16 centroids."""
+    return centroids.clusters(read_table(spark, folder, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprint of every document and its group of near ones."""
+    return vantage.groups(read_table(spark, folder, "documents"))
+
+
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_licenses, op2_decontamination, op3_url_filter, op4_toxicity, op5_html_text, op6_jaccard_join, op7_line_dedup, op8_language_id, op9_quality, op10_bpe, op11_importance, op12_centroids, op13_simhash)}
