@@ -30,15 +30,16 @@ from pyspark.sql import functions as F
 
 from lanternrank.llm.shared import connected, over_slices, part_files, scratch
 from lanternrank.llm.spans import NOT_BLANK, run_bounds, words_of
-from lanternrank.operators.sweep import GROUP, TASKS_PER_CORE, Kernel, run_cells, shuffle_tasks
+from lanternrank.operators.sweep import GROUP, Kernel, run_cells
 
 WIDTH = 4
 SEED = 42
 RADIUS = 4
 # Nodes on which the upper levels are laid out.
 SAMPLE = 1 << 16
-# Nodes that live in a shard: at least, for few nodes, and at most.
-SHARD = (1 << 12, 1 << 20)
+# Shards of any number of nodes, and nodes that live in a shard at most: the
+# more shards, the more of them a node visits.
+SHARDS, SHARD = 16, 1 << 18
 # Fingerprints in a leaf, compared with all that come to it.
 LEAF = 96
 # Comparisons done at once.
@@ -244,12 +245,11 @@ class Shard(Kernel):
             yield pa.RecordBatch.from_arrays([pa.array(values[linked][lo : lo + (1 << 16)]), pa.array(roots[lo : lo + (1 << 16)])], ["a", "b"])
 
 
-def _shards(nodes: DataFrame, radius: int, sample: int, shard: tuple[int, int]) -> DataFrame:
+def _shards(nodes: DataFrame, radius: int, sample: int, shards: int, most: int) -> DataFrame:
     """``grp, id, cell, turn``: every node in its home and in the shards it visits."""
     spark = nodes.sparkSession
     n = nodes.count()
-    least, most = shard
-    parts = max(1, -(-n // most), min(-(-n // least), TASKS_PER_CORE * shuffle_tasks(nodes)))
+    parts = max(shards, -(-n // most))
     chosen = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(sample).toPandas()["node"].to_numpy(np.int64)
     tree = grow(chosen.view(np.uint64), max(1, -(-len(chosen) // parts)), [])
     shared = spark.sparkContext.broadcast(tree)
@@ -266,16 +266,16 @@ def _shards(nodes: DataFrame, radius: int, sample: int, shard: tuple[int, int])
     return nodes.select("node").mapInArrow(run, f"{GROUP} string, id long, cell int, turn int")
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: tuple[int, int] = SHARD) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shards: int = SHARDS, most: int = SHARD) -> DataFrame:
     """Links ``a, b`` that connect all fingerprints of ``nodes(node)``, a table of
     distinct ones, that pairs within ``radius`` bits connect."""
-    rows = _shards(nodes, radius, sample, shard)
+    rows = _shards(nodes, radius, sample, shards, most)
     return run_cells(rows, None, partial(Shard, radius), Shard.SCHEMA)
 
 
 def groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
-    width: int = WIDTH, seed: int = SEED, sample: int = SAMPLE, shard: tuple[int, int] = SHARD,
+    width: int = WIDTH, seed: int = SEED, sample: int = SAMPLE, shards: int = SHARDS, most: int = SHARD,
 ) -> DataFrame:
     """``id, fingerprint, component_id`` of every row.
 
@@ -289,7 +289,7 @@ def groups(
     with scratch(spark):
         told = part_files(fingerprints(docs, id_col, text_col, width, seed), "fingerprints", keep=True)
         nodes = part_files(told.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n")), "nodes")
-        links = part_files(near_links(nodes, radius, sample, shard), "links")
+        links = part_files(near_links(nodes, radius, sample, shards, most), "links")
         whole = part_files(connected(links), "components")
         named = nodes.join(whole, "node", "left").withColumn("group", F.coalesce("component", "node"))
         least = named.groupBy("group").agg(F.min("id").alias("component_id"))

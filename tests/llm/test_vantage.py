@@ -81,13 +81,13 @@ def test_every_near_pair_shares_a_leaf(leaf):
     assert near and near <= together
 
 
-@pytest.mark.parametrize("shard", [(4, 1 << 20), (64, 1 << 20), (1, 16)])
-def test_links_over_shards(spark, shard):
+@pytest.mark.parametrize("shards, most", [(1, 1 << 20), (40, 1 << 20), (1, 16)])
+def test_links_over_shards(spark, shards, most):
     draw = random.Random(9)
     codes = near_codes(draw, 120, 12) + near_codes(draw, 1, 200)
     signed = [c - (1 << 64 if c >> 63 else 0) for c in codes]
     nodes = spark.createDataFrame([(c,) for c in signed], "node long").repartition(3)
-    links = vantage.near_links(nodes, sample=50, shard=shard).collect()
+    links = vantage.near_links(nodes, sample=50, shards=shards, most=most).collect()
     mask = (1 << 64) - 1
     root = {c: c for c in codes}
 
