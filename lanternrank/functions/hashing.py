@@ -36,20 +36,3 @@ class HashingModel:
                 at, sign = known[word]
                 row[at] += sign * n
         return out
-
-
-class HashingService:
-    """The same vectors in the shape of a remote client's answers.
-
-    The first call of a task fails, as a service might, and has to be repeated.
-    """
-
-    def __init__(self) -> None:
-        self.model = HashingModel()
-        self.calls = 0
-
-    def __call__(self, texts: list[str], endpoint: str) -> list[list[float]]:
-        self.calls += 1
-        if self.calls == 1:
-            raise ConnectionError("not yet")
-        return self.model(texts, "passage").tolist()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternrank.functions.text import instruct
+from lanternrank.functions.text import instruct, truncate_tokens
+
+if TYPE_CHECKING:
+    from lanternrank.operators.remote import RemoteEncoder
 
 # How a remote service is called.
 CHUNK = 256
@@ -28,29 +32,36 @@ class Encoder:
 
     ``load`` runs once per Python worker and returns a function from a list of
     texts and a role (``query`` or ``passage``) to a float matrix, one row per
-    text. ``prompt`` rewrites queries before they are encoded.
+    text. ``prompt`` rewrites queries before they are encoded. ``max_tokens``
+    cuts texts by role, in tokens of ``codec`` (words, if there is none).
     """
 
     name: str
     load: Callable[[], Callable[[list[str], str], np.ndarray]]
     prompt: Callable[[Column], Column] | None = None
     batch_size: int = 256
+    max_tokens: Mapping[str, int] | None = None
+    codec: Callable[[], tuple[Callable, Callable]] | None = None
 
 
-_REGISTRY: dict[str, Encoder] = {}
+_REGISTRY: dict[str, Encoder | RemoteEncoder] = {}
 _LOADED: dict[str, Callable] = {}  # per Python worker
 
 
-def register_encoder(encoder: Encoder) -> Encoder:
-    """Make an encoder known; models are chosen by the prefix of their name."""
+def register_encoder(encoder: Encoder | RemoteEncoder) -> Encoder | RemoteEncoder:
+    """Make an encoder known: local models by the prefix of a model's base name,
+    remote services by their exact name."""
     _REGISTRY[encoder.name] = encoder
     return encoder
 
 
-def encoder(model: str) -> Encoder:
-    """The registered encoder whose name begins the model's base name."""
+def encoder(model: str) -> Encoder | RemoteEncoder:
+    """The remote service of that name, else the local encoder whose name begins
+    the model's base name; of several, the longest."""
+    if model in _REGISTRY and not isinstance(_REGISTRY[model], Encoder):
+        return _REGISTRY[model]
     base = model.rstrip("/").rsplit("/", 1)[-1]
-    fitting = [name for name in _REGISTRY if base.startswith(name)]
+    fitting = [n for n, e in _REGISTRY.items() if base.startswith(n) and isinstance(e, Encoder)]
     if not fitting:
         raise ValueError(f"no encoder is registered for {model!r}")
     return _REGISTRY[max(fitting, key=len)]
@@ -68,7 +79,7 @@ def _loaded(name: str, load: Callable[[], Callable]) -> Callable:
     return _LOADED[name]
 
 
-def _float_lists(rows: list[np.ndarray | None]) -> pa.Array:
+def float_lists(rows: list[np.ndarray | None]) -> pa.Array:
     return pa.array(rows, pa.list_(pa.float32()))
 
 
@@ -95,7 +106,7 @@ def embed(
                 vectors = np.asarray(run([texts[i] for i in chosen], role), dtype=np.float32)
                 for i, vector in zip(chosen, vectors):
                     rows[i] = vector
-            yield _float_lists(rows)
+            yield float_lists(rows)
 
     # Declared nondeterministic so that a model never runs twice on a row,
     # e.g. because a filter on its result was moved below it.
@@ -103,10 +114,12 @@ def embed(
     text = F.col(text_col)
     if role == "query" and model.prompt is not None:
         text = model.prompt(text)
+    if model.max_tokens is not None:
+        text = truncate_tokens(text, model.max_tokens[role], model.codec)
     return df.withColumn(out, run_model(text))
 
 
-def _checked(
+def checked(
     response: object, n: int, dimension: int | None = None
 ) -> list[tuple[list[float] | None, str | None]]:
     """Keep well-formed vectors of a response; say what is wrong with others.
@@ -151,7 +164,9 @@ def embed_remote(
     A vector that has not ``dimension`` components becomes NULL with an error.
 
     ``max_parallel`` partitions mean at most that many calls at a time, which
-    is what services limit; pass None to keep the partitions of ``df``.
+    is what services limit; pass None to keep the partitions of ``df``. This
+    form is lazy, e.g. for streams, and a task that is lost asks for its whole
+    partition again; for large tables see ``remote.embed_by_ledger``.
     """
     spots = list(endpoints)
 
@@ -162,7 +177,7 @@ def embed_remote(
             try:
                 response = send(texts, endpoint)
                 if response is not None:
-                    return _checked(response, len(texts), dimension)
+                    return checked(response, len(texts), dimension)
                 error = "empty response"
             except ConnectionError as e:
                 error, wait = f"connection: {e}", wait_connection
@@ -186,7 +201,7 @@ def embed_remote(
                 for i, answer in zip(chosen, answers):
                     rows[i] = answer
             yield pa.StructArray.from_arrays(
-                [_float_lists([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string())],
+                [float_lists([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string())],
                 ["embedding", "error"],
             )
 

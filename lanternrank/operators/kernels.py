@@ -25,6 +25,7 @@ _ROWS, _COLUMNS = 256, 1024     # one tile of the score matrix: 2 MiB, stays in
 _FEW = 64                       # one in so many columns is computed singly
 _PENDING = 1 << 18              # candidates gathered before a top-k list is updated
 _OUT_ROWS = 1 << 16             # rows per result batch
+_PAIR_VALUES = 1 << 20          # components of pairs with one key scored at once
 
 
 def unit_vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -47,6 +48,12 @@ def _positions(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.divmod(np.flatnonzero(mask), mask.shape[1])
 
 
+def pair_ticks(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Scores of two columns of vectors, row by row, in ticks."""
+    x, y = unit_vectors(a), unit_vectors(b)
+    return pa.array(np.rint(np.einsum("ij,ij->i", x * TICKS_PER_UNIT, y)).astype(np.int64))
+
+
 class _Scoring(Kernel):
     def start(self, resident: pa.Table) -> None:
         self.group = resident[GROUP][0].as_py()
@@ -182,14 +189,16 @@ class TopK(_Scoring):
 
 
 class BestMatch(_Scoring):
-    """The best candidate that shares the query's key."""
+    """The best candidate that shares the query's key; only such pairs are scored."""
 
     SCHEMA = f"{GROUP} string, query_id bigint, gold_id bigint, gold_ticks bigint"
 
     def start(self, resident: pa.Table) -> None:
         super().start(resident)
         self.keys = pc.unique(resident["key"])
-        self.codes = integers(pc.index_in(resident["key"], self.keys))
+        codes = integers(pc.index_in(resident["key"], self.keys))
+        self.by_key = np.argsort(codes, kind="stable")     # queries, key by key
+        self.first = np.searchsorted(codes[self.by_key], np.arange(len(self.keys) + 1))
         self.best = np.full(len(self.ids), -np.inf)
         self.best_ids = np.full(len(self.ids), _NO_ID)
 
@@ -198,14 +207,29 @@ class BestMatch(_Scoring):
         if part.num_rows == 0:
             return
         codes = integers(pc.index_in(part.column("key"), self.keys))
-        for rows, where, ids, _, scores in self.tiles(part, self.vectors):
-            scores[self.codes[rows, None] != codes[where]] = -np.inf
-            np.rint(scores, out=scores)
-            first = scores.argmax(axis=1)  # of equals, the lowest id
-            ticks, chosen = scores[np.arange(len(first)), first], ids[first]
-            best, best_ids = self.best[rows], self.best_ids[rows]
-            won = (ticks > best) | ((ticks == best) & np.isfinite(ticks) & (chosen < best_ids))
-            best[won], best_ids[won] = ticks[won], chosen[won]
+        ids, vectors = integers(part.column("id")), unit_vectors(part.column("embedding"))
+        ends = np.cumsum(self.first[codes + 1] - self.first[codes])
+        # A slice has so many pairs, or is one candidate and its key's queries.
+        step, lo = max(1, _PAIR_VALUES // vectors.shape[1]), 0
+        while lo < len(ids):
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + step, "right")))
+            self._score(codes[lo:hi], ids[lo:hi], vectors[lo:hi], step)
+            lo = hi
+
+    def _score(self, codes: np.ndarray, ids: np.ndarray, vectors: np.ndarray, step: int) -> None:
+        counts = self.first[codes + 1] - self.first[codes]
+        col = np.repeat(np.arange(len(ids)), counts)
+        at = np.arange(len(col)) + np.repeat(self.first[codes] - (np.cumsum(counts) - counts), counts)
+        row = self.by_key[at]
+        for lo in range(0, len(row), step):
+            r, c = row[lo : lo + step], col[lo : lo + step]
+            ticks = np.rint(np.einsum("ij,ij->i", self.vectors[r], vectors[c]))
+            order = np.lexsort((ids[c], -ticks, r))
+            first = order[np.unique(r[order], return_index=True)[1]]  # the best of each query
+            q, t, i = r[first], ticks[first], ids[c[first]]
+            won = (t > self.best[q]) | ((t == self.best[q]) & (i < self.best_ids[q]))
+            self.best[q[won]], self.best_ids[q[won]] = t[won], i[won]
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         found = np.isfinite(self.best)

@@ -13,12 +13,14 @@ from functools import partial
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lanternrank.operators.kernels import TICKS_PER_UNIT, BestMatch, CountAhead, TopK
+from lanternrank.operators.kernels import TICKS_PER_UNIT, BestMatch, CountAhead, TopK, pair_ticks
 from lanternrank.operators.sweep import (
     GROUP,
     TASKS_PER_CORE,
     Fit,
+    Grid,
     Limits,
+    lay_out,
     measure,
     shuffle_tasks,
     side,
@@ -30,6 +32,7 @@ DEFAULT_K = 5
 DEFAULT_DEPTH = 1000
 
 PILOT = 64  # one in so many passages is looked at for a first bound
+KEY_PAIRS = 1 << 20  # pairs of a key that one task of a join may get
 
 
 def _named(by: str | None) -> list:
@@ -40,7 +43,7 @@ def _best_first() -> WindowSpec:
     return Window.partitionBy(GROUP, "query_id").orderBy(F.desc("ticks"), "passage_id")
 
 
-def _with_floor(resident: DataFrame, stream: DataFrame, k: int, fit: Fit) -> DataFrame:
+def _with_floor(resident: DataFrame, stream: DataFrame, k: int, fit: Fit, grid: Grid | None) -> DataFrame:
     """Queries with the score of their k-th best among a part of the passages.
 
     The k-th best of all is at least as good, so nothing below can be among
@@ -48,7 +51,7 @@ def _with_floor(resident: DataFrame, stream: DataFrame, k: int, fit: Fit) -> Dat
     """
     part = stream.where(F.pmod(F.xxhash64("id"), F.lit(PILOT)) == 0)
     floors = (
-        sweep(resident, part, partial(TopK, k), TopK.SCHEMA, fit)
+        sweep(resident, part, partial(TopK, k), TopK.SCHEMA, fit, grid)
         .withColumn("position", F.row_number().over(_best_first()))
         .where(F.col("position") == k)
         .select(GROUP, F.col("query_id").alias("id"), F.col("ticks").alias("floor"))
@@ -76,13 +79,14 @@ def knn_join(
         raise ValueError("k must be at least 1")
     resident, stream = side(queries, by), side(passages, by)
     fit = measure(resident, TopK.BYTES_PER_K * k, limits)
+    grid = None if fit.broadcast or fit.empty else lay_out(resident, stream, fit, limits)
     if pilot is None:
         pilot = TASKS_PER_CORE * shuffle_tasks(resident) > 8 * PILOT
     if pilot:
-        resident = _with_floor(resident, stream, k, fit)
+        resident = _with_floor(resident, stream, k, fit, grid)
     # Shuffled by name: a task's lists hold at most k per query already, and a
     # limit before the shuffle, which Spark would add, only sorts them once more.
-    nearest = sweep(resident, stream, partial(TopK, k), TopK.SCHEMA, fit).repartition(
+    nearest = sweep(resident, stream, partial(TopK, k), TopK.SCHEMA, fit, grid).repartition(
         GROUP, "query_id"
     )
     return (
@@ -120,6 +124,60 @@ def first_hits(
     )
 
 
+def best_answers(resident: DataFrame, stream: DataFrame, fit: Fit, limits: Limits = Limits()) -> DataFrame:
+    """``grp, id, gold_ticks, gold_id``: each query's best passage with its key.
+
+    Only pairs of one key are scored. Broadcast queries find theirs where the
+    passages lie. Else both sides are joined by key, but for keys of more than
+    KEY_PAIRS pairs: each of those is cut into cells like a group of its own, so
+    that a key which many passages share is no more work for one task.
+    """
+    asked = resident.select(GROUP, "key").distinct()
+    if fit.broadcast or fit.empty:
+        known = F.broadcast(asked) if fit.broadcast_keys else asked
+        answers = stream.join(known, [GROUP, "key"], "left_semi").select(*stream.columns)
+        found = sweep(resident, answers, BestMatch, BestMatch.SCHEMA, fit)
+    else:
+        sizes = resident.groupBy(GROUP, "key").agg(F.count("*").alias("q")).join(
+            stream.groupBy(GROUP, "key").agg(F.count("*").alias("p")), [GROUP, "key"]
+        )
+        hot = sizes.where(F.col("q").cast("double") * F.col("p") > KEY_PAIRS).select(GROUP, "key")
+        rows = hot.limit(limits.groups + 1).collect()
+        if len(rows) <= limits.groups:
+            hot = F.broadcast(resident.sparkSession.createDataFrame(rows, hot.schema))
+        found = _joined(resident, stream, hot if rows else None)
+        if rows:
+            found = found.unionByName(_hot_keys(resident, stream, hot, fit, limits))
+    return (
+        found.groupBy(GROUP, F.col("query_id").alias("id"))
+        .agg(F.min(F.struct(-F.col("gold_ticks"), "gold_id")).alias("gold"))
+        .select(GROUP, "id", (-F.col("gold.col1")).alias("gold_ticks"), "gold.gold_id")
+    )
+
+
+def _joined(resident: DataFrame, stream: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Pairs of one key by an equi-join."""
+    if hot is not None:
+        resident, stream = (x.join(hot, [GROUP, "key"], "left_anti") for x in (resident, stream))
+    asked = resident.select(GROUP, "key", F.col("id").alias("query_id"), F.col("embedding").alias("asked"))
+    pairs = asked.join(stream.select(GROUP, "key", F.col("id").alias("gold_id"), "embedding"), [GROUP, "key"])
+    score = F.arrow_udf(pair_ticks, "bigint")
+    return pairs.select(GROUP, "query_id", "gold_id", score("asked", "embedding").alias("gold_ticks"))
+
+
+def _hot_keys(resident: DataFrame, stream: DataFrame, hot: DataFrame, fit: Fit, limits: Limits) -> DataFrame:
+    """Best matches within the given keys, each a group that is cut into cells."""
+    name = F.to_json(F.struct(F.col(GROUP).alias("g"), F.col("key").alias("k")))
+
+    def of(rows: DataFrame) -> DataFrame:
+        return rows.join(hot, [GROUP, "key"], "left_semi").withColumn(GROUP, name).select(rows.columns)
+
+    asked, offered = of(resident), of(stream)
+    grid = lay_out(asked, offered, fit, limits)
+    found = sweep(asked, offered, BestMatch, BestMatch.SCHEMA, fit, grid)
+    return found.withColumn(GROUP, F.get_json_object(GROUP, "$.g"))
+
+
 def first_hit_rank(
     queries: DataFrame,
     passages: DataFrame,
@@ -138,19 +196,11 @@ def first_hit_rank(
     resident = side(queries, by, F.col("key"))
     stream = side(passages, by, F.col("key"))
     fit = measure(resident, 64, limits)
-
-    asked = resident.select(GROUP, "key").distinct()
-    asked = F.broadcast(asked) if fit.broadcast_keys else asked
-    answers = stream.join(asked, [GROUP, "key"], "left_semi")
-    best = (
-        sweep(resident, answers.select(*stream.columns), BestMatch, BestMatch.SCHEMA, fit)
-        .groupBy(GROUP, F.col("query_id").alias("id"))
-        .agg(F.min(F.struct(-F.col("gold_ticks"), "gold_id")).alias("gold"))
-        .select(GROUP, "id", (-F.col("gold.col1")).alias("gold_ticks"), "gold.gold_id")
-    )
+    grid = None if fit.broadcast or fit.empty else lay_out(resident, stream, fit, limits)
+    best = best_answers(resident, stream, fit, limits)
     aimed = resident.drop("key").join(best, [GROUP, "id"])
     ranks = (
-        sweep(aimed, stream.drop("key"), CountAhead, CountAhead.SCHEMA, fit)
+        sweep(aimed, stream.drop("key"), CountAhead, CountAhead.SCHEMA, fit, grid)
         .groupBy(GROUP, "query_id")
         .agg((F.sum("ahead") + 1).alias("rank"))
         .where(F.col("rank") <= depth)

@@ -13,6 +13,11 @@ One side is *resident*: a task holds a bounded block of it. The other side
 * otherwise both sides are cut by a hash of the row id into blocks and stripes
   and meet in (block, stripe) cells through one shuffle. Ids are unique, so
   cells are even whatever the keys or labels look like.
+
+How a group is cut follows from both of its sizes: into as many cells as its
+share of all comparisons asks for, and of all grids with so many cells the one
+that repeats the fewest rows. So one group that owns most passages, or most
+queries, is cut like any other, and a group of few comparisons is one cell.
 """
 
 from __future__ import annotations
@@ -23,14 +28,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanternrank.functions.vectors import has_direction
+from lanternrank.sources.records import materialize
 
 GROUP = "grp"
 TASKS_PER_CORE = 4  # relative to spark.sql.shuffle.partitions
+LEAST_WORK = 1 << 18  # comparisons that are worth a cell of their own
 
 
 @dataclass(frozen=True)
@@ -50,10 +57,25 @@ class Fit:
 
     rows_per_block: int
     broadcast: bool
-    blocks: dict[str, int] | None   # by group; None: too many groups to list
+    empty: bool = False
     broadcast_keys: bool = False    # the keys alone are small, if not the vectors
 
 
+@dataclass(frozen=True)
+class Grid:
+    """How groups are cut: ``grp, blocks, stripes, start`` of the listed ones.
+
+    ``start`` is the number of the group's first cell. Groups that are not
+    listed are one cell each if ``others``, and else have nothing to compare.
+    """
+
+    groups: DataFrame
+    cells: int | None               # None: not all groups are listed
+    others: bool
+    small: bool                     # the list has been read, so its size is known
+    only: tuple | None = None       # the list, if it is one group
+
+
 def side(df: DataFrame, by: str | None, *extra: Column) -> DataFrame:
     """Rows that can be scored: group, id, embedding and the extra columns.
 
@@ -85,15 +107,70 @@ def measure(resident: DataFrame, state_per_row: int, limits: Limits = Limits())
         dim = sizes.agg(F.max("dim")).first()[0]
     fits = max(1, min(limits.vectors // (8 * dim), limits.state // max(1, state_per_row)))
     if not known:
-        return Fit(fits, False, None)
+        return Fit(fits, False)
     key_bytes = sum(r["key_bytes"] for r in rows)
     small = (
         len(rows) <= limits.broadcast_groups
         and sum(r["n"] for r in rows) <= fits
         and sum(r["vector_bytes"] for r in rows) + key_bytes <= limits.broadcast
     )
-    blocks = {r[GROUP]: -(-r["n"] // fits) for r in rows}
-    return Fit(fits, small, blocks, key_bytes <= limits.broadcast)
+    return Fit(fits, small, not rows, key_bytes <= limits.broadcast)
+
+
+def _cut(sizes: DataFrame, work: int, tasks: int, rows_per_block: int) -> DataFrame:
+    """``grp, blocks, stripes`` for groups of ``q`` resident and ``p`` passing rows.
+
+    Every resident row is repeated for each stripe and every passing row for
+    each block. With b blocks and s stripes that is q*s + p*b rows, least for
+    b*s = c cells at b = sqrt(q*c/p). A block also has to fit in memory.
+    """
+    most = max(LEAST_WORK, -(-work // tasks))
+    q, p = F.col("q").cast("double"), F.col("p").cast("double")
+    cells = F.greatest(F.ceil(q * p / most), F.lit(1))
+    least = F.greatest(F.ceil(q / rows_per_block), F.lit(1))
+    ideal = F.round(F.sqrt(q * cells / p)).cast("long")
+    blocks = F.least(F.greatest(least, F.least(ideal, cells)), F.greatest(least, F.col("q")))
+    cut = sizes.where("q > 0 and p > 0").select(GROUP, "q", "p", cells.alias("cells"), blocks.alias("blocks"))
+    stripes = F.least(F.ceil(F.col("cells") / F.col("blocks")), F.col("p"))
+    return cut.select(GROUP, F.col("blocks").cast("int").alias("blocks"), stripes.cast("int").alias("stripes"), "q", "p")
+
+
+def _listed(spark: SparkSession, cut: list[Row], others: bool) -> Grid:
+    """The groups with their first cells, those with the largest cells first."""
+    cut = sorted(cut, key=lambda r: (-r["q"] * r["p"] / (r["blocks"] * r["stripes"]), r[GROUP]))
+    rows, start = [], 0
+    for r in cut:
+        rows.append((r[GROUP], r["blocks"], r["stripes"], start))
+        start += r["blocks"] * r["stripes"]
+    table = spark.createDataFrame(rows, f"{GROUP} string, blocks int, stripes int, start long")
+    only = rows[0] if len(rows) == 1 and not others else None
+    return Grid(table, None if others else start, others, True, only)
+
+
+def lay_out(resident: DataFrame, stream: DataFrame, fit: Fit, limits: Limits = Limits()) -> Grid:
+    """Count both sides by group and decide the grid.
+
+    Up to ``limits.groups`` groups are planned one by one, and their cells are
+    numbered without gaps. Of more groups only those of several cells are
+    listed: each has more than a task's share of all comparisons, or more than a
+    block of queries, so they are few; should they not be, they stay a table.
+    """
+    spark = resident.sparkSession
+    tasks = TASKS_PER_CORE * shuffle_tasks(resident)
+    both = resident.select(GROUP, F.lit(1).alias("q"), F.lit(0).alias("p")).unionAll(stream.select(GROUP, F.lit(0), F.lit(1)))
+    sizes = both.groupBy(GROUP).agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
+    rows = sizes.limit(limits.groups + 1).collect()
+    if len(rows) <= limits.groups:
+        work = sum(r["q"] * r["p"] for r in rows)
+        known = spark.createDataFrame(rows, sizes.schema)
+        return _listed(spark, _cut(known, work, tasks, fit.rows_per_block).collect(), False)
+    sizes = materialize(sizes, "group-sizes")
+    work = int(sizes.agg(F.sum(F.col("q").cast("double") * F.col("p"))).first()[0])
+    cut = _cut(sizes, work, tasks, fit.rows_per_block).where("blocks * stripes > 1")
+    rows = cut.limit(limits.groups + 1).collect()
+    if len(rows) <= limits.groups:
+        return _listed(spark, rows, True)
+    return Grid(cut.select(GROUP, "blocks", "stripes", F.pmod(F.xxhash64(GROUP), F.lit(1 << 40)).alias("start")), None, True, False)
 
 
 def with_group_value(df: DataFrame, name: str, values: dict[str, int] | DataFrame) -> DataFrame:
@@ -154,7 +231,7 @@ def _runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, pa.R
         yield tuple(batch.column(n)[lo].as_py() for n in names), batch.slice(lo, hi - lo)
 
 
-def _groups(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+def groups_of(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
     """The rows of each group, in whatever order they come."""
     coded = pc.dictionary_encode(batch.column(GROUP))
     if len(coded.dictionary) == 1:
@@ -170,19 +247,21 @@ def shuffle_tasks(df: DataFrame) -> int:
 
 
 def run_cells(
-    rows: DataFrame, n_cells: int | None, kernel: Callable[[], Kernel], schema: str
+    rows: DataFrame, n_cells: int | None, kernel: Callable[[], Kernel], schema: str, numbered: bool = False
 ) -> DataFrame:
     """Bring each cell of a group into one task, in turn order; run the kernel.
 
     Nothing is gathered: rows arrive in Arrow batches from a sorted partition
     and only the kernel's bounded state stays in memory. Neighbouring cells go
-    to different tasks, a few cells to each, so that tasks even out.
+    to different tasks, a few cells to each, so that tasks even out; each group
+    begins at a task by its hash, unless cells are ``numbered`` across groups.
     """
     parts = TASKS_PER_CORE * shuffle_tasks(rows)
     if n_cells is not None:
         parts = max(1, min(parts, n_cells))
     n = F.lit(parts)
-    place = F.pmod(F.pmod(F.xxhash64(GROUP), n) + F.col("cell"), n).cast("int")
+    first = F.lit(0) if numbered else F.pmod(F.xxhash64(GROUP), n)
+    place = F.pmod(first + F.col("cell"), n).cast("int")
     keys = [GROUP, "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +291,7 @@ def _broadcast_sweep(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work: dict[str, Kernel] = {}
         for batch in batches:
-            for group, part in _groups(batch):
+            for group, part in groups_of(batch):
                 if group not in work:
                     mine = held.value.filter(pc.equal(held.value[GROUP], group))
                     work[group] = kernel()
@@ -236,34 +315,33 @@ def every(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), n - 1))
 
 
-def _grid_sweep(
-    resident: DataFrame, stream: DataFrame, kernel: Callable[[], Kernel], schema: str, fit: Fit
-) -> DataFrame:
-    if fit.blocks is None:
-        stripes = 1
-        blocks = resident.groupBy(GROUP).agg(
-            F.ceil(F.count("*") / F.lit(fit.rows_per_block)).cast("int").alias("blocks")
-        )
-    else:
-        stripes = max(1, -(-TASKS_PER_CORE * shuffle_tasks(resident) // sum(fit.blocks.values())))
-        blocks = fit.blocks
-    n = F.lit(stripes)
-    held = with_group_value(resident, "blocks", blocks).select(
-        *resident.columns,
-        every(n).alias("stripe"),
-        bucket(F.col("blocks")).alias("block"),
-        F.lit(0).alias("turn"),
+def _in_grid(rows: DataFrame, grid: Grid) -> DataFrame:
+    """Rows with their group's grid; rows without anything to compare go."""
+    if grid.only:
+        group, blocks, stripes, start = grid.only
+        return rows.where(F.col(GROUP) == group).withColumns({"blocks": F.lit(blocks), "stripes": F.lit(stripes), "start": F.lit(start).cast("long")})
+    table = F.broadcast(grid.groups) if grid.small else grid.groups
+    if not grid.others:
+        return rows.join(table, GROUP)
+    rows = rows.join(table, GROUP, "left")
+    own = F.pmod(F.xxhash64(GROUP), F.lit(1 << 40))
+    return rows.withColumns({
+        "blocks": F.coalesce("blocks", F.lit(1)), "stripes": F.coalesce("stripes", F.lit(1)), "start": F.coalesce("start", own),
+    })
+
+
+def cells_of(resident: DataFrame, stream: DataFrame, grid: Grid) -> DataFrame:
+    """All rows at the cells they belong to, with ``cell`` and ``turn``: a resident
+    row in one block of every stripe, a passing row in one stripe of every block."""
+    block, stripe = bucket(F.col("blocks")), bucket(F.col("stripes"))
+    held = _in_grid(resident, grid).select(
+        *resident.columns, "start", "stripes", block.alias("block"), every(F.col("stripes")).alias("stripe"), F.lit(0).alias("turn")
     )
-    passing = with_group_value(stream, "blocks", blocks).select(
-        *stream.columns,
-        bucket(n).alias("stripe"),
-        every(F.col("blocks")).alias("block"),
-        F.lit(1).alias("turn"),
+    passing = _in_grid(stream, grid).select(
+        *stream.columns, "start", "stripes", stripe.alias("stripe"), every(F.col("blocks")).alias("block"), F.lit(1).alias("turn")
     )
     rows = held.unionByName(passing, allowMissingColumns=True)
-    rows = rows.withColumn("cell", F.col("block") * n + F.col("stripe")).drop("block", "stripe")
-    n_cells = None if fit.blocks is None else stripes * sum(fit.blocks.values())
-    return run_cells(rows, n_cells, kernel, schema)
+    return rows.withColumn("cell", F.col("start") + F.col("block") * F.col("stripes") + F.col("stripe")).drop("start", "stripes", "block", "stripe")
 
 
 def sweep(
@@ -272,10 +350,17 @@ def sweep(
     kernel: Callable[[], Kernel],
     schema: str,
     fit: Fit,
+    grid: Grid | None = None,
 ) -> DataFrame:
-    """Partial results of every resident row against every row of its group."""
-    if fit.blocks == {}:
+    """Partial results of every resident row against every row of its group.
+
+    ``grid`` may be that of larger sides, to count them only once.
+    """
+    if fit.empty:
         return resident.sparkSession.createDataFrame([], schema)
     if fit.broadcast:
         return _broadcast_sweep(resident, stream, kernel, schema)
-    return _grid_sweep(resident, stream, kernel, schema, fit)
+    grid = grid or lay_out(resident, stream, fit)
+    if grid.cells == 0:
+        return resident.sparkSession.createDataFrame([], schema)
+    return run_cells(cells_of(resident, stream, grid), grid.cells, kernel, schema, numbered=True)

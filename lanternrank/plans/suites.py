@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternrank.operators.collate import collate, collate_code
-from lanternrank.operators.embed import Encoder, embed
+from lanternrank.operators.embed import Encoder, embed, encoder
 from lanternrank.operators.metrics import retrieval_report
 from lanternrank.operators.precision import average_precision, map_score
+from lanternrank.operators.remote import RemoteEncoder, embed_by_ledger
 from lanternrank.operators.search import DEFAULT_DEPTH, first_hit_rank
 from lanternrank.operators.sweep import Limits
 from lanternrank.sources.records import (
@@ -20,6 +21,7 @@ from lanternrank.sources.records import (
     DISPLAY_ORDER,
     Spec,
     catalogue,
+    content_ids,
     materialize,
     read_code,
     read_records,
@@ -36,29 +38,52 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 def texts(
     spark: SparkSession, specs: Sequence[Spec], remain_format: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Queries and passages of all collections: ``dataset, id, key, text``."""
-    def one(spec: Spec, role: str) -> DataFrame:
-        path, schema = (
-            (spec.query_path, spec.query_schema)
-            if role == "query"
-            else (spec.passage_path, spec.passage_schema)
-        )
-        rows = collate(read_records(spark, path, schema), spec.layout, remain_format)
+    """Queries and passages of all collections: ``dataset, id, key, text``.
+
+    Passages are numbered by what they hold, so that equal scores rank alike
+    however the files are laid out; equal passages of a key share a number.
+    """
+    def read(path: str, schema: str, spec: Spec) -> DataFrame:
+        return collate(read_records(spark, path, schema), spec.layout, remain_format)
+
+    def side_of(rows: DataFrame, spec: Spec, role: str) -> DataFrame:
         return rows.select(
             F.lit(spec.dataset).alias("dataset"),
             F.col("url").alias("key"),
             F.col(role).alias("text"),
         )
 
-    return (
-        with_ids(_union([one(s, "query") for s in specs])),
-        with_ids(_union([one(s, "passage") for s in specs])),
-    )
+    asked, offered = [], []
+    for spec in specs:
+        if spec.same_file:
+            # Read and collated once; both sides are columns of that table.
+            both = materialize(read(spec.query_path, spec.query_schema, spec), spec.dataset)
+            queries = passages = both
+        else:
+            queries = read(spec.query_path, spec.query_schema, spec)
+            passages = read(spec.passage_path, spec.passage_schema, spec)
+        asked.append(side_of(queries, spec, "query"))
+        offered.append(side_of(passages, spec, "passage"))
+    return with_ids(_union(asked)), content_ids(_union(offered), "dataset", "key", "text")
 
 
-def embed_side(rows: DataFrame, model: Encoder, role: str) -> DataFrame:
-    """Embed a side once and keep it as a table for the passes that follow."""
-    return materialize(embed(rows, "text", model, role).drop("text"), f"{role}-vectors")
+Model = str | Encoder | RemoteEncoder
+
+
+def embed_side(
+    rows: DataFrame, model: Model, role: str, text_col: str = "text", ledger: str | None = None
+) -> DataFrame:
+    """Embed a side once and keep it as a table for the passes that follow.
+
+    The model is an encoder or the name of a registered one. A remote service
+    writes its answers to a table as they come (``ledger``); rows that it failed
+    on have a NULL vector, so that as passages they are no candidates and as
+    queries they are misses, like NULL texts under any model.
+    """
+    model = encoder(model) if isinstance(model, str) else model
+    if isinstance(model, RemoteEncoder):
+        return embed_by_ledger(rows, text_col, model, role, ledger=ledger).drop(text_col, "error")
+    return materialize(embed(rows, text_col, model, role).drop(text_col), f"{role}-vectors")
 
 
 def suite_ranks(
@@ -104,16 +129,21 @@ def display_line(shown: DataFrame, value: str) -> DataFrame:
 def run_suite(
     spark: SparkSession,
     root: str,
-    model: Encoder,
+    model: Model,
     datasets: tuple[str, ...] = DATASETS,
     use_valid: bool = False,
     remain_format: bool = False,
     limits: Limits = Limits(),
+    ledger: str | None = None,
 ) -> DataFrame:
-    """Text-to-code search: one wide report row per data set or language."""
+    """Text-to-code search: one wide report row per data set or language.
+
+    With a remote model ``ledger`` may name a shared folder, so that a suite
+    that was stopped goes on from the answers it has.
+    """
     asked, offered = texts(spark, catalogue(root, datasets, use_valid), remain_format)
-    queries = embed_side(asked, model, "query")
-    passages = embed_side(offered, model, "passage")
+    queries = embed_side(asked, model, "query", ledger=ledger and f"{ledger}/query")
+    passages = embed_side(offered, model, "passage", ledger=ledger and f"{ledger}/passage")
     return retrieval_report(suite_ranks(queries, passages, limits=limits), by="dataset")
 
 
@@ -125,14 +155,19 @@ def show_suite(report: DataFrame) -> DataFrame:
 def run_code_suite(
     spark: SparkSession,
     directory: str,
-    model: Encoder,
+    model: Model,
     langs: tuple[str, ...] = CODE_LANGS,
     on_error: str = "raise",
     limits: Limits = Limits(),
+    ledger: str | None = None,
 ) -> DataFrame:
-    """Code-to-code search within each language: ``lang, map``."""
-    code = with_ids(collate_code(read_code(spark, directory, langs), on_error=on_error))
-    vectors = materialize(embed(code, "func", model).drop("func"), "code-vectors")
+    """Code-to-code search within each language: ``lang, map``.
+
+    Records are numbered by what they hold, see ``texts``; those of one language
+    that are equal in index and code are one.
+    """
+    code = content_ids(collate_code(read_code(spark, directory, langs), on_error=on_error), "lang", "index", "func")
+    vectors = embed_side(code, model, "passage", "func", ledger)
     return map_score(vectors, by="lang", limits=limits)
 
 

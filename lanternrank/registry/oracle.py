@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lanternrank.registry import templates
+
 WS = (
     r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
     r"\x{202F}\x{205F}\x{3000}]+"
@@ -221,6 +223,97 @@ EMBEDDED = (
     + _counted("t", "texts") + " " + _components("t_raw")
 )
 
+def _content_id(*columns: str) -> str:
+    """The first 60 bits of a digest of the columns, one per line."""
+    text = f" || {NL} || ".join(f"coalesce({c}, '')" for c in columns)
+    return f"CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _py_template(n: int) -> str:
+    """What is left of a source of the n-th form."""
+    plain = "regexp_replace(text, '[''\"\\\\{}]', ' ', 'g')"
+    named = {"{T}": plain, "{S}": "source"}
+    return _drop_blank("(" + " || ".join(named.get(x, _literal(x)) for x in templates.parts(templates.PYTHON[n][1])) + ")")
+
+
+def _suite_files() -> str:
+    """The report over all data sets of the suite's files."""
+    title = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+    sides, ranks = [], []
+    langs = ("python", "java", "javascript", "php", "go", "ruby")
+    sources = [
+        (lang, f"SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS key, string_split(text, {NL})[1] AS text FROM documents WHERE doc_id % 6 = {k}",
+         f"SELECT CAST(doc_id AS VARCHAR) AS key, text FROM documents WHERE doc_id % 6 = {k}")
+        for k, lang in enumerate(langs)
+    ]
+    sources.append(("cosqa", f"SELECT id, key, {_collapse('text')} AS text FROM chat_q", f"SELECT key, {_collapse('text')} AS text FROM chat_p"))
+    sources.append(("adv", f"SELECT page_id AS id, url AS key, {title} AS text FROM pages", "SELECT url AS key, html AS text FROM pages"))
+    for name, asked, offered in sources:
+        sides.append(f"{name}_q AS ({asked})")
+        sides.append(f"{name}_p AS (SELECT DISTINCT {_content_id(_literal(name), 'key', 'text')} AS id, key, text FROM ({offered}))")
+        ranks.append(_ranks(f"{name}_r", f"{name}_q", f"{name}_p"))
+    whole = " UNION ALL ".join(f"SELECT '{name}' AS dataset, rank FROM {name}_r" for name, _, _ in sources)
+    return f"WITH {CHAT}, {', '.join(sides)}, {', '.join(ranks)}, r AS ({whole}) {_report('dataset,')} GROUP BY dataset"
+
+
+def _code_files() -> str:
+    langs = ("python", "java", "javascript", "typescript", "csharp", "c", "ruby", "php", "go")
+    lang = f"[{', '.join(map(_literal, langs))}][1 + doc_id % 9]"
+    stripped = f"CASE lang WHEN 'ruby' THEN {C_CODE} WHEN 'python' THEN {PY_STRIPPED} ELSE {_strip_c(C_CODE)} END"
+    return f"""
+    WITH named AS (SELECT doc_id, source, text, lang AS l, {lang} AS lang FROM documents),
+    code AS (
+      SELECT {_content_id('lang', 'CAST(doc_id AS VARCHAR)', 'func')} AS id, label, lang, func AS text
+      FROM (SELECT doc_id, CAST(substr(source, 4) AS INT) AS label, lang,
+                   {_collapse(stripped.replace('|| lang ||', '|| l ||'))} AS func FROM named)),
+    {_hashed('ce', 'code')},
+    u AS (SELECT ce.id, ce.e, code.label, code.lang FROM ce JOIN code ON code.id = ce.id),
+    {_ap(
+        f"SELECT q.lang AS grp, q.id AS qid, p.id AS pid, q.label = p.label AS rel, {TICKS} AS ticks "
+        "FROM u q JOIN u p ON p.lang = q.lang AND p.id <> q.id"
+    )}
+    SELECT list_position([{', '.join(map(_literal, langs))}], grp) AS position, grp AS lang, round(avg(ap), 4) AS map
+    FROM ap GROUP BY grp"""
+
+
+def _shingled(source: str) -> str:
+    """CTEs ``g(id, g)`` and ``c(id, class_id, n)`` of ``source(id, text)``."""
+    return f"""
+    w AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {source}),
+    s AS (SELECT id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM w),
+    c AS (SELECT id, CASE WHEN len(s) > 0 THEN min(id) OVER (PARTITION BY s) END AS class_id, len(s) AS n FROM s),
+    g AS (SELECT s.id, unnest(s.s) AS g FROM s JOIN c USING (id) WHERE c.class_id = c.id),
+    alike AS (
+      SELECT a, b, shared, x.n + y.n - shared AS either
+      FROM (SELECT p.id AS a, q.id AS b, count(*) AS shared FROM g p JOIN g q ON p.g = q.g AND p.id < q.id GROUP BY ALL)
+      JOIN c x ON x.id = a JOIN c y ON y.id = b
+      WHERE 100 * shared >= 80 * (x.n + y.n - shared))"""
+
+
+TEXTS = "texts AS (SELECT doc_id AS id, text FROM documents)"
+ANNOTATED = f"""
+    WITH {CHAT}, {_hashed('q', 'chat_q')}, {_hashed('p', 'chat_p')},
+    scored AS (SELECT q.id AS query_id, p.id AS passage_id, {TICKS} AS ticks FROM q CROSS JOIN p),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ticks DESC, passage_id) AS rank,
+             row_number() OVER (PARTITION BY passage_id ORDER BY ticks DESC, query_id) AS back
+      FROM scored),
+    {_shingled('chat_p')},
+    linked AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike UNION SELECT id, id FROM c WHERE class_id = id),
+    reached AS (
+      SELECT DISTINCT t.key, l.b AS class_id FROM chat_p t JOIN c ON c.id = t.id JOIN linked l ON l.a = c.class_id),
+    told AS (
+      SELECT query_id, passage_id, ticks / 1e9 AS score, rank, CASE WHEN back <= 5 THEN back END AS back_rank,
+             x.key AS query_key, x.text AS query_text, y.key AS passage_key, y.text AS passage_text, x.key = y.key AS positive,
+             x.key <> y.key AND EXISTS (SELECT 1 FROM reached r JOIN c ON c.class_id = r.class_id WHERE c.id = passage_id AND r.key = x.key) AS doubtful
+      FROM ranked JOIN chat_q x ON x.id = query_id JOIN chat_p y ON y.id = passage_id WHERE rank <= 5)
+    SELECT * REPLACE (round(CASE WHEN doubtful THEN score / 2 ELSE score END, 6) AS score) FROM told WHERE score >= 0.1"""
+
 SQL = {
     "l2_normalize": f"""
         SELECT id AS vec_id, dim, round(e[dim + 1], 6) AS value
@@ -242,7 +335,27 @@ SQL = {
     "knn_topk_blocked": KNN,
     "knn_topk_1000": f"""SELECT query_id, passage_id, rank FROM (
         WITH q AS ({UNIT}), p AS ({UNIT}) {_neighbours(1000)})""",
+    "knn_skewed_groups": f"""
+        WITH q AS ({UNIT}), p AS ({UNIT})
+        SELECT '7' AS part, * FROM ({_neighbours(10)}) WHERE query_id % 40 = 7""",
+    "first_hit_hot_keys": f"""
+        WITH asked AS (SELECT conv_id * 1000 + turn AS id, 'src' || conv_id % 8 AS key, text FROM conversations),
+        offered AS (SELECT doc_id AS id, source AS key, text FROM documents),
+        {_ranks('r', 'asked', 'offered')} SELECT * FROM r""",
     "text_search_topk": TEXT_TOP5,
+    "run_suite_files": _suite_files(),
+    "run_code_suite_files": _code_files(),
+    "structural_pairs": f"WITH {TEXTS}, {_shingled('texts')} SELECT a, b, shared, either FROM alike",
+    "structural_classes": f"WITH {TEXTS}, {_shingled('texts')} SELECT id, class_id, n FROM c",
+    "annotated_pairs": ANNOTATED,
+    "pair_by_key": """
+        SELECT a.url AS key, a.page_id AS passage_id, a.html AS passage, b.page_id AS query_id,
+               regexp_extract(b.html, '(?s)<title>(.*?)</title>', 1) AS query
+        FROM pages a JOIN pages b ON a.url = b.url""",
+    "strip_py_templates": "SELECT doc_id, CASE doc_id % 4 "
+    + " ".join(f"WHEN {k} THEN {_py_template(k)}" for k in range(len(templates.PYTHON)))
+    + " END AS code FROM documents",
+    "read_arrays": "SELECT doc_id, text AS doc FROM documents",
     "first_hit": f"{CHAT_RANKS} SELECT * FROM r",
     "first_hit_depth_20": f"WITH {CHAT}, {_ranks('r', 'chat_q', 'chat_p', 20)} SELECT * FROM r",
     "first_hit_searched": f"WITH {CHAT}, {_ranks('r', 'chat_q', 'chat_p', 20)} SELECT * FROM r",

@@ -6,28 +6,24 @@ text by fixed templates; the SQL in ``oracle`` builds the same ones.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternrank.functions import text as t
 from lanternrank.functions import tokens as tk
 from lanternrank.functions import vectors as v
-from lanternrank.functions.hashing import HashingModel, HashingService
+from lanternrank.functions.hashing import HashingModel
 from lanternrank.operators import collate as co
 from lanternrank.operators import metrics as m
-from lanternrank.operators.embed import (
-    Encoder,
-    embed,
-    embed_remote,
-    encoder,
-    instructed,
-    register_encoder,
-)
+from lanternrank.operators.embed import Encoder, embed, encoder, instructed, register_encoder
 from lanternrank.operators.pooling import pick_layer, pool
 from lanternrank.operators.precision import average_precision, map_score
+from lanternrank.operators.remote import as_remote, embed_by_ledger
 from lanternrank.operators.search import first_hit_rank, first_hits, knn_join
 from lanternrank.operators.sweep import Limits
-from lanternrank.plans import suites
+from lanternrank.plans import pairs, suites
+from lanternrank.registry import templates
 from lanternrank.sources import records as r
 from lanternrank.sources.session import prepare, read_table
 from lanternrank.streaming.embeddings import append_embeddings, read_record_stream
@@ -178,6 +174,25 @@ def knn_topk_1000(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(knn_join(rows, rows, 1000)).select("query_id", "passage_id", "rank")
 
 
+def knn_skewed_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Forty groups of queries; one of them owns all passages. Shuffled layout."""
+    rows = _vectors(spark, folder)
+    asked = rows.withColumn("part", (F.col("id") % 40).cast("string"))
+    offered = rows.withColumn("part", F.lit("7"))
+    return _rounded(knn_join(asked, offered, 10, by="part", limits=SMALL_TASKS))
+
+
+def first_hit_hot_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents look for documents of their source: few keys, many answers each.
+    Shuffled layout."""
+    texts = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("key"), "text")
+    items = read_table(spark, folder, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("src"), F.col("conv_id") % 8).alias("key"), "text"
+    )
+    asked, offered = (suites.embed_side(r.spread(x), HASHING, "passage") for x in (items, texts))
+    return first_hit_rank(asked, offered, limits=SMALL_TASKS)
+
+
 def text_search_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items look for the five nearest documents."""
     items = read_table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text")
@@ -285,6 +300,107 @@ def code_suite(spark: SparkSession, folder: str) -> DataFrame:
     return suites.display(scores, "domain", "map", ("en", "de", "fr", "es"))
 
 
+def _write_arrays(rows: DataFrame, path: str) -> None:
+    """Records as files of one JSON array each, a file for each partition."""
+
+    def lines(batches):
+        first = True
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": [("[" if first else ",") + text]})
+                first = False
+        if not first:
+            yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(lines, "value string").write.text(path)
+
+
+def _suite_files(spark: SparkSession, folder: str) -> str:
+    """The tables as the files of all data sets, in the catalogue's places.
+
+    First lines look for their documents, split over six languages; user turns
+    for assistant turns, in array files; and page titles for pages.
+    """
+    root = _fresh(spark, "suite")
+    specs = {s.dataset: s for s in r.catalogue(root)}
+    docs = r.spread(read_table(spark, folder, "documents"))
+    for k, lang in enumerate(r.CSN_LANGS):
+        mine = docs.where(F.col("doc_id") % len(r.CSN_LANGS) == k)
+        mine = mine.select(
+            F.col("doc_id").cast("string").alias("url"),
+            F.split(F.substring_index("text", "\n", 1), " ").alias("docstring_tokens"),
+            F.split("text", " ").alias("code_tokens"),
+        )
+        mine.drop("code_tokens").write.json(specs[lang].query_path)
+        mine.drop("docstring_tokens").write.json(specs[lang].passage_path)
+    asked, answers = (_chat(spark, folder, role) for role in ("user", "assistant"))
+    _write_arrays(asked.select(F.col("key").alias("retrieval_idx"), F.col("text").alias("doc")), specs["cosqa"].query_path)
+    _write_arrays(answers.select(F.col("key").alias("url"), F.col("text").alias("code")), specs["cosqa"].passage_path)
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    pages = read_table(spark, folder, "pages")
+    pages.select(
+        "url", F.split(title, " ").alias("docstring_tokens"), F.split("html", " ").alias("function_tokens")
+    ).write.json(specs["adv"].query_path)
+    return root
+
+
+def run_suite_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole text-to-code suite, from files to one report row for each data set."""
+    return _round_metrics(suites.run_suite(spark, _suite_files(spark, folder), "models/hashing-64"))
+
+
+def run_code_suite_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole code-to-code suite: documents as functions of nine languages."""
+    root = _fresh(spark, "code-suite")
+    docs = r.spread(read_table(spark, folder, "documents"))
+    for k, lang in enumerate(r.CODE_LANGS):
+        mine = docs.where(F.col("doc_id") % len(r.CODE_LANGS) == k)
+        code = (_py_code() if lang == "python" else _c_code()).alias("func")
+        mine = mine.select(F.col("doc_id").alias("index"), F.substring("source", 4, 9).alias("label"), code)
+        mine.write.json(f"{root}/{r.CODE_PATH.format(lang=lang)}")
+    scores = suites.run_code_suite(spark, root, "models/hashing-64")
+    return suites.show_code_suite(scores)
+
+
+# --- training pairs -------------------------------------------------------
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("key"), "text")
+
+
+def structural_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose word shingles are alike, texts of equal shingles once."""
+    return pairs.structural_pairs(_texts(spark, folder))
+
+
+def structural_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of equal shingles that each document belongs to."""
+    return pairs.classes(_texts(spark, folder))
+
+
+def annotated_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """User turns with their five nearest assistant turns, texts and both ranks;
+    negatives that are like an answer of the conversation are marked, and count
+    half; what is below a score goes."""
+    asked, answers = (r.spread(_chat(spark, folder, role)) for role in ("user", "assistant"))
+    sides = [
+        r.materialize(embed(rows, "text", HASHING, role), f"{role}-texts")
+        for rows, role in ((asked, "query"), (answers, "passage"))
+    ]
+    found = pairs.mark_doubtful(pairs.annotated_pairs(*sides, k=5), answers)
+    found = pairs.adjust_scores(pairs.select_pairs(found, 0.1), F.col("doubtful"), lambda s: s / 2)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def pair_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Page titles as descriptions of their pages."""
+    pages = read_table(spark, folder, "pages")
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    code = pages.select(F.col("page_id").alias("id"), F.col("url").alias("key"), F.col("html").alias("text"))
+    return pairs.pair_by_key(code, pages.select(F.col("page_id").alias("id"), F.col("url").alias("key"), title.alias("text")))
+
+
 # --- text -----------------------------------------------------------------
 
 
@@ -337,6 +453,18 @@ def strip_py_comments(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder, code=t.strip_py_comments(_py_code()))
 
 
+def strip_py_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources of several forms, by id, in which the document's text is code."""
+    plain = F.regexp_replace("text", "['\"\\\\{}]", " ")
+
+    def source(template: str) -> Column:
+        return F.concat(*[plain if x == "{T}" else F.col("source") if x == "{S}" else F.lit(x) for x in templates.parts(template)])
+
+    kind = F.col("doc_id") % len(templates.PYTHON)
+    code = F.coalesce(*[F.when(kind == k, source(x)) for k, (x, _) in enumerate(templates.PYTHON)])
+    return _documents(spark, folder, code=t.strip_py_comments(code, on_error="raise"))
+
+
 def strip_comments(spark: SparkSession, folder: str) -> DataFrame:
     """One pass over a table of mixed languages."""
     lang = (
@@ -447,13 +575,11 @@ def embed_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embed_service(spark: SparkSession, folder: str) -> DataFrame:
-    """A service whose first answer per task fails and is asked for again."""
+    """The trial encoder under a ledger, as a service is asked: in chunks."""
     texts = read_table(spark, folder, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"
     )
-    answered = embed_remote(
-        texts, "text", HashingService, endpoints=("a", "b"), wait_connection=0.0, wait_other=0.0
-    )
+    answered = embed_by_ledger(texts, "text", as_remote(HASHING, endpoints=("a", "b")))
     return _components(answered.where(F.col("error").isNull()))
 
 
@@ -516,6 +642,14 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return r.read_records(spark, path, "cosqa_query").select(F.col("retrieval_idx").cast("bigint").alias("doc_id"), "doc")
 
 
+def read_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """Records in files of one JSON array each."""
+    path = _fresh(spark, "arrays.json")
+    rows = read_table(spark, folder, "documents")
+    _write_arrays(rows.select(F.col("doc_id").alias("retrieval_idx"), F.col("text").alias("doc")), path)
+    return r.read_records(spark, path, "cosqa_query").select(F.col("retrieval_idx").cast("bigint").alias("doc_id"), "doc")
+
+
 def read_code_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Code records whose labels are text, quoted as they are written."""
     path = _fresh(spark, "code")

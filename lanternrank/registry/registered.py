@@ -12,6 +12,8 @@ QUERIES = {
         q.knn_topk,
         q.knn_topk_blocked,
         q.knn_topk_1000,
+        q.knn_skewed_groups,
+        q.first_hit_hot_keys,
         q.text_search_topk,
         q.first_hit,
         q.first_hit_depth_20,
@@ -27,6 +29,12 @@ QUERIES = {
         q.suite_report,
         q.suite_display,
         q.code_suite,
+        q.run_suite_files,
+        q.run_code_suite_files,
+        q.structural_pairs,
+        q.structural_classes,
+        q.annotated_pairs,
+        q.pair_by_key,
         q.collapse_ws,
         q.join_tokens,
         q.drop_blank_lines,
@@ -35,6 +43,7 @@ QUERIES = {
         q.strip_c_comments,
         q.strip_c_comments_pages,
         q.strip_py_comments,
+        q.strip_py_templates,
         q.strip_comments,
         q.fit_tokens,
         q.attention_mask,
@@ -55,6 +64,7 @@ QUERIES = {
         q.pick_first_layer,
         q.json_roundtrip,
         q.read_documents,
+        q.read_arrays,
         q.read_code_labels,
         q.embedding_roundtrip,
         q.report_roundtrip,

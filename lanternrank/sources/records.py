@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternrank.sources.json_arrays import forms, objects, parsed
+
 # Fields of the record files.
 LAYOUTS = {
     "csn": (
@@ -84,66 +84,41 @@ def catalogue(root: str, datasets: tuple[str, ...] = DATASETS, use_valid: bool =
     return specs
 
 
-def array_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """JSON files that hold one array of objects, and those that hold one object
-    per line: each told by its own first text, whatever its name."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    lines = lines.withColumn("at", F.struct("start", F.monotonically_increasing_id())).where(F.trim("value") != "")
-    first = F.ltrim(F.regexp_replace(F.min_by("value", "at"), "^[\ufeff\\s]+", ""))
-    rows = lines.groupBy("file").agg(first.startswith("[").alias("array")).collect()
-    return sorted(unquote(r.file) for r in rows if r.array), sorted(unquote(r.file) for r in rows if not r.array)
-
-
-_PART = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)
-
-
-def _root_end(text: str) -> int:
-    """Where the first array or object of a JSON text ends; its length if it does not."""
-    depth = 0
-    for part in _PART.finditer(text):
-        depth += {"[": 1, "{": 1, "]": -1, "}": -1}.get(part.group(), 0)
-        if depth == 0 and part.group() in ("]", "}"):
-            return part.end()
-    return len(text)
-
-
-def check_single_roots(spark: SparkSession, paths: list[str]) -> None:
-    """An error if text follows the first root of a file: Spark would leave it out."""
-
-    def followed(rows: Iterator) -> Iterator[str]:
-        for row in rows:
-            if row.value[_root_end(row.value) :].strip():
-                yield row.file
-
-    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    found = whole.rdd.mapPartitions(followed).take(1)
-    if found:
-        raise ValueError(f"text after the first array in {unquote(found[0])}")
-
-
 def read_records(spark: SparkSession, path: str, layout: str, array: bool | None = None) -> DataFrame:
     """Records with a declared schema: no pass over the data to infer one.
 
-    Files hold one object per line or, if ``array``, one array of objects; only
-    the former can be split between tasks. By default ``.jsonl`` files hold
-    lines, and each other file is looked at. Labels are read as text, quoted or not;
+    Files hold one object per line or, if ``array``, one array of objects; both
+    are split between tasks. By default ``.jsonl`` files hold lines, and each
+    other file is looked at. Labels are read as text, quoted or not;
     ``collate_code`` casts them. Anything else than that form is an error, as is
-    text after the array of a file; files of both forms may share a folder.
+    text after the array of a file, or a second object on a line; blank lines
+    are passed over. Files of both forms may share a folder.
     """
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout {layout!r}, expected one of {sorted(LAYOUTS)}")
-    reader = spark.read.schema(LAYOUTS[layout]).option("mode", "FAILFAST")
-    if array is None and not path.endswith(".jsonl"):
-        whole, lines = array_files(spark, path)
-        if whole and lines:
-            check_single_roots(spark, whole)
-            # The names are as found, not patterns.
-            reader = reader.option("__globPaths__", "false")
-            return reader.json(whole, multiLine=True).unionByName(reader.json(lines, multiLine=False))
-        array = bool(whole)
-    if array:
-        check_single_roots(spark, [path])
-    return reader.json(path, multiLine=bool(array))
+    schema = LAYOUTS[layout]
+    if array is None:
+        array = None if not path.endswith(".jsonl") else False
+    if array is False:
+        return parsed(lines_of(spark.read.text(path)), schema)
+    arrays, lines = forms(spark, path)
+    if array and lines:
+        raise ValueError(f"text before the first array in {unquote(lines[0])}")
+    parts = []
+    if arrays:
+        parts.append(parsed(objects(spark, [unquote(f) for f in arrays]), schema))
+    if lines or not arrays:
+        names = [unquote(f) for f in lines]
+        # The names are as found, not patterns.
+        text = spark.read.option("__globPaths__", "false").text(names) if names else spark.read.text(path)
+        parts.append(parsed(lines_of(text), schema))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def lines_of(text: DataFrame) -> DataFrame:
+    """``text`` of the lines that are not blank."""
+    value = F.regexp_replace("value", "^\ufeff", "")
+    return text.select(value.alias("text")).where(F.col("text").rlike(r"\S"))
 
 
 def read_code(spark: SparkSession, directory: str, langs: tuple[str, ...] = CODE_LANGS) -> DataFrame:
@@ -181,6 +156,13 @@ def with_ids(df: DataFrame, name: str = "id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def content_ids(df: DataFrame, *columns: str, name: str = "id") -> DataFrame:
+    """Add a bigint that only depends on what a row holds: 60 bits of a digest
+    of the columns, one per line. Equal rows share it."""
+    text = F.concat_ws("\n", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return df.withColumn(name, F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"))
+
+
 def write_embeddings(
     df: DataFrame, path: str, partition_by: str | None = None, mode: str = "errorifexists"
 ) -> None:

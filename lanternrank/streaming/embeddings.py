@@ -12,15 +12,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lanternrank.operators.collate import collate
 from lanternrank.operators.embed import Encoder, embed
-from lanternrank.sources.records import LAYOUTS
+from lanternrank.sources.json_arrays import parsed
+from lanternrank.sources.records import LAYOUTS, lines_of
 
 
 def read_record_stream(spark: SparkSession, folder: str, layout: str) -> DataFrame:
-    """JSON-lines records from files as they appear in a folder; a broken line
-    stops the stream, as it stops a batch."""
+    """JSON-lines records from files as they appear in a folder; a broken line,
+    or one with two objects, stops the stream, as it stops a batch."""
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout {layout!r}, expected one of {sorted(LAYOUTS)}")
-    return spark.readStream.schema(LAYOUTS[layout]).option("mode", "FAILFAST").json(folder)
+    return parsed(lines_of(spark.readStream.text(folder)), LAYOUTS[layout])
 
 
 def append_embeddings(

@@ -1,0 +1,168 @@
+"""The ledger: chunks asked once, calls at a time, and runs that go on."""
+
+import os
+import subprocess
+import sys
+import textwrap
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import clients
+from lanternrank.functions.hashing import HashingModel
+from lanternrank.operators.embed import Encoder, encoder, instructed, register_encoder
+from lanternrank.operators.remote import RemoteEncoder, as_remote, embed_by_ledger, encode
+from lanternrank.plans import suites
+
+
+def texts(spark, values, parts=7):
+    rows = [(i, v, f"e{i}") for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "id long, text string, error string").repartition(parts)
+
+
+def service(client=clients.Flaky, **options):
+    options = {"wait_connection": 0.0, "wait_other": 0.0, "chunk": 4, "max_parallel": 3, **options}
+    return RemoteEncoder("flaky", client, **options)
+
+
+def test_rows_keep_their_vectors(spark):
+    values = [None if i % 13 == 0 else "x" * (i % 17) for i in range(100)]
+    df = texts(spark, values)
+    found = embed_by_ledger(df, "text", service())
+    assert found.columns == ["id", "text", "embedding", "error"]
+    rows = found.collect()
+    assert sorted(r.id for r in rows) == list(range(100))
+    assert all(r.embedding is None if r.text is None else r.embedding[0] == len(r.text) for r in rows)
+    assert {r.error for r in rows} == {None}
+
+
+def test_failures_are_null_with_a_reason(spark):
+    found = {r.text: r for r in embed_by_ledger(texts(spark, ["always", "lost", "nothing", "short", "bad", "fine", None]), "text", service(chunk=1)).collect()}
+    reasons = {k: r.error for k, r in found.items() if r.embedding is None}
+    assert "down" in reasons["always"] and "connection" in reasons["lost"]
+    assert reasons["nothing"] == "empty response" and "0 vectors" in reasons["short"]
+    assert reasons["bad"] == "not a list of floats" and reasons[None] is None
+    assert found["fine"].embedding == [4.0, 0.0]
+
+
+def test_chunks_are_full_whatever_the_partitions(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    df = texts(spark, ["t"] * 50, parts=20)
+    embed_by_ledger(df, "text", service(clients.Logging(str(log)), chunk=8, max_parallel=2)).count()
+    calls = [int(x.name.split("-")[0]) for x in log.iterdir()]
+    assert sorted(calls) == [2, 8, 8, 8, 8, 8, 8]
+
+
+def test_calls_at_a_time(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    df = texts(spark, [str(i) for i in range(24)], parts=12)
+    embed_by_ledger(df, "text", service(clients.Logging(str(log), 0.2), chunk=2, max_parallel=2)).count()
+    spans = [tuple(map(float, x.read_text().split())) for x in log.iterdir()]
+    assert len(spans) == 12
+    assert max(sum(a <= t < b for a, b in spans) for t, _ in spans) <= 2
+
+
+def test_endpoints_go_round_by_chunk(spark):
+    df = texts(spark, ["a"] * 30)
+    rows = embed_by_ledger(df, "text", service(endpoints=("1", "2", "3"), chunk=5)).collect()
+    assert sorted(r.embedding[1] for r in rows) == [1.0] * 10 + [2.0] * 10 + [3.0] * 10
+
+
+def test_a_stopped_run_goes_on(spark, tmp_path):
+    log, book = tmp_path / "log", str(tmp_path / "book")
+    log.mkdir()
+    values = [f"t{i}" for i in range(40)]
+    broken = service(clients.Logging(str(log), stop="t33"), chunk=2, max_parallel=2, attempts=1)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, text string").coalesce(1)
+    with pytest.raises(Exception):
+        embed_by_ledger(df, "text", broken, ledger=book)
+    done = len(list(log.iterdir()))
+    whole = service(clients.Logging(str(log)), chunk=2, max_parallel=2)
+    rows = embed_by_ledger(df, "text", whole, ledger=book).collect()
+    assert sorted(r.text for r in rows) == sorted(values) and all(r.embedding for r in rows)
+    again = len(list(log.iterdir())) - done
+    # Of the stopped wave, at most its other chunk was asked twice.
+    assert done >= 15 and done + again <= 21
+    before = len(list(log.iterdir()))
+    assert embed_by_ledger(df, "text", whole, ledger=book).count() == 40
+    assert len(list(log.iterdir())) == before
+
+
+KILLED = """
+import sys
+sys.path[:0] = {path!r}
+import clients
+from pyspark.sql import SparkSession
+from lanternrank.operators.remote import RemoteEncoder, embed_by_ledger
+spark = (SparkSession.builder.master("local[2,4]").config("spark.checkpoint.dir", {shared!r})
+         .config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate())
+df = spark.createDataFrame([(i, f"t{{i}}") for i in range(48)], "id long, text string").coalesce(1)
+model = RemoteEncoder("killed", clients.Logging({log!r}, kill="t20"), chunk=4, max_parallel=3)
+rows = embed_by_ledger(df, "text", model).collect()
+assert sorted(r.id for r in rows) == list(range(48)) and all(r.embedding for r in rows)
+spark.stop()
+"""
+
+
+def test_a_killed_task_repeats_its_chunk_only(tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    here = os.path.dirname(os.path.abspath(__file__))
+    code = KILLED.format(path=[os.path.dirname(here), here], shared=str(tmp_path / "shared"), log=str(log))
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join([os.path.dirname(here), here])}
+    subprocess.run([sys.executable, "-c", textwrap.dedent(code)], env=env, check=True, timeout=300, capture_output=True)
+    names = [x.name.split("-")[1] for x in log.iterdir()]
+    asked = {n: names.count(n) for n in names}
+    # Twelve chunks, each named by its first text; the killed one was asked twice.
+    assert asked == {f"t{4 * k}": 1 + (k == 5) for k in range(12)}
+
+
+def test_vectors_of_another_length(spark):
+    df = spark.createDataFrame([(i, "xy" if i == 5 else "x") for i in range(12)], "id long, text string").coalesce(1)
+    rows = embed_by_ledger(df, "text", service(clients.Widths, chunk=3, max_parallel=2)).collect()
+    bad = [r for r in rows if r.embedding is None]
+    assert [r.id for r in bad] == [5] and bad[0].error == "2 components, not 1"
+    told = embed_by_ledger(df, "text", service(clients.Widths, chunk=3, dimension=2)).collect()
+    assert [r.id for r in told if r.embedding] == [5]
+
+
+def test_texts_are_cut_and_prompted(spark):
+    df = spark.createDataFrame([(1, "one two three four")], "id long, text string")
+    model = service(max_tokens=2, prompt=lambda c: F.concat(F.lit("ask "), c))
+    assert embed_by_ledger(df, "text", model).first().embedding[0] == len("one two")
+    assert embed_by_ledger(df, "text", model, "query").first().embedding[0] == len("ask one")
+    local = Encoder("lengths", clients.load_lengths, batch_size=3, max_tokens={"query": 1, "passage": 3})
+    assert encode(df, "text", local).first().embedding[0] == len("one two three")
+    assert encode(df, "text", local, "query").first().embedding[0] == len("one")
+    with pytest.raises(ValueError):
+        embed_by_ledger(df, "text", model, "title")
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "id long, text string")
+    found = embed_by_ledger(none, "text", service())
+    assert found.count() == 0 and found.columns == ["id", "text", "embedding", "error"]
+
+
+def test_names():
+    remote = register_encoder(RemoteEncoder("some-service-large", clients.Flaky))
+    local = register_encoder(Encoder("some-service", clients.load_lengths))
+    assert encoder("some-service-large") is remote
+    assert encoder("some-service-large-2") is local  # a service has one name
+    assert encoder("org/some-service-x") is local
+
+
+def test_suites_over_a_service(spark):
+    rows = [(k, f"k{k}", f"w{k} w{k + 1} w{k + 2}") for k in range(30)]
+    asked = spark.createDataFrame(rows, "id long, key string, text string")
+    model = Encoder("plain", HashingModel)
+    service_like = as_remote(model, chunk=4, max_parallel=2)
+    a = suites.embed_side(asked, model, "passage").orderBy("id").collect()
+    b = suites.embed_side(asked, service_like, "passage").orderBy("id").collect()
+    assert [(r.id, r.key) for r in a] == [(r.id, r.key) for r in b]
+    assert np.allclose([r.embedding for r in a], [r.embedding for r in b])
+    prompted = as_remote(instructed("plain-prompted", HashingModel), "query")
+    assert suites.embed_side(asked.limit(1), prompted, "query").first().embedding != a[0].embedding
