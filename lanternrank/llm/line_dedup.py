@@ -1,312 +1,253 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-Every line is normalised and gets a 64-bit SimHash of its words, four blocks of
-16 bits. Two lines within three bits agree on a whole block, so lines that share
-a block and nearly the length are compared: few differing bits, then the edit
-similarity of the normalised lines. Of each connected group the first line stays.
-
-Equal lines are one node. A block shared by many is not expanded into all pairs:
-lines meet the first line of their block, and afterwards only those that are
-outside the group which leads the block meet the others in it.
-
-SimHash blocks miss pairs that are similar enough. With ``complete`` every pair
-of groups that this leaves apart is tried by pieces: a line of which up to k
-characters may be edited is cut in k + 1 pieces, and one of them stands unchanged,
-and little moved, in the longer line. Nothing but the edit similarity decides.
+Every line is normalised and gets a 64-bit SimHash of its distinct words. The
+bits are cut into eight blocks; lines that agree on two of them, which is certain
+up to six differing bits, and have nearly the same length meet at a key. Of those,
+lines with few differing bits, the same numbers and the edit similarity are
+linked. Of each connected group the first line stays.
+
+Equal lines are one node. First, nodes meet the leader of a longer block, which
+connects the copies of a line. Then, at the keys of two blocks, only those
+outside the group of a key's leader meet the others, and only nodes of different
+groups are paired.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternrank.llm.quality import let
 from lanternrank.llm.shared import connected, part_files, scratch
 
-BLOCKS = 4
-# Differing bits of 64 up to which lines of a block are compared in full; for
-# pairs within BLOCKS - 1 bits it is certain that they share a block.
-MOST_BITS = 10
+# Blocks of the fingerprint, and how many of them make a key.
+BLOCKS, CHOSEN = 8, 2
+# Differing bits of 64 up to which lines of a key are compared in full.
+MOST_BITS = 12
 # Edit similarity: one less edits over the longer length.
 PERCENT = 90
-# Lines of fewer words are never compared by similarity; unless ``complete``,
-# they are left alone.
-FEWEST_WORDS = 5
+# Words longer than this are cut into runs of GRAM characters, for scripts
+# without spaces.
+LONG_WORD, GRAM = 24, 3
+# Width of a band of lengths, in the logarithm; it only cuts the lists of keys.
+BAND = 0.6
+# Lines that hold more than one in so many rows are told to all tasks.
+HOT = 512
 
 
 def normal(line: Column) -> Column:
-    """Lower case; digits as 0; runs of other characters than letters and digits as one space."""
-    plain = F.regexp_replace(F.lower(line), r"\p{N}", "0")
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{M}0]+", " "))
+    """Lower case; runs of other characters than letters and digits as one space."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def _counts(codes: Column, lane: int) -> list[Column]:
-    """How many codes have each bit, ``lane`` bits for each count, 64/lane counts in a sum."""
-    step = F.lit(sum(1 << k for k in range(0, 64, lane)))
+def numbers(plain: Column) -> Column:
+    """The digit runs of a normalised line, in order."""
+    return F.regexp_extract_all(plain, F.lit(r"(\p{N}+)"), F.lit(1))
 
-    def total(j: int) -> Column:
-        return F.aggregate(
-            codes, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, j).bitwiseAND(step)
-        )
 
-    return [total(j) for j in range(lane)]
+def features(plain: Column) -> Column:
+    """Distinct words; of a line with a very long one, distinct runs of characters."""
 
+    def grams(chars: Column) -> Column:
+        n = F.greatest(F.size(chars) - (GRAM - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(chars, i, GRAM), ""))
 
-def _simhash(codes: Column, lane: int) -> Column:
-    half = F.size(codes) / 2
-    sums = F.array(*_counts(codes, lane))
+    long = plain.rlike(r"\S{%d}" % (LONG_WORD + 1))
+    words = F.when(long, let(F.split(plain, ""), grams)).otherwise(F.split(plain, " "))
+    return F.array_distinct(words)
 
-    def bits(s: Column) -> Column:
-        each = [
-            F.when(
-                F.shiftrightunsigned(F.element_at(s, j + 1), k).bitwiseAND(F.lit((1 << lane) - 1)) > half,
-                F.lit(1 << (j + k) if j + k < 63 else -(1 << 63)).cast("long"),
-            ).otherwise(F.lit(0).cast("long"))
-            for j in range(lane) for k in range(0, 64, lane)
-        ]
-        return reduce(Column.bitwiseOR, each)
 
-    return let(sums, bits)
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, line_no, line, raw`` of every line with a letter, in order; ``raw``
+    is the line's hash."""
+    split = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "line")
+    rows = docs.select(F.col(id_col).alias("id"), split).where(F.col("line").rlike(r"\p{L}"))
+    return rows.withColumn("raw", F.xxhash64("line"))
 
 
-def simhash(words: Column) -> Column:
-    """64 bits, each the majority of that bit among the hashed words.
+_HALF = 1 << 32 | 1  # two counts in a long
 
-    Counts are added in parallel in parts of a long: of 8 bits for up to 127
-    words, of 16 or 32 bits for longer lines.
-    """
 
-    def pick(codes: Column) -> Column:
-        n = F.size(codes)
-        return F.when(n <= 127, _simhash(codes, 8)).when(n <= 32_767, _simhash(codes, 16)).otherwise(_simhash(codes, 32))
+def _bits() -> Column:
+    """The majority of each bit, from sums of two bits each."""
+    total = F.lit(0).cast("long")
+    for j in range(32):
+        low = 2 * F.col(f"s{j}").bitwiseAND(F.lit((1 << 32) - 1)) > F.col("n")
+        high = 2 * F.shiftrightunsigned(f"s{j}", 32) > F.col("n")
+        for more, bit in ((low, j), (high, j + 32)):
+            value = 1 << bit if bit < 63 else -(1 << 63)
+            total = total.bitwiseOR(F.when(more, F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
+    return total
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), pick)
 
+def fingerprints(lines: DataFrame) -> DataFrame:
+    """``raw, node, length, bits, first_id, times`` of every distinct line.
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, line_no, line`` of every line, in order."""
-    split = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "line")
-    return docs.select(F.col(id_col).alias("id"), split)
-
-
-def nodes_of(docs: DataFrame, id_col: str, text_col: str, fewest: int = FEWEST_WORDS) -> DataFrame:
-    """``id, line_no, node, length, bits`` of the lines long enough to count;
-    those of fewer than FEWEST_WORDS words have no bits."""
-    each = lines_of(docs, id_col, text_col).select("id", "line_no", normal(F.col("line")).alias("plain"))
-    each = each.withColumn("words", F.split("plain", " ")).where((F.size("words") >= fewest) & (F.col("plain") != ""))
-    bits = F.when(F.size("words") >= FEWEST_WORDS, simhash(F.col("words")))
-    return each.select(
-        "id", "line_no", F.xxhash64("plain").alias("node"), F.length("plain").alias("length"), bits.alias("bits")
+    Words become rows, and the bits of their hashes are added up, two to a sum,
+    partition by partition: those sums stay within 32 bits, and each partition
+    that has a line gets the same majority.
+    """
+    plain = lines.select("id", "raw", normal(F.col("line")).alias("plain"))
+    words = plain.select(
+        "id", "raw", F.xxhash64("plain").alias("node"), F.length("plain").alias("length"), F.posexplode(features(F.col("plain"))).alias("at", "word")
+    )
+    h = words.withColumn("h", F.xxhash64("word")).withColumn("part", F.spark_partition_id())
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_HALF))).alias(f"s{j}") for j in range(32)]
+    each = h.groupBy("part", "raw", "node", "length").agg(
+        F.min("id").alias("first_id"), F.sum((F.col("at") == 0).cast("long")).alias("times"), F.count("*").alias("n"), *sums
     )
+    told = each.select("raw", "node", "length", "first_id", "times", _bits().alias("bits"))
+    return told.groupBy("raw", "node", "length", "bits").agg(F.min("first_id").alias("first_id"), F.sum("times").alias("times"))
 
 
-def _close() -> Column:
+def _banded(nodes: DataFrame) -> DataFrame:
+    """Rows with the band of lengths; those near the lower end are also in the
+    band below, so that similar lines have a band in common."""
+    place = F.log(F.col("length").cast("double")) / BAND
+    near = math.log(100 / PERCENT) / BAND + 0.01
+    band = F.floor(place)
+    return nodes.withColumn("band", F.explode(F.when(place - band <= near, F.array(band, band - 1)).otherwise(F.array(band))))
+
+
+def _keyed(nodes: DataFrame, chosen: int) -> DataFrame:
+    """A row for each key of a node: ``chosen`` of the fingerprint's blocks (or,
+    if 1, of its quarters), with the band."""
+    count, wide = (4, 16) if chosen == 1 else (BLOCKS, 64 // BLOCKS)
+    parts = [F.shiftrightunsigned("bits", wide * k).bitwiseAND(F.lit((1 << wide) - 1)) for k in range(count)]
+    keys = []
+    for n, some in enumerate(combinations(range(count), chosen)):
+        key = F.lit(n).cast("long")
+        for k in some:
+            key = F.shiftleft(key, wide).bitwiseOR(parts[k])
+        keys.append(key)
+    rows = _banded(nodes).withColumn("block", F.explode(F.array(*keys)))
+    rows = rows.withColumn("key", F.shiftleft("block", 6).bitwiseOR(F.col("band").cast("long"))).drop("block", "band")
+    return rows.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+
+
+def _close(other: str) -> Column:
     """Lengths that can be that similar, and few differing bits."""
-    length = 100 * F.least("length", "length_b") >= PERCENT * F.greatest("length", "length_b")
-    return length & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_b"))) <= MOST_BITS)
+    length, bits = F.col(f"length{other}"), F.col(f"bits{other}")
+    near = 100 * F.least("length", length) >= PERCENT * F.greatest("length", length)
+    return near & (F.bit_count(F.col("bits").bitwiseXOR(bits)) <= MOST_BITS)
 
 
-def _buckets(members: DataFrame, columns: list[str]) -> DataFrame:
-    """``key`` and the columns of every line, once for each of its blocks.
+def _to_leader(nodes: DataFrame) -> DataFrame:
+    """Candidates ``a, b``: each node and the leader of each of its quarters."""
+    within = Window.partitionBy("key").orderBy("num")
+    rows = _keyed(nodes.select("num", "length", "bits"), 1)
+    lead = [F.first(c).over(within).alias(f"{c}_b") for c in ("num", "length", "bits")]
+    rows = rows.select("num", "length", "bits", *lead).where((F.col("num") != F.col("num_b")) & _close("_b"))
+    return rows.select(F.col("num").alias("a"), F.col("num_b").alias("b")).distinct()
 
-    A key is a block with a band of lengths, several times as wide as similar
-    lines may differ; lines near the lower end of a band are also in the band
-    below, so that similar lines have a band in common.
-    """
-    near = math.log(100 / PERCENT)
-    place = F.log(F.col("length").cast("double")) / (4 * near)
-    band = F.floor(place)
-    rows = members.withColumn("band", F.explode(F.when(place - band <= 0.26, F.array(band, band - 1)).otherwise(F.array(band))))
-    blocks = [F.shiftrightunsigned("bits", 16 * k).bitwiseAND(F.lit(0xFFFF)) + (k << 16) for k in range(BLOCKS)]
-    rows = rows.withColumn("block", F.explode(F.array(*blocks)))
-    rows = rows.select(F.xxhash64("block", "band").alias("key"), *columns)
-    # One shuffle serves the leaders of the keys and all joins on the key.
-    return rows.repartition(_parts(rows), "key")
 
+def _between_groups(nodes: DataFrame) -> DataFrame:
+    """Candidates ``a, b`` of different groups that agree on two blocks."""
+    rows = _keyed(nodes.select("num", "length", "bits", "group"), CHOSEN)
+    main = F.first("group").over(Window.partitionBy("key").orderBy("num"))
+    outside = rows.withColumn("main", main).where(F.col("group") != F.col("main"))
+    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("num", "length", "bits", "group")])
+    # Two that are outside meet once; one outside and one of the main group, too.
+    pairs = outside.join(other, "key").where((F.col("group") != F.col("group_b")) & _close("_b"))
+    pairs = pairs.where((F.col("num") < F.col("num_b")) | (F.col("group_b") == F.col("main")))
+    return pairs.select(F.greatest("num", "num_b").alias("a"), F.least("num", "num_b").alias("b")).distinct()
 
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+def _texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``num, plain`` of the wanted nodes, ``num, raw``.
 
-def _lines_with(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
-    """``node, plain`` of the given nodes.
-
-    A bitmap of fixed size, one bit for each hash of a node, spares the shuffle
-    of most other lines; the join is exact.
+    A bitmap of fixed size, one bit for each hash, spares the shuffle of most
+    other lines; the join is exact.
     """
     bits = 1 << 22
-    cell = F.pmod(F.col("node"), F.lit(bits))
-    words = nodes.select(F.shiftright(cell, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(node, {bits}) % 64 as int))").alias("b"))
-    blank = nodes.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+    cell = F.pmod(F.col("raw"), F.lit(bits))
+    words = wanted.select(F.shiftright(cell, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(raw, {bits}) % 64 as int))").alias("b"))
+    blank = wanted.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
     words = part_files(words.union(blank).groupBy("w").agg(F.bit_or("b").alias("b")), "bitmap")
     table = words.agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("x")).select("x.b").scalar()
-    each = lines_of(docs, id_col, text_col).select(normal(F.col("line")).alias("plain"))
-    each = each.withColumn("node", F.xxhash64("plain"))
     seen = F.getbit(F.element_at(table, (F.shiftright(cell, 6) + 1).cast("int")), F.pmod(cell, F.lit(64)).cast("int")) == 1
-    found = each.where(seen).groupBy("node").agg(F.first("plain").alias("plain"))
-    return part_files(found.join(nodes, "node", "left_semi"), "plain")
+    found = lines.select("raw", "line").where(seen).join(wanted, "raw").groupBy("num", "line").agg(F.count("*"))
+    return part_files(found.select("num", normal(F.col("line")).alias("plain")), "plain")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``a, b`` of pairs whose normalised lines are similar enough."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = _lines_with(docs, id_col, text_col, ends)
-    near = pairs.join(texts.select(F.col("node").alias("a"), F.col("plain").alias("x")), "a")
-    near = near.join(texts.select(F.col("node").alias("b"), F.col("plain").alias("y")), "b")
+def _linked(pairs: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """``a, b`` of pairs that have the same numbers and are similar enough."""
+    ends = pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct()
+    texts = _texts_of(lines, nodes.select("num", "raw").join(ends, "num"))
+    near = pairs.join(texts.select(F.col("num").alias("a"), F.col("plain").alias("x")), "a")
+    near = near.join(texts.select(F.col("num").alias("b"), F.col("plain").alias("y")), "b")
     most = f"cast(floor(greatest(length(x), length(y)) * {100 - PERCENT} / 100) as int)"
+    near = near.where(numbers(F.col("x")) == numbers(F.col("y")))
     return near.where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct()
-
-
-def _links(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links between distinct lines: first with the leader of each key, then
-    between what is outside the leader's group and all others of the key."""
-    rows = _buckets(lines, ["node", "length", "bits"])
-    lead = rows.groupBy("key").agg(F.min(F.struct("node", "length", "bits")).alias("lead"), F.count("*").alias("size"))
-    lists = rows.join(lead.where("size > 1"), "key")
-    lists = lists.select("key", "node", "length", "bits", "size", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("node", "length", "bits")])
-    lists = part_files(lists, "lists")
-    star = part_files(_pairs(lists.where((F.col("node") != F.col("node_b")) & _close())), "star")
-    links = part_files(_verified(star, docs, id_col, text_col), "links")
-    first = part_files(connected(links), "groups")
-    # Of two members of a key one leads: only longer lists have other pairs.
-    named = lists.where("size > 2").select("key", "node", "length", "bits", F.col("node_b").alias("lead")).join(first, "node", "left")
-    named = part_files(named.withColumn("group", F.coalesce("component", "node")).drop("component"), "named")
-    main = named.where("node = lead").select("key", F.col("group").alias("main"))
-    outside = named.drop("lead").join(main, "key").where("group != main")
-    other = named.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "length", "bits", "group")])
-    rest = outside.join(other, "key").where((F.col("group") != F.col("group_b")) & _close())
-    rest = part_files(_pairs(rest).join(star, ["a", "b"], "left_anti"), "rest")
-    return links.union(_verified(rest, docs, id_col, text_col))
-
-
-# Width of a band of lengths (of the logarithm), and of places as a share of the
-# longest line of a band; they only cut the lists of a piece.
-BAND, PLACES = 0.42, 0.25
-
+def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    groups = part_files(connected(links), "groups").select(F.col("node").alias("num"), "component")
+    return nodes.join(groups, "num", "left").withColumn("group", F.coalesce("component", "num")).drop("component")
 
-def _budget(length: str) -> str:
-    """Edits that a line may be away from one of its length or longer."""
-    return f"(((100 * {length}) div {PERCENT}) * {100 - PERCENT}) div 100"
 
-
-def _keyed(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.select(F.expr("xxhash64(substring(plain, place + 1, q), q, band, field)").alias("key"), "node", "group", "length", "place", *columns)
-
-
-def _pieces(texts: DataFrame) -> DataFrame:
-    """Every line in one piece more than it may have edits, at all keys where a
-    longer line can have the piece: moved by at most as many characters as there
-    are edits before it and, from the other end, behind it."""
-    rows = texts.withColumn("k", F.expr(_budget("length"))).where("k > 0").withColumn("q", F.expr("length div (k + 1)"))
-    ends = f"cast(floor(ln(length) / {BAND}) as int), cast(floor(ln((100 * length) div {PERCENT}) / {BAND}) as int)"
-    rows = rows.withColumn("band", F.expr(f"explode(sequence({ends}))")).withColumn("j", F.expr("explode(sequence(0L, k))"))
-    rows = rows.withColumn("place", F.expr("j * q")).withColumn("wide", F.expr(_WIDE))
-    fields = "explode(sequence(greatest(place - least(j, k - j), 0L) div wide, (place + j) div wide))"
-    return _keyed(rows.withColumn("field", F.expr(fields)), "j", "k")
-
-
-_WIDE = f"cast(ceil(exp((band + 1) * {BAND}) * {PLACES}) as bigint)"
-
-
-def _windows(texts: DataFrame) -> DataFrame:
-    """Every stretch of a line that is as long as the pieces of similar lines."""
-    least = f"length - (length * {100 - PERCENT}) div 100"
-    sizes = f"explode(array_distinct(transform(sequence({least}, length), n -> n div ({_budget('n')} + 1))))"
-    rows = texts.where(f"length * {100 - PERCENT} >= 100").withColumn("q", F.expr(sizes))
-    rows = rows.withColumn("band", F.expr(f"cast(floor(ln(length) / {BAND}) as int)")).withColumn("wide", F.expr(_WIDE))
-    rows = rows.withColumn("place", F.expr("explode(sequence(0L, length - q))"))
-    return _keyed(rows.withColumn("field", F.expr("place div wide")))
-
-
-def _missed(lines: DataFrame, links: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links between the groups of ``links``: all that the edit similarity allows.
-
-    Two of the group that has most pairs at a key do not meet there.
-    """
-    each = lines_of(docs, id_col, text_col).select(normal(F.col("line")).alias("plain")).withColumn("node", F.xxhash64("plain"))
-    texts = each.groupBy("node").agg(F.first("plain").alias("plain")).join(lines.select("node"), "node")
-    texts = texts.join(connected(links), "node", "left").select(
-        "node", F.coalesce("component", "node").alias("group"), F.length("plain").cast("long").alias("length"), "plain"
-    )
-    texts = part_files(texts, "texts").repartition(_parts(lines))
-    pieces, windows = _pieces(texts), _windows(texts)
-    counts = pieces.select("key", "group", F.lit(1).alias("p"), F.lit(0).alias("w"))
-    counts = counts.union(windows.select("key", "group", F.lit(0), F.lit(1)))
-    counts = counts.groupBy("key", "group").agg(F.sum("p").alias("p"), F.sum("w").alias("w"))
-    keys = counts.groupBy("key").agg(
-        F.max_by("group", F.struct(F.col("p") * F.col("w"), "group")).alias("main"),
-        F.sum("p").alias("p"), F.sum("w").alias("w"), F.count("*").alias("n"),
-    )
-    keys = part_files(keys.where("p > 0 and w > 0 and n > 1").select("key", "main"), "keys")
-    side = F.col("group") == F.col("main")
-    few = pieces.join(keys, "key").withColumn("key", F.xxhash64("key", side.cast("int")))
-    many = windows.join(keys, "key").withColumn("side", F.explode(F.when(side, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
-    many = many.select(
-        F.xxhash64("key", "side").alias("key"), *[F.col(c).alias(f"{c}_b") for c in ("node", "group", "length", "place")]
-    )
-    moved, longer = "(place_b - place)", "(length_b - length)"
-    fit = f"{longer} between 0 and (length_b * {100 - PERCENT}) div 100 and abs({moved}) <= j and abs({moved} - {longer}) <= k - j"
-    pairs = few.join(many, "key").where("group != group_b").where(fit)
-    pairs = part_files(_pairs(pairs), "tried")
-    near = pairs.join(texts.select(F.col("node").alias("a"), F.col("plain").alias("x")), "a")
-    near = near.join(texts.select(F.col("node").alias("b"), F.col("plain").alias("y")), "b")
-    most = f"cast(floor(greatest(length(x), length(y)) * {100 - PERCENT} / 100) as int)"
-    return part_files(near.where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b"), "missed")
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", complete: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, drop``: for each document the numbers (from 0) of its lines that
     repeat a line before: one of a smaller id, or an earlier one of its own."""
-    some = docs.where(F.col(id_col).isNotNull())
-    every = part_files(nodes_of(some, id_col, text_col, 1 if complete else FEWEST_WORDS), "lines")
-    lines = part_files(
-        every.groupBy("node").agg(
-            F.first("length").alias("length"), F.first("bits").alias("bits"),
-            F.min(F.struct("id", "line_no")).alias("place"), F.count("*").alias("times"),
-        ),
-        "distinct",
-    )
-    long = lines.where("bits is not null")
-    links = _links(long, some, id_col, text_col)
-    if complete:
-        links = links.union(_missed(long, part_files(links, "near"), some, id_col, text_col))
-    whole = part_files(connected(links), "components")
-    named = lines.join(whole, "node", "left").where("component is not null or times > 1")
-    named = named.select("node", "place", F.coalesce("component", "node").alias("group"))
-    first = named.groupBy("group").agg(F.min("place").alias("first"))
-    kept = named.join(first, "group").select("node", "first")
-    away = every.join(kept, "node").where("first.id != id or first.line_no != line_no")
+    lines = lines_of(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    each = part_files(fingerprints(lines), "distinct")
+    nodes = each.groupBy("node", "length").agg(F.first("bits").alias("bits"), F.min("raw").alias("raw"))
+    nodes = part_files(nodes.withColumn("num", F.monotonically_increasing_id()), "nodes")
+    # Shorter lines have no edit to spare.
+    some = nodes.where(F.col("length") * (100 - PERCENT) >= 100)
+    star = part_files(_to_leader(some), "star")
+    first = part_files(_linked(star, nodes, lines), "links")
+    pairs = part_files(_between_groups(part_files(_grouped(some, first), "grouped")), "pairs")
+    links = first.union(part_files(_linked(pairs, nodes, lines), "more"))
+
+    groups = _grouped(nodes, links).select("node", "length", "group")
+    named = part_files(each.join(groups, ["node", "length"]).select("raw", "group", "first_id", "times"), "named")
+    twice = named.groupBy("group").agg(F.min("first_id").alias("first_id"), F.sum("times").alias("n")).where("n > 1")
+    lost = part_files(named.drop("first_id").join(twice.drop("n"), "group"), "repeated")
+    total = named.agg(F.sum("times")).first()[0] or 0
+    # At most HOT lines hold more than a HOT-th of all: those are not shuffled.
+    hot = F.broadcast(lost.where(F.col("times") * HOT > total).drop("times"))
+    every = lines.select("id", "line_no", "raw")
+    found = every.join(hot, "raw").unionByName(every.join(hot, "raw", "left_anti").join(lost.drop("times"), "raw"))
+    at = F.min("line_no").over(Window.partitionBy("id", "group"))
+    away = found.withColumn("at", at).where((F.col("id") != F.col("first_id")) | (F.col("line_no") != F.col("at")))
     return away.groupBy("id").agg(F.collect_set("line_no").alias("drop")).withColumnRenamed("id", id_col)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", complete: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated lines, with ``n_lines`` and ``n_dropped`` of each row.
 
-    Lines of fewer than five words stay; if ``complete``, only the first of equal
-    ones does. Lines without letters and digits stay. Of each connected group of equal or
-    similar lines the first one stays, by id, then by place. Blank lines and the
-    order of lines stay. NULL texts, and rows with a NULL id, are left as they
-    are; rows that share an id are dropped the same lines. Other columns stay;
-    columns named ``n_lines`` or ``n_dropped`` are replaced. Unless ``complete``,
-    only pairs are compared that share a SimHash block.
+    Two lines are the same if they are equal in letters and digits, A-Z or not.
+    They are similar if they have the same numbers in the same order and an edit
+    similarity of PERCENT: the longer normalised line has at most that share of
+    its characters edited; lines of fewer than ten characters have none to spare.
+    Of each connected group the first line stays, by id, then by place. Lines
+    without a letter (blank ones, rules, list numbers, times, figures) stay, as
+    does the order of lines. Similar lines are found at the keys of their
+    fingerprints, which misses some: see the README for the share by length.
+    Comparing two similar lines takes time with their length times the edits.
+
+    NULL and empty texts, and rows with a NULL id, are left as they are; rows that
+    share an id are dropped the same lines. Very long lines are lines like others.
+    Other columns stay, whatever their names; columns named ``n_lines`` or
+    ``n_dropped`` are replaced. An empty table gives an empty one.
     """
     with scratch(docs.sparkSession):
-        away = part_files(repeats(docs, id_col, text_col, complete), "repeats", keep=True).withColumnRenamed("drop", "_drop")
-    rows = docs.drop("n_lines", "n_dropped").join(away, id_col, "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+        away = part_files(repeats(docs, id_col, text_col), "repeats", keep=True).select(F.col(id_col).alias("id"), "drop")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    held = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in kept]).alias("row"))
+    held = held.join(away, F.col("row")[id_col] == F.col("id"), "left")
+    old = F.col("row")[text_col]
+    lines = F.split(old, "\n", -1)
     left = let(lines, lambda x: F.array_join(
-        F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_drop")), lambda k: F.get(x, k)), "\n"
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("drop")), lambda k: F.get(x, k)), "\n"
     ))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(left)
-    return rows.select(
-        *[(text.alias(text_col) if c == text_col else F.col(c)) for c in docs.columns if c not in ("n_lines", "n_dropped")],
+    text = F.when(F.col("drop").isNull(), old).otherwise(left)
+    return held.select(
+        *[(text if c == text_col else F.col("row")[c]).alias(c) for c in kept],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )

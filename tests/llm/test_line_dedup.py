@@ -1,4 +1,5 @@
-"""SimHash bits against plain Python; kept lines against brute force; odd rows."""
+"""Fingerprints against plain Python; kept lines against brute force; what the
+keys find of all similar pairs; odd rows."""
 
 import random
 
@@ -7,15 +8,23 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lanternrank.llm import line_dedup as d
+from lanternrank.llm.queries import op7_line_dedup
 
 
 def plain(line):
-    return regex.sub(r"[^\p{L}\p{M}0]+", " ", regex.sub(r"\p{N}", "0", line.lower())).strip(" ")
+    return regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", line.lower()).strip(" ")
 
 
-def bits(words):
-    codes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
-    return sum(1 << k for k in range(64) if sum(c >> k & 1 for c in codes) > len(codes) / 2)
+def features(line):
+    words = line.split(" ")
+    if any(len(w) > d.LONG_WORD for w in words):
+        words = [line[k : k + d.GRAM] for k in range(max(1, len(line) - d.GRAM + 1))]
+    return list(dict.fromkeys(words))
+
+
+def bits(line):
+    codes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in features(line)]
+    return sum(1 << k for k in range(64) if 2 * sum(c >> k & 1 for c in codes) > len(codes))
 
 
 def distance(a, b):
@@ -27,12 +36,26 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(rows):
-    """Lines that stay: pairs sharing a block, with few differing bits, that are similar."""
-    lines = [(i, k, plain(x)) for i, t in sorted(rows) for k, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2].split(" ")) >= d.FEWEST_WORDS]
+def similar(x, y):
+    most = max(len(x), len(y)) * (100 - d.PERCENT) // 100
+    if abs(len(x) - len(y)) > most or regex.findall(r"\p{N}+", x) != regex.findall(r"\p{N}+", y):
+        return False
+    return distance(x, y) <= most
+
+
+def meet(x, y):
+    """Two of eight bytes are equal, and few bits differ."""
+    same = sum((x ^ y) >> 8 * k & 0xFF == 0 for k in range(8))
+    return same >= 2 and (x ^ y).bit_count() <= d.MOST_BITS
+
+
+def brute(rows, by_keys=True):
+    """Texts without repeated lines: of each group of equal or similar ones the
+    first stays. ``by_keys``: only of pairs that have a key in common."""
+    rows = [(i, t) for i, t in rows if i is not None and t is not None]
+    lines = [(i, k, plain(x)) for i, t in sorted(dict(rows).items()) for k, x in enumerate(t.split("\n")) if regex.search(r"\p{L}", x)]
     names = list(dict.fromkeys(x[2] for x in lines))
-    hashes, root = [bits(x.split(" ")) for x in names], list(range(len(names)))
+    hashes, root = [bits(x) for x in names], list(range(len(names)))
 
     def find(x):
         while root[x] != x:
@@ -41,10 +64,8 @@ def brute(rows):
 
     for a in range(len(names)):
         for b in range(a):
-            x, y = hashes[a], hashes[b]
-            if any(x >> 16 * k & 0xFFFF == y >> 16 * k & 0xFFFF for k in range(4)) and (x ^ y).bit_count() <= d.MOST_BITS:
-                if distance(names[a], names[b]) <= max(len(names[a]), len(names[b])) * (100 - d.PERCENT) // 100:
-                    root[find(a)] = find(b)
+            if find(a) != find(b) and (not by_keys or meet(hashes[a], hashes[b])) and similar(names[a], names[b]):
+                root[find(a)] = find(b)
     place, seen, gone = {n: k for k, n in enumerate(names)}, set(), set()
     for i, k, n in lines:
         g = find(place[n])
@@ -54,103 +75,114 @@ def brute(rows):
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
 
 
-def test_simhash(spark):
-    draw = random.Random(1)
-    lists = [[f"w{draw.randrange(300)}" for _ in range(n)] for n in (1, 2, 5, 64, 127, 128, 400, 33_000)]
-    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, words array<string>")
-    got = {r.k: r.s for r in df.select("k", d.simhash(F.col("words")).alias("s")).collect()}
-    assert [got[k] & (1 << 64) - 1 for k in range(len(lists))] == [bits(x) for x in lists]
+def edited(draw, line, n):
+    x = list(line)
+    for _ in range(n):
+        at = draw.randrange(max(1, len(x)))
+        x[at : at + 1] = draw.choice([[], [draw.choice("abcdefgh ")], [x[at], draw.choice("abcdefgh ")]])
+    return "".join(x)
 
 
-def test_kept_lines(spark):
-    draw = random.Random(7)
-    words = [f"{a}{b}" for a in ("sea", "hen", "ship", "tall", "mo") for b in ("ing", "ed", "er", "s", "ward", "")]
-    pool = []
-    for _ in range(25):
-        pool.append(draw.choices(words, k=draw.randrange(3, 40)))
+def corpus(seed, n=40):
+    draw = random.Random(seed)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randrange(1, 9))) for _ in range(120)]
+    pool = [" ".join(draw.choices(words, k=draw.choice([1, 2, 4, 8, 15, 30, 60]))) for _ in range(n)]
+    pool += [f"{x} {draw.randrange(3)}" for x in pool[: n // 3]]
     rows = []
-    for i in range(90):
+    for i in range(2 * n):
         lines = []
         for _ in range(draw.randrange(1, 6)):
-            x = list(draw.choice(pool))
-            for _ in range(draw.randrange(3)):
-                x[draw.randrange(len(x))] = draw.choice(words)
-            lines.append(draw.choice([" ", ", "]).join(x) + draw.choice(["", " 12", ".", "!"]))
+            x = draw.choice(pool)
+            x = edited(draw, x, draw.choice([0, 0, 1, 2, len(x) // 20, len(x) // 10]))
+            lines.append(draw.choice(["", "- ", "  "]) + x + draw.choice(["", ".", "!"]))
         rows.append((i, "\n".join(lines)))
+    return rows
+
+
+def test_fingerprints(spark):
+    draw = random.Random(1)
+    lines = [" ".join(f"w{draw.randrange(300)}" for _ in range(n)) for n in (1, 2, 5, 64, 400, 33_000)]
+    lines += ["短い行です" * 12, "短い行 です", "x" * 25, "x" * 24, "É é e"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines + lines[:3])], "doc_id long, text string").repartition(3)
+    got = {(r.length, r.bits & (1 << 64) - 1): (r.first_id, r.times) for r in d.fingerprints(d.lines_of(df, "doc_id", "text")).collect()}
+    assert got == {(len(plain(x)), bits(plain(x))): (k, 2 if k < 3 else 1) for k, x in enumerate(lines)}
+
+
+def test_kept_lines(spark):
+    rows = corpus(7)
     got = d.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    want = brute(rows)
-    assert {r.doc_id: r.text for r in got} == want
-    dropped = sum(r.n_dropped for r in got)
-    assert 0 < dropped < sum(r.n_lines for r in got)
+    assert {r.doc_id: r.text for r in got} == brute(rows)
+    assert 0 < sum(r.n_dropped for r in got) < sum(r.n_lines for r in got)
+
+
+def test_keys_find_most_similar_pairs():
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randrange(2, 10))) for _ in range(2000)]
+    found = {}
+    for size in (15, 30, 60):
+        hits = []
+        while len(hits) < 120:
+            x = draw.choices(words, k=size)
+            y = list(x)
+            # One word in fifteen is another one: mostly within the edit similarity.
+            for _ in range(size // 15):
+                y[draw.randrange(size)] = draw.choice(words)
+            x, y = " ".join(x), " ".join(y)
+            if similar(x, y):
+                hits.append(meet(bits(x), bits(y)))
+        found[size] = sum(hits) / len(hits)
+    assert sum(found.values()) / 3 >= 0.88, found
+
+
+def test_lines_that_differ_in_numbers_stay(spark):
+    texts = [
+        "1. \n12:30\nPrice 5 USD\n2. \n14:45\nPrice 7 USD\n1.\n12:30\n3.14 | 2.72\n---\n---",
+        "the committee met in room 101 on 12 May to talk about the budget of the year",
+        "the committee met in room 999 on 30 May to talk about the budget of the year",
+        "The committee met in room 101 on 12 May, to talk about the budgets of the year!",
+        "price 5 usd\n12 May in room 101\n3.14 | 2.72",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in d.dedup(df).collect()}
+    assert got == {0: texts[0], 1: texts[1], 2: texts[2], 3: "", 4: "12 May in room 101\n3.14 | 2.72"} == brute(list(enumerate(texts)))
 
 
 def test_odd_rows(spark):
     line = "one two three four five six seven"
-    long = " ".join(f"w{k}" for k in range(40_000))
+    long = " ".join(f"w{k}" for k in range(20_000))
+    cjk = "これは空白のない長い行ですから単語には分けられません" * 3
     rows = [
         (5, f"{line}\n\n{line.upper()}!\nshort line\nshort line", "a"), (9, line, "b"), (2, None, "c"), (3, "", "d"),
-        (4, "\n \n", "e"), (None, line, "f"), (7, long + "\n" + long, "g"), (8, long, "h"), (9, line, "b"),
+        (4, "\n \n", "e"), (None, line, "f"), (7, long + "\n" + long, "g"), (8, long + " x", "h"), (9, line, "b"),
+        (10, cjk, "i"), (11, cjk[:-1] + "ぬ", "j"), (12, "z" * 20_000, "k"), (13, "z" * 19_900, "l"), (14, "短い行です\n短い行です", "m"),
     ]
-    df = spark.createDataFrame([(*r, 3, 4) for r in rows], "doc_id long, text string, line string, n_lines int, node int")
+    names = "doc_id long, text string, line string, n_lines int, node int, drop int, id int, row int, `a.b` int"
+    df = spark.createDataFrame([(*r, 3, 4, 5, 6, 7, 8) for r in rows], names)
     got = d.dedup(df)
-    assert got.columns == ["doc_id", "text", "line", "node", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "line", "node", "drop", "id", "row", "a.b", "n_lines", "n_dropped"]
     by = {r.line: (r.text, r.n_lines, r.n_dropped) for r in got.collect()}
     assert got.count() == len(rows)
     assert by == {
-        "a": (f"{line}\n\nshort line\nshort line", 5, 1), "b": ("", 1, 1), "c": (None, 0, 0), "d": ("", 1, 0),
-        "e": ("\n \n", 3, 0), "f": (line, 1, 0), "g": (long, 2, 1), "h": ("", 1, 1),
+        "a": (f"{line}\n\nshort line", 5, 2), "b": ("", 1, 1), "c": (None, 0, 0), "d": ("", 1, 0),
+        "e": ("\n \n", 3, 0), "f": (line, 1, 0), "g": (long, 2, 1), "h": ("", 1, 1), "i": (cjk, 1, 0), "j": ("", 1, 1),
+        "k": ("z" * 20_000, 1, 0), "l": ("", 1, 1), "m": ("短い行です", 2, 1),
     }
-    assert d.dedup(df.limit(0)).count() == 0
+    assert all((r.node, r.drop, r.id, r.row, r["a.b"]) == (4, 5, 6, 7, 8) for r in got.collect())
 
 
-def by_edits(rows, fewest):
-    """Lines that stay by the edit similarity alone."""
-    lines = [(i, k, plain(x)) for i, t in sorted(rows) for k, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2].split(" ")) >= fewest]
-    names = list(dict.fromkeys(x[2] for x in lines))
-    root = {n: n for n in names}
+def test_empty_table(spark):
+    assert d.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a in range(len(names)):
-        for b in range(a):
-            x, y = names[a], names[b]
-            most = max(len(x), len(y)) * (100 - d.PERCENT) // 100
-            if abs(len(x) - len(y)) <= most and find(x) != find(y) and distance(x, y) <= most:
-                root[find(x)] = find(y)
-    seen, gone = set(), set()
-    for i, k, n in lines:
-        if find(n) in seen:
-            gone.add((i, k))
-        seen.add(find(n))
-    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+def test_query(spark, tmp_path):
+    rows = corpus(3, 15) + [(900 + k, "a line that a third of all rows have in common") for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op7_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in got} == brute(rows)
+    assert all(r.n_lines == len(dict(rows)[r.doc_id].split("\n")) for r in got)
 
 
-def test_complete_by_edits_alone(spark):
-    draw = random.Random(3)
-    letters = "abcdefghijklmnopqrstuvwxyz "
-    rows = []
-    for n in range(40):
-        line = " ".join("".join(draw.choices(letters[:-1], k=draw.randrange(1, 8))) for _ in range(draw.randrange(5, 16)))
-        copies = [line]
-        for _ in range(2):
-            x = list(line)
-            for _ in range(draw.choice([1, 2, len(x) // 10, len(x) // 10 + 1])):
-                at = draw.randrange(len(x))
-                x[at : at + 1] = draw.choice([[], [draw.choice(letters)], [x[at], draw.choice(letters)]])
-            copies.append("".join(x))
-        rows += [(3 * n + k, x) for k, x in enumerate(copies)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    want = by_edits(rows, d.FEWEST_WORDS)
-    assert {r.doc_id: r.text for r in d.dedup(df, complete=True).collect()} == want
-    assert want != {r.doc_id: r.text for r in d.dedup(df).collect()}
-
-
-def test_complete_short_lines(spark):
-    rows = [(1, "Read more!\n---\nread more\n短い行です"), (2, "Read more\n---\n短い行です\nRead on\n\n"), (3, "READ MORE..."), (None, "Read more")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    got = {r.doc_id: (r.text, r.n_dropped) for r in d.dedup(df, complete=True).collect()}
-    assert got == {1: ("Read more!\n---\n短い行です", 1), 2: ("---\nRead on\n\n", 2), 3: ("", 1), None: ("Read more", 0)}
+def test_columns_of_lines(spark):
+    df = spark.createDataFrame([(1, "A b\n\n12\nc")], "doc_id long, text string")
+    rows = d.lines_of(df, "doc_id", "text").select("line_no", "line", F.col("raw") == F.xxhash64("line")).collect()
+    assert [tuple(r) for r in rows] == [(0, "A b", True), (3, "c", True)]

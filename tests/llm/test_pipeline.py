@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+import regex
 import tiktoken
 from test_decontaminate import brute as leak
 from test_jaccard_join import brute as components
@@ -18,12 +19,13 @@ def make():
     rows = [(k, body(k), "en", "s", 0) for k in range(30)]
     rows += [(50, body(3), "en", "s", 0), (51, f"{body(31)} {item} again", "en", "s", 0), (52, "12 !! 34", None, "s", 0)]
     rows += [(53, None, "en", None, None), (54, "", "en", "s", 0), (55, filler[0] + "\n" + body(32), "en", "s", 0)]
+    rows += [(58, "½ ② Ⅷ", "en", "s", 0)]
     rows += [(56, filler[0].upper() + "\n" + body(33), "en", "s", 0), (57, " ".join(filler) + " x", None, "s", 0)]
     return rows, [(1, item)]
 
 
 def plain(rows, items):
-    docs = {i: t for i, t, *_ in rows if t and re.search(r"[^\W\d_]", t)}
+    docs = {i: t for i, t, *_ in rows if t and regex.search(r"\p{L}", t)}
     left = kept_lines(sorted(docs.items()))
     docs = {i: t for i, t in left.items() if t == docs[i] or re.search(r"\S", t)}
     docs = {i: docs[i] for i, _, c in components(sorted(docs.items()), 5, 80) if c == i}
@@ -43,7 +45,7 @@ def test_stages(spark, tmp_path):
     want = plain(rows, items)
     got = docs.collect()
     assert {r.doc_id: r.text for r in got} == want
-    assert {50, 51, 52, 53, 54}.isdisjoint(want) and {55, 56, 57, *range(30)} <= set(want)
+    assert {50, 51, 52, 53, 54, 58}.isdisjoint(want) and {55, 56, 57, *range(30)} <= set(want)
     assert all(r.n_chars == len(r.text) for r in got)
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     import public_tokenizers
