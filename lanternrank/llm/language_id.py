@@ -16,6 +16,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,19 +30,26 @@ ROUNDS = 4
 UNKNOWN = 1e-7
 # Added to every expected count, so that no piece is impossible.
 FLOOR = 0.05
-# Words up to this length are scored together, longer ones each by itself.
+# Words up to this length are scored without rescaling.
 LONGEST = 48
+# Characters of longer words that are scored together, padding included.
+LONG_CHARS = 1 << 15
 # Keeps products of small probabilities in range, a factor per character.
 PER_CHAR = 16.0
 REMEMBERED = 300_000
 
 WORDS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return WORDS.findall(text.lower()) if text else []
+    """Runs of letters, in lower case; numerals such as ½ or Ⅷ are none."""
+    found = WORDS.findall(text.lower()) if text else []
+    # The quick pattern also takes numerals that are no digits.
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else LETTERS.findall(run))]
 
 
 class Pieces:
@@ -143,38 +151,49 @@ def log_likelihoods(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.n
     ``table`` holds piece probabilities, one column per language.
     """
     out = np.zeros((len(words), table.shape[1]))
-    short = np.array([k for k, w in enumerate(words) if len(w) <= LONGEST], np.int64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    short = np.flatnonzero(lengths <= LONGEST)
     scale = _scaled(pieces, table)
     for rows, chars in _groups([words[k] for k in short]):
         whole = _forward(pieces.parts(chars), scale)[-1]
         out[short[rows]] = np.log(whole) - chars.shape[1] * np.log(PER_CHAR)
-    for k, w in enumerate(words):
-        if len(w) > LONGEST:
-            out[k] = _long(pieces, table, w)
+    long = np.flatnonzero(lengths > LONGEST)
+    long = long[np.argsort(lengths[long], kind="stable")]
+    while len(long):
+        # As many as fit, padded to the longest; one at least.
+        fit = np.arange(1, len(long) + 1) * lengths[long] <= LONG_CHARS
+        n = max(1, int(np.searchsorted(~fit, True)))
+        out[long[:n]] = _long(pieces, table, [words[k] for k in long[:n]])
+        long = long[n:]
     return out
 
 
-def _long(pieces: Pieces, table: np.ndarray, word: str) -> np.ndarray:
-    """The same sum for a word of any length, rescaled at each step."""
-    places = {p: k for k, p in enumerate(pieces.pieces)}
-    text, keep = START + word, pieces.longest
-    recent = [np.ones(table.shape[1])]
-    logs = np.zeros(table.shape[1])
-    for stop in range(1, len(text) + 1):
-        total = recent[-1] * UNKNOWN
-        for back in range(1, min(keep, stop) + 1):
-            k = places.get(text[stop - back : stop])
-            if k is not None:
-                total = total + recent[-back] * table[k]
-        logs += np.log(total)
-        recent = [*(r / total for r in recent), np.ones_like(total)][-keep:]
+def _long(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
+    """The same sums for words of any length, rescaled at each step."""
+    lengths = np.array([len(w) + 1 for w in words])
+    chars = np.zeros((len(words), lengths.max()), np.uint64)
+    for row, w in zip(chars, words):
+        row[: len(w) + 1] = np.frombuffer((START + w).encode("utf-32-le"), np.uint32)
+    parts = pieces.parts(chars)
+    scale = np.vstack([table, np.zeros(table.shape[1])])
+    reach = parts.shape[1]
+    recent = np.zeros((reach, len(words), table.shape[1]))  # the latest first
+    recent[0] = 1.0
+    logs = np.zeros((len(words), table.shape[1]))
+    for stop in range(1, len(parts)):
+        total = (recent * scale[parts[stop]]).sum(0) + recent[0] * UNKNOWN
+        logs += np.where(stop <= lengths[:, None], np.log(total), 0.0)
+        recent[1:] = recent[:-1] / total
+        recent[0] = 1.0
     return logs
 
 
 def learn(pieces: Pieces, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Piece probabilities of one language: rounds of expected counts over all segmentations."""
-    keep = [k for k, w in enumerate(words) if len(w) <= LONGEST]
-    words, counts = [words[k] for k in keep], counts[keep].astype(float)
+    # Longer words are learned from in parts.
+    cut = [[w[k : k + LONGEST] for k in range(0, len(w), LONGEST)] for w in words]
+    counts = np.repeat(counts.astype(float), list(map(len, cut)))
+    words = [part for parts in cut for part in parts]
     groups = [(counts[rows], pieces.parts(chars)) for rows, chars in _groups(words)]
     p = np.full(len(pieces.pieces), 1.0 / len(pieces.pieces))
     for _ in range(ROUNDS):
