@@ -27,6 +27,8 @@ NEAREST = 16
 THRESHOLD = 0.3
 STEM = 5
 BLOCK = 64
+# A term in more than one in so many examples has an array instead of a list.
+SPARSE = 32
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -35,6 +37,10 @@ def stems(text: str | None) -> Counter:
     return Counter([w[:STEM] for w in WORDS.findall(text.lower())]) if text else Counter()
 
 
+def stem_set(text: str | None) -> set[str]:
+    return {w[:STEM] for w in WORDS.findall(text.lower())} if text else set()
+
+
 class Index:
     """Example vectors in blocks, by term within a block."""
 
@@ -49,18 +55,27 @@ class Index:
         self.ids = [examples[k][0] for k in order]
         self.labels = np.array([examples[k][1] for k in order], int)
         self.sizes = np.bincount(self.labels, minlength=2)
-        n = len(order)
+        n, v = len(order), len(self.terms)
         self.blocks = -(-n // BLOCK)
-        row = np.repeat(np.arange(n), [len(vectors[k][0]) for k in order])
-        term = np.concatenate([*(vectors[k][0] for k in order), np.zeros(0, int)]).astype(int)
-        weight = np.concatenate([*(vectors[k][1] for k in order), np.zeros(0)])
-        block = row // BLOCK
-        v = len(self.terms)
+        sizes = [len(vectors[k][0]) for k in order]
+        row = np.repeat(np.arange(n), sizes)
+        # Vectors of the examples, one after the other.
+        self.example_terms = np.concatenate([*(vectors[k][0] for k in order), np.zeros(0, int)]).astype(int)
+        self.example_weights = np.concatenate([*(vectors[k][1] for k in order), np.zeros(0)])
+        self.ends = np.cumsum([0, *sizes])
+        term, weight, block = self.example_terms, self.example_weights, row // BLOCK
         self.most = np.zeros((v, self.blocks))
         np.maximum.at(self.most, (term, block), weight)
-        by = np.lexsort((row, term, block))
-        self.rows, self.weights = row[by], weight[by]
-        self.starts = np.searchsorted(block[by] * v + term[by], np.arange(self.blocks * v + 1))
+        # Lists of a term are arrays over all examples if they would be long.
+        times = np.bincount(term, minlength=v)
+        often = times * SPARSE >= n
+        self.array_of = np.where(often, np.cumsum(often) - 1, -1)
+        self.arrays = np.zeros((int(often.sum()), self.blocks * BLOCK), np.float32)
+        some = often[term]
+        self.arrays[self.array_of[term[some]], row[some]] = weight[some]
+        by = np.lexsort((row[~some], term[~some]))
+        self.rows, self.weights = row[~some][by], weight[~some][by].astype(np.float32)
+        self.starts = np.searchsorted(term[~some][by], np.arange(v + 1))
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit weights ``(1 + ln tf) idf``."""
@@ -86,33 +101,62 @@ class Index:
             x = x / (np.abs(x).max() or 1.0) if n else x
         return np.argsort(x, kind="stable").tolist()
 
-    def _score(self, term: np.ndarray, weight: np.ndarray, blocks: np.ndarray, out: np.ndarray) -> None:
-        """Adds to ``out`` the cosines with all examples of some blocks."""
-        at = (blocks[:, None] * len(self.terms) + term).ravel()
-        start, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+    def _rough(self, term: np.ndarray, weight: np.ndarray, open_blocks: np.ndarray) -> np.ndarray:
+        """Cosines in single precision with the examples of some blocks, in order."""
+        array = self.array_of[term]
+        dense = array >= 0
+        columns = slice(None)
+        if len(open_blocks) < self.blocks:
+            columns = (open_blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        arrays = self.arrays[array[dense]] if len(open_blocks) * 2 > self.blocks else self.arrays[np.ix_(array[dense], columns)]
+        out = weight[dense].astype(np.float32) @ arrays
+        if arrays.shape[1] == self.arrays.shape[1]:
+            out = out[columns]
+        rare = term[~dense]
+        start, size = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
         where = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        each = np.repeat(np.tile(weight, len(blocks)), size)
-        out += np.bincount(self.rows[where], self.weights[where] * each, len(out))
+        each = np.repeat(weight[~dense], size)
+        return out + np.bincount(self.rows[where], self.weights[where] * each, self.blocks * BLOCK)[columns]
+
+    def _exact(self, term: np.ndarray, weight: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Cosines with a few examples in double precision."""
+        whole = np.zeros(len(self.terms))
+        whole[term] = weight
+        start, size = self.ends[places], self.ends[places + 1] - self.ends[places]
+        where = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        owner = np.repeat(np.arange(len(places)), size)
+        return np.bincount(owner, whole[self.example_terms[where]] * self.example_weights[where], len(places))
 
     def nearest(self, counts: Counter, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a term in common;
-        ties go to the earlier place."""
+        ties go to the earlier place.
+
+        The block of the largest bound gives a cosine to reach; blocks whose
+        bound is below it are not opened. Cosines of the others are computed in
+        single precision, whose error has a known limit, and those that may be
+        among the nearest once more.
+        """
         term, weight = self.vector(counts)
-        out = np.zeros(len(self.ids))
-        if not len(term) or not len(out):
+        n = len(self.ids)
+        if not len(term) or not n:
             return np.zeros(0, int), np.zeros(0)
+        margin = (len(term) + 20) * 2.0**-23
         bound = weight @ self.most[term]
-        order = np.argsort(-bound, kind="stable")
-        first = order[: -(-k // BLOCK) + 1]
-        self._score(term, weight, first, out)
-        least = np.partition(out, -k)[-k] if len(out) >= k else 0.0
-        rest = order[len(first) :]
-        rest = rest[(bound[rest] >= least - 1e-9) & (bound[rest] > 0)]
-        if len(rest):
-            self._score(term, weight, rest, out)
-        best = np.lexsort((np.arange(len(out)), -out.round(12)))[:k]
-        best = best[out[best] > 0]
-        return best, out[best]
+        opened = np.argsort(-bound, kind="stable")[: -(-k // BLOCK)]
+        if self.blocks > len(opened):
+            rough = self._rough(term, weight, opened)
+            least = np.partition(rough, -k)[-k] - margin
+            opened = np.flatnonzero((bound >= least - 1e-9) & (bound > 0))
+        opened = np.sort(opened)
+        places = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        rough = self._rough(term, weight, opened)
+        rough, places = rough[places < n], places[places < n]
+        least = np.partition(rough, -k)[-k] - 2 * margin if len(rough) > k else 0.0
+        places = places[(rough >= least) & (rough > 0)]
+        cosines = self._exact(term, weight, places)
+        best = np.lexsort((places, -cosines.round(12)))[:k]
+        best = best[cosines[best] > 0]
+        return places[best], cosines[best]
 
     def score(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of label 1 in the votes, as if classes were sampled alike; the
@@ -168,7 +212,7 @@ def frequencies(rows: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
             for part in slices(batch, "text"):
                 for text in part.column(0).to_pylist():
                     n[-1] += 1
-                    n[[known[t] for t in set(stems(text)) if t in known]] += 1
+                    n[[known[t] for t in known.keys() & stem_set(text)]] += 1
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["name", "n"])
 
