@@ -21,10 +21,12 @@ from lanternrank.llm.shared import over_slices
 
 # Words of an item that may be wrong; the nearness of other near-duplicate steps.
 ERROR_RATE = 0.2
-# Items of fewer words are phrases that anybody may write: they match nothing.
+# Items of fewer words have to occur without an edit.
 FEWEST = 8
 # Bytes of item text searched in one pass over the documents.
 BLOCK_BYTES = 8 << 20
+# Items whose ids are told to all tasks.
+FEW_ITEMS = 1 << 18
 
 SEPARATORS = re.compile(r"[\W_]+")
 
@@ -74,9 +76,9 @@ class Finder:
         hits: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
             words = normal(text).split()
-            if len(words) < fewest:
+            if not words:
                 continue
-            errors, masks = int(rate * len(words)), {}
+            errors, masks = int(rate * len(words)) if len(words) >= fewest else 0, {}
             for k, w in enumerate(words):
                 masks[w] = masks.get(w, 0) | 1 << k
             for start, piece in pieces_of(words, errors):
@@ -93,8 +95,7 @@ class Finder:
         if not self.items:
             return []
         text = normal(text)
-        found: dict[int, tuple] = {}
-        tried: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         words, counted, upto = None, 0, 0
         for end, (size, where) in self.pieces.iter(text):
             if words is None:
@@ -106,21 +107,43 @@ class Finder:
                 counted -= text.count(" ", start, upto)
             upto, first = start, counted
             for k, offset in where:
-                item, m, errors, masks = self.items[k]
+                _, m, errors, _ = self.items[k]
                 low = max(0, first - offset - errors)
                 high = min(len(words), first - offset + m + errors)
-                if any(a <= low and high <= b for a, b in tried.get(k, ())):
-                    continue
-                tried.setdefault(k, []).append((low, high))
+                mine = windows.setdefault(k, [])
+                if mine and mine[-1][0] <= low <= mine[-1][1]:
+                    mine[-1] = mine[-1][0], max(mine[-1][1], high)
+                else:
+                    mine.append((low, high))
+        found = []
+        for k, places in windows.items():
+            item, m, errors, masks = self.items[k]
+            best = None
+            for low, high in _merged(places):
                 match = best_match(masks, m, words[low:high], errors)
-                if match and (k not in found or match[0] < found[k][1]):
-                    last = low + match[1]
-                    found[k] = (item, match[0], m, max(0, last - m + 1), last)
-        return list(found.values())
+                if match and (best is None or match[0] < best[0]):
+                    best = match[0], low + match[1]
+            if best:
+                found.append((item, best[0], m, max(0, best[1] - m + 1), best[1]))
+        return found
+
+
+def _merged(windows: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Windows in order, those that overlap as one: no word is searched twice."""
+    low = high = None
+    for a, b in sorted(windows):
+        if low is None or a > high:
+            if low is not None:
+                yield low, high
+            low, high = a, b
+        high = max(high, b)
+    if low is not None:
+        yield low, high
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple]]:
-    """The items in blocks whose text is bounded; one block for most benchmarks."""
+    """Distinct items in blocks whose text is bounded; one block for most benchmarks."""
+    items = items.groupBy("text").agg(F.first("item").alias("item")).select("item", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // BLOCK_BYTES))
     for k in range(n):
@@ -142,24 +165,27 @@ def matches(
     row and item whose words occur in the document's whole text with at most
     ``floor(rate * item_words)`` word edits, once each, at the best place.
 
-    Case, punctuation and white space make no difference. NULL and empty texts,
-    and items of fewer than ``fewest`` words, match nothing; repeated rows and
-    repeated items match each for itself. Items are taken in blocks of bounded
-    size, each block one pass over the documents and no shuffle.
+    Case, punctuation and white space make no difference. Items of fewer than
+    ``fewest`` words have to occur without an edit. NULL and empty texts match
+    nothing; repeated rows and repeated items match each for itself. Items of one
+    text are searched once, in blocks of bounded size, each block one pass over
+    the documents. A text costs its length, and for each item with a hit the
+    words around its hits, however many and whatever they overlap.
     """
     kept = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     asked = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    kind = asked.schema["item"].dataType
-    names = [id_col, item_col, "distance", "item_words", "first_word", "last_word"]
-    schema = (
-        f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, `{item_col}` {kind.simpleString()}, "
-        "distance int, item_words int, first_word long, last_word long"
-    )
+    asked = asked.select("item", F.xxhash64("text").alias("name"), "text")
+    distinct = asked.select(F.col("name").alias("item"), "text")
+    names = ["id", "name", "distance", "item_words", "first_word", "last_word"]
+    schema = f"id {kept.schema[id_col].dataType.simpleString()}, name long, distance int, item_words int, first_word long, last_word long"
     parts = []
-    for block in _blocks(asked):
+    for block in _blocks(distinct):
         shared = docs.sparkSession.sparkContext.broadcast(block)
         parts.append(over_slices(kept, "text", _search(shared, rate, fewest, names), schema))
-    return reduce(DataFrame.unionByName, parts)
+    listed = asked.select("name", "item")
+    listed = F.broadcast(listed) if asked.count() <= FEW_ITEMS else listed
+    found = reduce(DataFrame.unionByName, parts).join(listed, "name")
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), *names[2:])
 
 
 def _search(shared, rate: float, fewest: int, names: list[str]):
@@ -190,7 +216,7 @@ def clean(
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, in whose text no item occurs
     in the sense of ``matches``. One pass for each block of items, no shuffle."""
-    asked = items.select(F.lit(0).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    asked = items.select(F.lit(0).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     for block in _blocks(asked):
         shared = docs.sparkSession.sparkContext.broadcast(block)
         docs = over_slices(docs, text_col, _keep(shared, rate, fewest, text_col), docs.schema)

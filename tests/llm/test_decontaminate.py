@@ -1,6 +1,7 @@
 """Matches against a brute-force edit distance over all parts of a text."""
 
 import random
+import time
 
 from lanternrank.llm import decontaminate as d
 from lanternrank.llm import queries
@@ -9,14 +10,15 @@ from lanternrank.llm import queries
 def brute(item, text, rate=d.ERROR_RATE, fewest=d.FEWEST):
     """Least word edits of the item to any part of the text, if within budget."""
     a, b = d.normal(item).split(), d.normal(text).split()
-    if len(a) < fewest:
+    if not a:
         return None
+    budget = int(rate * len(a)) if len(a) >= fewest else 0
     row = [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):
         before, row = row, [i]
         for j, y in enumerate(b, 1):
             row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
-    return min(row) if min(row) <= int(rate * len(a)) else None
+    return min(row) if min(row) <= budget else None
 
 
 def cases():
@@ -62,6 +64,24 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert d.clean(docs, asked.limit(0)).count() == docs.count()
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    docs = spark.createDataFrame([(1, "He said: read on, please."), (2, "He read it on"), (3, "前の文。短い文です。次"), (4, "短い文")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "Read on!"), (8, "短い文です"), (9, "read on"), (None, "read on"), (10, "!?")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in d.matches(docs, asked).collect()}
+    assert got == {(1, 7, 0), (1, 9, 0), (1, None, 0), (3, 8, 0)}
+    assert {r.doc_id for r in d.clean(docs, asked).collect()} == {2, 4}
+
+
+def test_many_hits_in_one_text():
+    item = "the old ship of the north came home again at night"
+    finder = d.Finder([(1, item), (2, "the old ship of the south came home again by day")], d.ERROR_RATE, d.FEWEST)
+    began = time.process_time()
+    text = "the old ship of " * 60_000
+    assert finder(text) == []
+    assert [m[:2] for m in finder(text + item + " and " + text)] == [(1, 0)]
+    assert time.process_time() - began < 20
+
+
 def test_query(spark, tables):
     got = queries.op2_decontamination(spark, tables).collect()
     docs = spark.read.parquet(f"{tables}/documents.parquet").collect()
