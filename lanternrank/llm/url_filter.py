@@ -131,18 +131,21 @@ def _inside(words: DataFrame, key: Column, level: int, segments: int, size: int,
     return reduce(Column.__and__, tests)
 
 
-def build(universe: DataFrame, listed: DataFrame, key: str, segments: int = 1) -> Cascade:
+def build(universe: DataFrame, listed: DataFrame, key: str, segments: int | None = None) -> Cascade:
     """The cascade that tells the ``listed`` keys from all others of ``universe``.
 
     Both are columns of keys; repeats and NULLs are ignored, listed keys outside
     the universe are kept. Every level is an aggregate over the keys that the
     level before got wrong, about one in five of them, so the work shrinks from
     level to level and ends when no key is left. Empty lists give no level.
+    There are as many segments as the listed keys need for one to fit a pass.
     """
     spark = universe.sparkSession
     own = part_files(listed.select(F.col(key).alias("key")).where("key is not null").distinct(), "listed")
     rest = universe.select(F.col(key).alias("key")).where("key is not null").distinct()
     rest = part_files(rest.join(own, "key", "left_anti"), "unlisted")
+    if segments is None:
+        segments = max(1, math.ceil(own.count() * BITS_PER_KEY / 64 / PASS_WORDS))
     tables, sizes = [], []
     while (n := own.count()) > 0:
         level, size = len(sizes) + 1, max(1, math.ceil(n * BITS_PER_KEY / 64 / segments))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanternrank.llm import url_filter as u
+from lanternrank.llm.queries import op3_url_filter
 
 
 @pytest.mark.parametrize("segments", [1, 3])
@@ -18,6 +19,17 @@ def test_membership_is_exact(spark, monkeypatch, segments):
     assert all(r.listed == (r.key is not None and int(r.key[1:]) % 7 == 0) for r in got)
 
 
+def test_segments_follow_from_the_keys(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(u, "PASS_WORDS", 4)
+    rows = [(k, f"http://h{k % 700}.com/{k}" + ("?utm_a" if k % 700 < 300 else "")) for k in range(2100)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    keys = spark.createDataFrame([(f"h{k}.com",) for k in range(300)], "host string")
+    cascade = u.build(keys, keys, "host")
+    assert cascade.segments == 5 and max(cascade.sizes) <= 4
+    got = op3_url_filter(spark, str(tmp_path)).collect()
+    assert {r.page_id: r.listed for r in got} == {k: k % 700 < 300 for k, _ in rows}
+
+
 def test_empty_list_and_empty_universe(spark):
     keys = spark.createDataFrame([("a",), ("b",)], "key string")
     assert [r.listed for r in u.build(keys, keys.limit(0), "key").judge(keys, "key").collect()] == [False] * 2
