@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,8 +44,8 @@ WORD = re.compile(r"[a-z]+")
 # Parts of class names and ids that tell what a region is for.
 STEMS = tuple(
     "ad advert article banner body breadcrumb byline comment consent content cookie disqus entry foot form header "
-    "legal login main masthead menu meta nav newsletter notice pagination popup post promo related reply search share "
-    "side signup social sponsor story subscribe tag text toolbar widget".split()
+    "legal login main masthead menu meta nav newsletter notice pagination popup post promo rail related reply respon search "
+    "share side signup social sponsor story subscribe tag text thread toolbar widget".split()
 )
 
 
@@ -57,10 +58,11 @@ class Block:
 class _Open:
     """An open element and the features of it and all around it."""
 
-    __slots__ = ("tag", "features", "silent", "link")
+    __slots__ = ("tag", "features", "silent", "link", "block")
 
-    def __init__(self, tag: str, features: frozenset, silent: bool, link: bool):
+    def __init__(self, tag: str, features: frozenset, silent: bool, link: bool, block: int):
         self.tag, self.features, self.silent, self.link = tag, features, silent, link
+        self.block = block  # place of the innermost open element that makes blocks
 
 
 def _names(rest: str) -> set[str]:
@@ -75,7 +77,8 @@ def _names(rest: str) -> set[str]:
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page that have text, in order."""
     out: list[tuple[str, frozenset, int, str]] = []
-    stack = [_Open("", frozenset(), False, False)]
+    stack = [_Open("", frozenset(), False, False, 0)]
+    open_tags = Counter()
     parts: list[str] = []
     linked = 0
     page = page or ""
@@ -85,8 +88,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                leaf = next((e.tag for e in reversed(stack) if e.tag in BLOCK), "")
-                out.append((text, stack[-1].features, linked, leaf))
+                out.append((text, stack[-1].features, linked, stack[stack[-1].block].tag))
         parts, linked = [], 0
 
     def add(raw: str) -> None:
@@ -98,8 +100,9 @@ def blocks_of(page: str | None) -> list[Block]:
                 linked += len(text)
 
     def close(k: int) -> None:
-        if any(e.tag in BLOCK for e in stack[k:]):
+        if stack[-1].block >= k:
             flush()
+        open_tags.subtract(e.tag for e in stack[k:])
         del stack[k:]
 
     at = 0
@@ -113,9 +116,9 @@ def blocks_of(page: str | None) -> list[Block]:
                 add(m[0][9:].removesuffix("]]>"))
             continue
         if m["end"] or m["end2"]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                close(k)
+            if open_tags[tag]:
+                # All that is passed over on the way goes as well.
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             elif tag in BLOCK:
                 flush()
             continue
@@ -125,16 +128,10 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if tag in BLOCK:
             shut = CLOSES.get(tag, set()) | {"p"}
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in shut:
-                    close(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-            if tag == "body":  # a head without an end
-                k = next((k for k, e in enumerate(stack) if e.tag == "head"), 0)
-                if k:
-                    close(k)
+            if stack[k := stack[-1].block].tag in shut:
+                close(k)
+            if tag == "body" and open_tags["head"]:  # a head without an end
+                close(next(k for k, e in enumerate(stack) if e.tag == "head"))
             flush()
         if tag in VOID or (rest.endswith("/") and tag not in BLOCK):
             continue
@@ -142,7 +139,10 @@ def blocks_of(page: str | None) -> list[Block]:
         own = {f"in:{tag}"} if tag in BLOCK else set()
         if "=" in rest and tag in BLOCK | {"span", "a"}:
             own |= _names(rest)
-        stack.append(_Open(tag, above.features | own if own else above.features, above.silent or tag in SILENT, above.link or tag == "a"))
+        features = above.features | own if own - above.features else above.features
+        block = len(stack) if tag in BLOCK else above.block
+        stack.append(_Open(tag, features, above.silent or tag in SILENT, above.link or tag == "a", block))
+        open_tags[tag] += 1
         if tag in RAW:
             end = for_end.get(tag) or for_end.setdefault(tag, re.compile(rf"</{tag}\b", re.I))
             found = end.search(page, at)

@@ -31,7 +31,8 @@ FOOTERS = (
 SIDES = (
     "<aside><h3>{w} {w}</h3><p>{s}</p></aside>", "<div class='sidebar'><h2>{w}</h2><ul>{l}</ul></div>", "<aside class='related'>{l}</aside>",
     "<div id='sidebar'><p>{s} {s}</p></div>", "<section class='related-posts'><h3>{w}</h3><p>{s}</p></section>", "<aside>{s} {s}</aside>",
-    "<div class='widget'><p>{s}</p></div>",
+    "<div class='widget'><p>{s}</p></div>", "<div class='r-col'><h4>{w} {w}</h4><ul>{l}</ul></div>", "<div class='col-2'><h3>{w}</h3><p>{s}</p>{l}</div>",
+    "<div class='right-rail'><p>{s}</p><p>{s}</p></div>",
 )
 NOTICES = (
     "<div class='cookie-notice'>{s} <button>OK</button></div>", "<div id='consent'><p>{s} {s}</p></div>", "<div class='notice'>{s}</div>",
@@ -51,6 +52,8 @@ COMMENTS = (
     "<div class='comments'><h3>{w}</h3><p>{s} {s}</p><p>{s}</p></div>", "<section id='comments'><ul><li><p>{s} {s} {s}</p></li><li><p>{s}</p></li></ul></section>",
     "<div class='comment'><b>{w}</b><p>{s} {s}</p></div>", "<ol class='commentlist'><li>{s} {s}</li><li>{s}</li></ol>",
     "<section class='reader-comments'><article class='comment'><p>{s} {s}</p></article></section>", "<div class='replies'><div class='reply'><p>{s} {s}</p></div></div>",
+    "<div id='disqus_thread'><p>{s} {s}</p><p>{s}</p></div>", "<section class='reader-responses'><h3>{w}</h3><p>{s} {s}</p><p>{s} {s} {s}</p></section>",
+    "<div class='discussion-thread'><div><b>{w}</b> {s} {s}</div><div><b>{w}</b> {s}</div></div>", "<div class='fb-comments'><p>{s}</p></div>",
 )
 SHARES = ("<div class='share'>{l}</div>", "<div class='social-links'>{l}</div>", "<p class='tags'>{l}</p>", "<div class='byline meta'>{w} {w}</div>")
 # Where the article stands, and its blocks.
@@ -58,6 +61,8 @@ ARTICLES = (
     "<article>{t}{b}</article>", "<main>{t}{b}</main>", "<div class='content'>{t}{b}</div>", "<div id='main'><div class='post'>{t}{b}</div></div>",
     "<section class='story'>{t}{b}</section>", "<div class='article-body'>{t}{b}</div>", "<main><article class='entry'>{t}{b}</article></main>",
     "<div>{t}{b}</div>", "{t}{b}", "<div role='main'>{t}{b}</div>", "<table><tr><td>{t}{b}</td></tr></table>", "<article>{t}<div class='entry-content'>{b}</div></article>",
+    "<div class='container'><div class='row'><div class='col-8'>{t}{b}</div></div></div>", "<div class='left-col'>{t}{b}</div>",
+    "<div>{t}{r}{m}</div>", "<div class='text'>{t}{r}{m}</div>", "<table><tr><td>{r}{m}</td></tr></table>",
 )
 TITLES = ("", "<h1>{w} {w} {w}{m}</h1>", "<h1>{s}{m}</h1>", "<h2>{w} {w} {w} {w}{m}</h2>")
 BODIES = (
@@ -97,6 +102,8 @@ class _Filler:
             return self.sentence()
         if kind == "p":
             return " ".join(self.sentence() for _ in range(draw.randrange(2, 9)))
+        if kind == "r":  # an article of lines instead of paragraphs
+            return "<br><br>".join(self.one("p") + draw.choice(["", "<br>" + self.one("p")]) for _ in range(draw.randrange(2, 6)))
         if kind == "m":
             return MARK
         if kind == "l":
@@ -107,6 +114,8 @@ class _Filler:
         parts = [self.fill(draw.choice(BODIES[:5] * 2 + BODIES)) for _ in range(draw.choice([1, 2, 3, 5, 9]))]
         if draw.random() < 0.3:  # a region within the article that is none of it
             parts.insert(draw.randrange(len(parts) + 1), "</b>" + self.fill(draw.choice(ADVERTS + SHARES + SIDES + FORMS)))
+        if draw.random() < 0.15:
+            parts.append("</b>" + self.fill(draw.choice(COMMENTS)))
         return "".join(parts)
 
     def page(self) -> str:
@@ -119,7 +128,7 @@ class _Filler:
         return f"<html><head><title>{self.sentence()}</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
-def labelled(pages: int = 160, seed: int = 11) -> list[tuple[list[Block], list[bool]]]:
+def labelled(pages: int = 320, seed: int = 11) -> list[tuple[list[Block], list[bool]]]:
     """Pages as blocks with their labels; the same for the same arguments."""
     filler, out = _Filler(seed), []
     for _ in range(pages):

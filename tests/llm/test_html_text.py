@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -53,6 +54,29 @@ def test_held_out_pages(field):
     assert np.mean([h.extract(p, field) == t for p, t in pages]) > 0.95
 
 
+WORDS = "The council met on Monday to talk about the new bridge over the river."
+MORE = "It was the third meeting of this year, and many people came to listen."
+
+
+@pytest.mark.parametrize("shape,want", [
+    # Layouts that no training page has in this form.
+    ("<article><p>{a}</p><p>{b}</p><div id='disqus_thread'><p>Nice text.</p><p>I agree with all of it.</p></div></article>", "{a}\n{b}"),
+    ("<article><p>{a}</p><p>{b}</p><section class='reader-responses'><p>So true.</p><p>{b}</p></section></article>", "{a}\n{b}"),
+    ("<div class='row'><div class='main-col'><p>{a}</p><p>{b}</p></div><div class='r-col'><h4>Latest</h4><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul></div></div>", "{a}\n{b}"),
+    ("<nav><a href='/'>Home</a></nav><div>{a}<br><br>{b}<br>{a}</div><footer>&copy; us</footer>", "{a} {b} {a}"),
+])
+def test_other_layouts(field, shape, want):
+    page = f"<html><head><title>t</title></head><body>{shape}</body></html>".replace("{a}", WORDS).replace("{b}", MORE)
+    assert h.extract(page, field) == want.replace("{a}", WORDS).replace("{b}", MORE)
+
+
+def test_stray_and_open_tags_cost_no_more_than_their_number(field):
+    began = time.process_time()
+    page = "<i>" * 40_000 + "x" + "</u>" * 40_000 + "<p>y" * 2000 + "</i>" * 40_000
+    assert texts(page)[:2] == ["x", "y"]
+    assert time.process_time() - began < 5
+
+
 def test_rows(spark, field):
     page = "<nav><a href='/'>Home</a></nav><article><h1>A title.</h1><p>One  &amp; two.</p></article><footer>c</footer>"
     long = "<article>" + "<p>Some words here.</p>" * 30_000 + "</article>"
