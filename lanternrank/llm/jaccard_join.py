@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternrank.llm.shared import connected, hashed_words, mixed, over_slices, part_files, scratch, slices, window_hashes
+from lanternrank.llm.shared import connected, mixed, over_slices, part_files, scratch, slices, window_hashes
+from lanternrank.llm.spans import NOT_BLANK, word_codes, words_of
 
 WIDTH = 5
 PERCENT = 80
@@ -46,11 +47,10 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def _each(batch: pa.RecordBatch, column: str, width: int) -> Iterator[np.ndarray]:
-    words, ends = hashed_words(batch.column(column))
-    start = 0
-    for end in ends:
-        yield shingles(words[start:end], width)
-        start = end
+    words = words_of(batch.column(column), NOT_BLANK)
+    codes, first = word_codes(words), words.first.tolist()
+    for start, end in zip(first, first[1:]):
+        yield shingles(codes[start:end], width)
 
 
 def _name(s: np.ndarray, seed: int) -> tuple[int, int]:
@@ -124,7 +124,9 @@ def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int)
     if len(tokens):
         at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
         times = np.where(tokens[at] == s, counts[at], 0)
-    order = np.lexsort((s, times))
+    # In order of hashes already; only those that are known move.
+    known = np.flatnonzero(times)
+    order = np.concatenate([np.flatnonzero(times == 0), known[np.argsort(times[known], kind="stable")]])
     n, need = len(s), least_shared(len(s), percent)
     most = min(MOST_SHARED, need)
     postings = np.cumsum(np.where(times > 0, times, RARE)[order])

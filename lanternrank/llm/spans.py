@@ -8,6 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+
+from lanternrank.llm.shared import mixed
 
 SPACE = 0x20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -69,3 +72,43 @@ def run_bounds(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.maximum(np.diff(words.first) - width + 1, 0)
     shift = np.repeat(words.first[:-1] - (np.cumsum(counts) - counts), counts)
     return np.arange(counts.sum()) + shift, counts
+
+
+# A word's code is a polynomial of numbers drawn for its bytes, modulo 2**64, so
+# that sums over all bytes give the codes of all words; longer words by digest.
+_DRAWN = np.random.default_rng(20240229).integers(1 << 63, 1 << 64, 257, np.uint64, endpoint=False) | np.uint64(1)
+LONG_WORD, CHUNK = 1 << 12, 1 << 16
+
+
+def _powers(x: int) -> np.ndarray:
+    steps = np.full(CHUNK + LONG_WORD + 2, x, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_UP = _powers(int(_DRAWN[256]))
+_DOWN = _powers(pow(int(_DRAWN[256]), -1, 1 << 64))
+
+
+def word_codes(words: Words) -> np.ndarray:
+    """A 64-bit code of each word that depends on its bytes alone."""
+    start, end = words.start, words.end
+    size = end - start
+    codes = np.zeros(len(start), np.uint64)
+    short = size <= LONG_WORD
+    at = np.flatnonzero(short)
+    lo = 0
+    while lo < len(at):
+        base = start[at[lo]]
+        hi = max(lo + 1, int(np.searchsorted(start[at], base + CHUNK, "right")))
+        some = at[lo:hi]
+        # Long words in between end a stretch.
+        gap = np.flatnonzero(np.diff(some) > 1)
+        some = some[: gap[0] + 1] if len(gap) else some
+        part = _DRAWN[words.data[base : end[some[-1]]]]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * _UP[: len(part)])])
+        codes[some] = (sums[end[some] - base] - sums[start[some] - base]) * _DOWN[start[some] - base]
+        lo += len(some)
+    for k in np.flatnonzero(~short):
+        codes[k] = xxhash.xxh3_64_intdigest(words.data[start[k] : end[k]].tobytes())
+    return mixed(codes + size.astype(np.uint64) * _DRAWN[0])
