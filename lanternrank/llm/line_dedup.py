@@ -29,8 +29,8 @@ BLOCKS, CHOSEN = 8, 2
 MOST_BITS = 12
 # Edit similarity: one less edits over the longer length.
 PERCENT = 90
-# Words longer than this are cut into runs of GRAM characters, for scripts
-# without spaces.
+# Lines whose words are longer than this on average are cut into runs of GRAM
+# characters, for scripts without spaces.
 LONG_WORD, GRAM = 24, 3
 # Width of a band of lengths, in the logarithm; it only cuts the lists of keys.
 BAND = 0.6
@@ -49,15 +49,11 @@ def numbers(plain: Column) -> Column:
 
 
 def features(plain: Column) -> Column:
-    """Distinct words; of a line with a very long one, distinct runs of characters."""
-
-    def grams(chars: Column) -> Column:
-        n = F.greatest(F.size(chars) - (GRAM - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(chars, i, GRAM), ""))
-
-    long = plain.rlike(r"\S{%d}" % (LONG_WORD + 1))
-    words = F.when(long, let(F.split(plain, ""), grams)).otherwise(F.split(plain, " "))
-    return F.array_distinct(words)
+    """Distinct words; of a line of very long ones, distinct runs of characters."""
+    words = F.split(plain, " ")
+    # A look-ahead takes overlapping runs, in generated code.
+    grams = F.regexp_extract_all(plain, F.lit("(?=(.{%d}))" % GRAM), F.lit(1))
+    return F.array_distinct(F.when(F.length(plain) > LONG_WORD * F.size(words), grams).otherwise(words))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -237,17 +233,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     with scratch(docs.sparkSession):
         away = part_files(repeats(docs, id_col, text_col), "repeats", keep=True).select(F.col(id_col).alias("id"), "drop")
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    held = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in kept]).alias("row"))
-    held = held.join(away, F.col("row")[id_col] == F.col("id"), "left")
-    old = F.col("row")[text_col]
+    # Columns by number: no name of theirs can clash.
+    kept = [k for k, c in enumerate(docs.columns) if c not in ("n_lines", "n_dropped")]
+    at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
+    held = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).join(away, F.col(f"c{at_id}") == F.col("id"), "left")
+    old = F.col(f"c{at_text}")
     lines = F.split(old, "\n", -1)
     left = let(lines, lambda x: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("drop")), lambda k: F.get(x, k)), "\n"
     ))
     text = F.when(F.col("drop").isNull(), old).otherwise(left)
     return held.select(
-        *[(text if c == text_col else F.col("row")[c]).alias(c) for c in kept],
+        *[(text if k == at_text else F.col(f"c{k}")).alias(docs.columns[k]) for k in kept],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )

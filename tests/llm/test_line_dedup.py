@@ -17,7 +17,7 @@ def plain(line):
 
 def features(line):
     words = line.split(" ")
-    if any(len(w) > d.LONG_WORD for w in words):
+    if len(line) > d.LONG_WORD * len(words):
         words = [line[k : k + d.GRAM] for k in range(max(1, len(line) - d.GRAM + 1))]
     return list(dict.fromkeys(words))
 
@@ -77,8 +77,8 @@ def brute(rows, by_keys=True):
 
 def edited(draw, line, n):
     x = list(line)
-    for _ in range(n):
-        at = draw.randrange(max(1, len(x)))
+    for _ in range(n if len(line) > 5 else 0):
+        at = draw.randrange(len(x))
         x[at : at + 1] = draw.choice([[], [draw.choice("abcdefgh ")], [x[at], draw.choice("abcdefgh ")]])
     return "".join(x)
 
