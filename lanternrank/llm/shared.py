@@ -3,6 +3,7 @@ words, links between rows, and connected groups."""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -87,7 +88,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-_OPEN: list[list[str]] = []
+class _Scopes(threading.local):
+    """Tables written within ``scratch`` blocks, of each thread for itself."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
 
 
 def part_files(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -97,7 +105,7 @@ def part_files(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     block around that one, or not at all.
     """
     path = fresh_path(df.sparkSession, name)
-    scopes = _OPEN[:-1] if keep else _OPEN
+    scopes = _SCOPES.open[:-1] if keep else _SCOPES.open
     if scopes:
         scopes[-1].append(path)
     df.write.parquet(path)
@@ -107,11 +115,11 @@ def part_files(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes the tables that were written within, when all that reads them is done."""
-    _OPEN.append([])
+    _SCOPES.open.append([])
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        for path in _SCOPES.open.pop():
             remove(spark, path)
 
 
