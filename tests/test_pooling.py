@@ -35,3 +35,22 @@ def test_layers(states):
 def test_unknown_strategy(states):
     with pytest.raises(ValueError):
         pool(states, "max")
+
+
+def test_a_sequence_that_holds_most_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lanternrank.operators import pooling
+
+    monkeypatch.setattr(pooling, "HELD_VALUES", 8)
+    monkeypatch.setattr(pooling, "SALTS", 3)
+    rows = spark.range(6000, numPartitions=12).select(
+        F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 50).cast("string").alias("seq_id"),
+        F.lit(0).alias("layer"), F.col("id").alias("pos"),
+        F.array(F.col("id").cast("double"), F.lit(1.0), F.lit(None).cast("double")).alias("hidden"), F.lit(1).alias("mask"),
+    ).withColumn("hidden", F.slice("hidden", 1, 2))
+    parts = rows.select("seq_id", F.col("hidden"), F.col("mask")).mapInArrow(pooling._partial, "seq_id string, total array<double>, n long")
+    assert parts.where(F.size("total") > 2).count() == 0 and parts.where("seq_id = '7'").count() >= 12
+    got = {r.seq_id: r.embedding for r in pool(rows, "mean").collect()}
+    want = {r.seq_id: [r.m, 1.0] for r in rows.groupBy("seq_id").agg(F.avg(F.col("hidden")[0]).alias("m")).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)

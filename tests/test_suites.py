@@ -140,3 +140,20 @@ def test_stream_continues_where_it_stopped(spark, root, tmp_path):
     first = next(x for x in rows if x.key == "a0")
     text = " ".join(load(source)[0]["docstring_tokens"])
     assert first.embedding == HashingModel()([text], "query")[0].tolist()
+
+
+def test_one_file_for_both_sides_is_read_once(spark, root):
+    asked, offered = suites.texts(spark, r.catalogue(str(root), ("adv",)))
+    assert set(asked.inputFiles()) == set(offered.inputFiles())
+    assert not any("AdvTest" in f for f in asked.inputFiles())
+    assert asked.count() == offered.count() == 15
+
+
+def test_ranks_do_not_depend_on_the_files(spark, root, tmp_path):
+    """The same records in another order, and in several files."""
+    other = tmp_path / "AdvTest/clean_data/dataset/test.jsonl"
+    rows = load(root / "AdvTest/clean_data/dataset/test.jsonl")
+    write(other / "a.jsonl", rows[::-2])
+    write(other / "b.jsonl", rows[-2::-2])
+    a, b = (suites.run_suite(spark, str(x), MODEL, ("adv",)).collect() for x in (root, tmp_path))
+    assert a == b
