@@ -1,5 +1,5 @@
 """What several corpus operators use: bounded slices of Arrow batches, hashed
-words, links between rows, and connected groups."""
+runs of words, links between rows, and connected groups."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -49,24 +48,6 @@ def over_slices(
     return df.mapInArrow(run, schema)
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, and where each text's words end.
-
-    Words are runs without ASCII white space, A-Z lower-cased; NULL has none.
-    """
-    texts = pc.fill_null(texts.cast(pa.string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    flat = lists.flatten().dictionary_encode()
-    counts = np.diff(lists.offsets.to_numpy())
-    names = flat.dictionary.to_pylist()
-    codes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
-    index = flat.indices.to_numpy()
-    filled = np.fromiter((w != "" for w in names), bool, len(names))[index] if names else np.zeros(0, bool)
-    rows = np.repeat(np.arange(len(counts)), counts)[filled]
-    ends = np.cumsum(np.bincount(rows, minlength=len(counts)))
-    return (codes[index[filled]] if names else np.zeros(0, np.uint64)), ends.astype(np.int64)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
