@@ -1,11 +1,12 @@
 """Grids: even cells whatever the sizes of groups, and little repetition."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from lanternrank.operators import search, sweep
+from lanternrank.operators import kernels, search, sweep
 from lanternrank.operators.search import first_hit_rank, knn_join
 from lanternrank.operators.sweep import GROUP, Fit, Grid, Limits, cells_of, lay_out, shuffle_tasks
 from test_search import frame, items
@@ -102,3 +103,52 @@ def test_gold_answers_without_a_second_sweep(spark):
     plan = first_hit_rank(frame(spark, items(40, 1)), frame(spark, items(90, 2)), limits=SMALL)._jdf.queryExecution().optimizedPlan().toString()
     # One sweep counts; the answers come from an equi-join.
     assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" in plan
+
+
+def test_passing_rows_are_repeated_for_few_blocks(spark):
+    resident, stream = rows(spark, [5000]), rows(spark, [900])
+    grid = lay_out(resident, stream, Fit(5, False), SMALL)
+    sent = cells_of(resident, stream, grid)
+    # Before: a block for every five rows, and 900,000 passing rows.
+    assert sent.where("turn = 1").count() <= 64 * 900 and sent.where("turn = 0").count() <= 5000 * 17
+
+
+def test_few_stripes_if_each_returns_much(spark, monkeypatch):
+    monkeypatch.setattr(sweep, "LEAST_WORK", 1)
+    q, p = rows(spark, [400]), rows(spark, [400])
+    usual, much = (lay_out(q, p, Fit(1000, False), SMALL, returned) for returned in (0, 32_000))
+    assert usual.groups.first().stripes == 4 and much.groups.first().stripes == 1
+    assert usual.cells == much.cells == 16
+
+
+@pytest.mark.parametrize("step", [3, 7, 100])
+@pytest.mark.parametrize("held", [1, 4, 33, 1000])
+def test_rounds_give_what_one_block_does(step, held):
+    q, p = items(40, 51), items(90, 52)
+    table = lambda d: pa.table(
+        {"grp": [""] * len(d[0]), "id": d[0], "embedding": pa.array(d[2].tolist(), pa.list_(pa.float32()))}
+    )
+
+    def found(work):
+        for turn, side in enumerate((q, p)):
+            for batch in table(side).to_batches(max_chunksize=step):
+                work.take(turn, batch)
+        return sorted(tuple(r.values()) for b in work.result() for r in b.to_pylist())
+
+    made = []
+
+    class Counted(kernels.TopK):
+        def start(self, resident):
+            made.append(len(resident))
+            super().start(resident)
+
+    assert found(sweep.Rounds(lambda: Counted(5), held)) == found(kernels.TopK(5))
+    assert sum(made) == 40 and max(made) <= max(1, held + held // 4)
+    assert found(sweep.Rounds(lambda: kernels.TopK(5), 1000)) == found(kernels.TopK(5))
+
+
+def test_rounds_without_a_stream_return_nothing():
+    batch = pa.record_batch({"grp": ["", ""], "id": [1, 2], "embedding": pa.array([[1.0], [1.0]], pa.list_(pa.float32()))})
+    work = sweep.Rounds(lambda: kernels.TopK(5), 1)
+    work.take(0, batch)
+    assert list(work.result()) == []
