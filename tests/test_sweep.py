@@ -152,3 +152,15 @@ def test_rounds_without_a_stream_return_nothing():
     work = sweep.Rounds(lambda: kernels.TopK(5), 1)
     work.take(0, batch)
     assert list(work.result()) == []
+
+
+def test_cells_follow_the_cores(spark, monkeypatch):
+    # Before, 4 x 200 cells, each row repeated for 28 of them.
+    monkeypatch.setattr(sweep, "LEAST_WORK", 1)
+    resident, stream = rows(spark, [1000]), rows(spark, [1000])
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        grid = lay_out(resident, stream, Fit(1000, False), SMALL)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert grid.cells <= 4 * max(8, spark.sparkContext.defaultParallelism) + 8
