@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,26 @@ STEM = 5
 BLOCK = 64
 # A term in more than one in so many examples has an array instead of a list.
 SPARSE = 32
+# Terms and cosines, in single precision, of texts that are worked on together.
+TOGETHER = 1 << 21
 WORDS = re.compile(r"[^\W\d_]+")
+# The same words of plain ASCII: what is no letter becomes a space.
+_ASCII = {k: chr(k).lower() if chr(k).isalpha() else " " for k in range(128)}
+
+
+def _starts(text: str) -> list[str]:
+    """The first letters of every word, in lower case."""
+    words = text.translate(_ASCII).split() if text.isascii() else WORDS.findall(text.lower())
+    return [w[:STEM] for w in words]
 
 
 def stems(text: str | None) -> Counter:
     """The first letters of every word, in lower case, counted."""
-    return Counter([w[:STEM] for w in WORDS.findall(text.lower())]) if text else Counter()
+    return Counter(_starts(text)) if text else Counter()
 
 
 def stem_set(text: str | None) -> set[str]:
-    return {w[:STEM] for w in WORDS.findall(text.lower())} if text else set()
+    return set(_starts(text)) if text else set()
 
 
 class Index:
@@ -79,10 +90,11 @@ class Index:
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit weights ``(1 + ln tf) idf``."""
-        pairs = [(k, n) for t, n in counts.items() if (k := self.terms.get(t)) is not None]
-        if not pairs:
+        term = np.fromiter(map(self.terms.get, counts, repeat(-1)), int, len(counts))
+        n = np.fromiter(counts.values(), int, len(counts))[term >= 0]
+        term = term[term >= 0]
+        if not len(term):
             return np.zeros(0, int), np.zeros(0)
-        term, n = np.array(pairs).T
         weight = (1 + np.log(n)) * self.idf[term]
         norm = np.sqrt((weight**2).sum())
         return (term, weight / norm) if norm > 0 else (term[:0], weight[:0])
@@ -118,14 +130,16 @@ class Index:
         each = np.repeat(weight[~dense], size)
         return out + np.bincount(self.rows[where], self.weights[where] * each, self.blocks * BLOCK)[columns]
 
-    def _exact(self, term: np.ndarray, weight: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Cosines with a few examples in double precision."""
-        whole = np.zeros(len(self.terms))
-        whole[term] = weight
-        start, size = self.ends[places], self.ends[places + 1] - self.ends[places]
-        where = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        owner = np.repeat(np.arange(len(places)), size)
-        return np.bincount(owner, whole[self.example_terms[where]] * self.example_weights[where], len(places))
+    def _exact(self, whole: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Cosines with a few examples in double precision; ``whole`` has the
+        weight of every term."""
+        spans = [slice(a, b) for a, b in zip(self.ends[places].tolist(), self.ends[places + 1].tolist(), strict=True)]
+        if not spans:
+            return np.zeros(0)
+        term = np.concatenate([self.example_terms[x] for x in spans])
+        weight = np.concatenate([self.example_weights[x] for x in spans])
+        owner = np.repeat(np.arange(len(places)), self.ends[places + 1] - self.ends[places])
+        return np.bincount(owner, whole[term] * weight, len(places))
 
     def nearest(self, counts: Counter, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a term in common;
@@ -152,12 +166,82 @@ class Index:
         rough = self._rough(term, weight, opened)
         rough, places = rough[places < n], places[places < n]
         least = np.partition(rough, -k)[-k] - 2 * margin if len(rough) > k else 0.0
-        places = places[(rough >= least) & (rough > 0)]
-        cosines = self._exact(term, weight, places)
+        whole = np.zeros(len(self.terms))
+        whole[term] = weight
+        return self._best(whole, places[(rough >= least) & (rough > 0)], k)
+
+    def _best(self, whole: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        cosines = self._exact(whole, places)
         best = np.lexsort((places, -cosines.round(12)))[:k]
         best = best[cosines[best] > 0]
         return places[best], cosines[best]
 
+    def nearest_of(self, texts: list[Counter], k: int = NEAREST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What ``nearest`` finds for each of some texts, worked on together: a
+        block is opened once for all texts that it may be near to."""
+        vectors = [self.vector(c) for c in texts]
+        n, width = len(self.ids), self.blocks * BLOCK
+        asked = [at for at, (term, _) in enumerate(vectors) if len(term)] if n else []
+        none = np.zeros(0, int), np.zeros(0)
+        found = [none] * len(texts)
+        # Two matrices of a row for each text, of its terms and its cosines.
+        step = max(1, TOGETHER // max(1, width + len(self.arrays)))
+        for lo in range(0, len(asked), step):
+            some = asked[lo : lo + step]
+            for at, hits in zip(some, self._nearest_of([vectors[at] for at in some], k), strict=True):
+                found[at] = hits
+        yield from found
+
+    def _nearest_of(self, vectors: list, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        m, n, width = len(vectors), len(self.ids), self.blocks * BLOCK
+        sizes = np.array([len(term) for term, _ in vectors])
+        margin = (sizes + 20) * 2.0**-23
+        bound = np.stack([weight @ self.most[term] for term, weight in vectors])
+        row = np.repeat(np.arange(m), sizes)
+        term, weight = (np.concatenate(x) for x in zip(*vectors, strict=True))
+        array = self.array_of[term]
+        dense = array >= 0
+        asked = np.zeros((m, len(self.arrays)), np.float32)
+        asked[row[dense], array[dense]] = weight[dense]
+        rare = term[~dense]
+        start, size = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
+        where = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        place = np.repeat(row[~dense] * width, size) + self.rows[where]
+        each = self.weights[where] * np.repeat(weight[~dense], size)
+        lists = np.bincount(place, each, m * width).astype(np.float32).reshape(m, self.blocks, BLOCK)
+        rough = np.full((m, self.blocks, BLOCK), -np.inf, np.float32)
+
+        def look(pairs: np.ndarray) -> None:
+            for block in np.flatnonzero(pairs.any(axis=0)):
+                mine = np.flatnonzero(pairs[:, block])
+                arrays = self.arrays[:, block * BLOCK : (block + 1) * BLOCK]
+                rough[mine, block] = asked[mine] @ arrays + lists[mine, block]
+
+        first = np.zeros((m, self.blocks), bool)
+        opened = np.argsort(-bound, axis=1, kind="stable")[:, : -(-k // BLOCK)]
+        np.put_along_axis(first, opened, True, axis=1)
+        look(first)
+        flat = rough.reshape(m, width)
+        wanted = first
+        if self.blocks > opened.shape[1]:
+            near = rough[np.arange(m)[:, None], opened].reshape(m, -1)
+            least = np.partition(near, -k, axis=1)[:, -k] - margin
+            wanted = (bound >= least[:, None] - 1e-9) & (bound > 0)
+            look(wanted & ~first)
+            rough[first & ~wanted] = -np.inf
+        flat[:, n:] = -np.inf
+        least = np.zeros(m)
+        if n > k:
+            # Fewer than k opened ones are all looked at.
+            least = np.maximum(np.partition(flat, -k, axis=1)[:, -k] - 2 * margin, 0.0)
+        at, places = np.nonzero((flat >= least[:, None]) & (flat > 0))
+        ends = np.searchsorted(at, np.arange(m + 1))
+        whole = np.zeros(len(self.terms))
+        for each, (term, weight) in enumerate(vectors):
+            whole[term] = weight
+            yield self._best(whole, places[ends[each] : ends[each + 1]], k)
+            whole[term] = 0.0
+
     def score(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of label 1 in the votes, as if classes were sampled alike; the
         share of all labelled rows where nothing votes."""
@@ -237,8 +321,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         index = shared.value
         scores, evidence = [], []
-        for text in batch.column(1).to_pylist():
-            places, cosines = index.nearest(stems(text))
+        for places, cosines in index.nearest_of([stems(x) for x in batch.column(1).to_pylist()]):
             scores.append(index.score(places, cosines))
             evidence.append([
                 {"example": str(index.ids[p]), "label": int(index.labels[p]), "cosine": float(c)}

@@ -30,6 +30,42 @@ def test_nearest_is_exact():
         np.testing.assert_allclose(cosines, all_of[places], atol=1e-9)
 
 
+def test_texts_together_find_the_same():
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(150)]
+    make = lambda: Counter(draw.choices(words[draw.choice([0, 90]) :], k=draw.randrange(1, 30)))
+    idf = {w: 0.1 + k % 7 for k, w in enumerate(words)}
+    for n in (0, 5, 64, 70, 500):
+        index = t.Index([(k, k % 2, make()) for k in range(n)], idf, 0.2)
+        texts = [make() for _ in range(60)] + [Counter(), Counter({"unknown": 3})]
+        for got, one in zip(index.nearest_of(texts), map(index.nearest, texts), strict=True):
+            assert got[0].tolist() == one[0].tolist() and got[1].tolist() == one[1].tolist()
+
+
+def test_texts_together_skip_blocks():
+    examples = [(k, 0, Counter({f"a{k // 64}": 1, f"b{k}": 1})) for k in range(640)]
+    index = t.Index(examples, {f"a{k}": 1.0 for k in range(10)} | {f"b{k}": 1.0 for k in range(640)}, 0.5)
+
+    alone = index.nearest(Counter({"a3": 1}))[0].tolist()
+
+    class Arrays(np.ndarray):
+        opened = []
+
+        def __getitem__(self, key):
+            Arrays.opened.append(key[1].start // t.BLOCK)
+            return np.asarray(self)[key]
+
+    index.arrays = index.arrays.view(Arrays)
+    (first, _), (second, _) = index.nearest_of([Counter({"a3": 1}), Counter({"a3": 2})])
+    assert len(Arrays.opened) == 1 and first.tolist() == second.tolist() == alone
+
+
+def test_ascii_words():
+    text = "It's A_b C3d--Straße's end\tNEXT\x1fone\x00two 3.4e5 x"
+    for x in (text, text.replace("ß", "ss")):
+        assert t.stems(x) == Counter(w[: t.STEM] for w in t.WORDS.findall(x.lower()))
+
+
 def test_blocks_are_skipped():
     examples = [(k, 0, Counter({f"a{k // 64}": 1, f"b{k}": 1})) for k in range(640)]
     index = t.Index(examples, {f"a{k}": 1.0 for k in range(10)} | {f"b{k}": 1.0 for k in range(640)}, 0.5)
