@@ -15,13 +15,14 @@ groups are paired.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternrank.llm.quality import let
-from lanternrank.llm.shared import connected, part_files, scratch
+from lanternrank.llm.shared import clean_shuffles, connected, part_files, scratch
 
 # Blocks of the fingerprint, and how many of them make a key.
 BLOCKS, CHOSEN = 8, 2
@@ -36,6 +37,8 @@ LONG_WORD, GRAM = 24, 3
 BAND = 0.6
 # Lines that hold more than one in so many rows are told to all tasks.
 HOT = 512
+# Turns in which the keys of two blocks are shuffled.
+TURNS = 7
 
 
 def normal(line: Column) -> Column:
@@ -108,19 +111,22 @@ def _banded(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("band", F.explode(F.when(place - band <= near, F.array(band, band - 1)).otherwise(F.array(band))))
 
 
-def _keyed(nodes: DataFrame, chosen: int) -> DataFrame:
+def _keyed(nodes: DataFrame, chosen: int, turn: int = 0, turns: int = 1) -> DataFrame:
     """A row for each key of a node: ``chosen`` of the fingerprint's blocks (or,
-    if 1, of its quarters), with the band."""
+    if 1, of its quarters), with the band; of ``turns`` parts of all keys one."""
     count, wide = (4, 16) if chosen == 1 else (BLOCKS, 64 // BLOCKS)
     parts = [F.shiftrightunsigned("bits", wide * k).bitwiseAND(F.lit((1 << wide) - 1)) for k in range(count)]
     keys = []
-    for n, some in enumerate(combinations(range(count), chosen)):
+    for n, some in list(enumerate(combinations(range(count), chosen)))[turn::turns]:
         key = F.lit(n).cast("long")
         for k in some:
             key = F.shiftleft(key, wide).bitwiseOR(parts[k])
         keys.append(key)
+    # Never NULL: a join of the rows with themselves then shuffles them once.
+    nodes = nodes.select([F.coalesce(c, F.lit(0)).alias(c) for c in nodes.columns])
     rows = _banded(nodes).withColumn("block", F.explode(F.array(*keys)))
-    rows = rows.withColumn("key", F.shiftleft("block", 6).bitwiseOR(F.col("band").cast("long"))).drop("block", "band")
+    key = F.shiftleft("block", 6).bitwiseOR(F.col("band").cast("long"))
+    rows = rows.withColumn("key", F.coalesce(key, F.lit(0))).drop("block", "band")
     return rows.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
 
 
@@ -141,8 +147,16 @@ def _to_leader(nodes: DataFrame) -> DataFrame:
 
 
 def _between_groups(nodes: DataFrame) -> DataFrame:
-    """Candidates ``a, b`` of different groups that agree on two blocks."""
-    rows = _keyed(nodes.select("num", "length", "bits", "group"), CHOSEN)
+    """Candidates ``a, b`` of different groups that agree on two blocks.
+
+    The keys come in turns, so that the disk holds the rows of few keys at a time.
+    """
+    found = [part_files(_meeting(nodes, turn), "meeting") for turn in range(TURNS)]
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _meeting(nodes: DataFrame, turn: int) -> DataFrame:
+    rows = _keyed(nodes.select("num", "length", "bits", "group"), CHOSEN, turn, TURNS)
     main = F.first("group").over(Window.partitionBy("key").orderBy("num"))
     outside = rows.withColumn("main", main).where(F.col("group") != F.col("main"))
     other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("num", "length", "bits", "group")])
@@ -231,7 +245,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Other columns stay, whatever their names; columns named ``n_lines`` or
     ``n_dropped`` are replaced. An empty table gives an empty one.
     """
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), clean_shuffles(docs.sparkSession):
         away = part_files(repeats(docs, id_col, text_col), "repeats", keep=True).select(F.col(id_col).alias("id"), "drop")
     # Columns by number: no name of theirs can clash.
     kept = [k for k, c in enumerate(docs.columns) if c not in ("n_lines", "n_dropped")]

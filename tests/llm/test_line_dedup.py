@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lanternrank.llm import line_dedup as d
 from lanternrank.llm.queries import op7_line_dedup
+from lanternrank.llm.shared import clean_shuffles
 
 
 def plain(line):
@@ -186,3 +187,32 @@ def test_columns_of_lines(spark):
     df = spark.createDataFrame([(1, "A b\n\n12\nc")], "doc_id long, text string")
     rows = d.lines_of(df, "doc_id", "text").select("line_no", "line", F.col("raw") == F.xxhash64("line")).collect()
     assert [tuple(r) for r in rows] == [(0, "A b", True), (3, "c", True)]
+
+
+def test_keys_in_turns_are_all_keys(spark):
+    df = spark.createDataFrame([(k, 40 + k, k * 0x9E3779B97F4A7C15 % (1 << 63), k % 5) for k in range(50)], "num long, length int, bits long, group long")
+    every = sorted(map(tuple, d._keyed(df, d.CHOSEN).collect()))
+    turns = [tuple(r) for k in range(d.TURNS) for r in d._keyed(df, d.CHOSEN, k, d.TURNS).collect()]
+    assert sorted(turns) == every and len(every) >= 28 * 50
+
+
+def test_rows_at_keys_are_shuffled_once(spark, tmp_path):
+    rows = [(k, 50, (k // 2) * 0x9E3779B97F4A7C15 % (1 << 63), k) for k in range(400)]
+    spark.createDataFrame(rows, "num long, length int, bits long, group long").write.parquet(f"{tmp_path}/nodes")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = d._meeting(spark.read.parquet(f"{tmp_path}/nodes"), 0)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]
+
+
+def test_shuffles_go_with_their_query(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with clean_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
