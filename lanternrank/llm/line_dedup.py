@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,8 @@ PERCENT = 90
 # Lines whose words are longer than this on average are cut into runs of GRAM
 # characters, for scripts without spaces.
 LONG_WORD, GRAM = 24, 3
+# Characters of a piece by which texts are told to be far apart.
+PIECE = 5
 # Width of a band of lengths, in the logarithm; it only cuts the lists of keys.
 BAND = 0.6
 # Lines that hold more than one in so many rows are told to all tasks.
@@ -67,39 +69,48 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("raw", F.xxhash64("line"))
 
 
-_HALF = 1 << 32 | 1  # two counts in a long
+def _majority(codes: Column, n: Column, wide: int) -> Column:
+    """The bits that are set in more than half of ``n`` hashes, fewer than
+    2 ** (wide - 1): counts of ``wide`` bits are added up side by side."""
+    lanes = F.lit(sum(1 << k for k in range(0, 64, wide)))
+    apart = sum(1 << k for k in range(0, 64, 2 * wide))
 
+    def bits_of(j: int, half: Column) -> Column:
+        """Every ``wide``-th bit, from bit ``j``."""
 
-def _bits() -> Column:
-    """The majority of each bit, from sums of two bits each."""
-    total = F.lit(0).cast("long")
-    for j in range(32):
-        low = 2 * F.col(f"s{j}").bitwiseAND(F.lit((1 << 32) - 1)) > F.col("n")
-        high = 2 * F.shiftrightunsigned(f"s{j}", 32) > F.col("n")
-        for more, bit in ((low, j), (high, j + 32)):
-            value = 1 << bit if bit < 63 else -(1 << 63)
-            total = total.bitwiseOR(F.when(more, F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
-    return total
+        def tell(total: Column) -> Column:
+            told = F.lit(0).cast("long")
+            for shift in (0, wide):
+                # Every second count, with room for the carry that tells a majority.
+                count = F.shiftrightunsigned(total, shift).bitwiseAND(F.lit(apart * ((1 << wide) - 1)))
+                more = (count + half).bitwiseAND(F.lit(apart << wide - 1))
+                told = told.bitwiseOR(F.shiftleft(F.shiftrightunsigned(more, wide - 1 - j), shift))
+            return told
 
+        return F.aggregate(codes, F.lit(0).cast("long"), lambda total, h: total + F.shiftrightunsigned(h, j).bitwiseAND(lanes), tell)
 
-def fingerprints(lines: DataFrame) -> DataFrame:
-    """``raw, node, length, bits, first_id, times`` of every distinct line.
+    half = (F.lit((1 << wide - 1) - 1) - F.floor(n / 2)) * F.lit(apart)
+    return let(half, lambda each: reduce(Column.bitwiseOR, [bits_of(j, each) for j in range(wide)]))
 
-    Words become rows, and the bits of their hashes are added up, two to a sum,
-    partition by partition: those sums stay within 32 bits, and each partition
-    that has a line gets the same majority.
-    """
+
+def _bits(words: Column) -> Column:
+    """The majority of each bit of the words' hashes, for any number of them."""
+
+    def told(codes: Column) -> Column:
+        n = F.size(codes)
+        few = F.when(n < 1 << 7, _majority(codes, n, 8)).when(n < 1 << 15, _majority(codes, n, 16))
+        return few.otherwise(_majority(codes, n, 32))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), told)
+
+
+def fingerprints(lines: DataFrame) -> DataFrame:
+    """``raw, node, length, bits, first_id, times`` of every distinct line."""
     plain = lines.select("id", "raw", normal(F.col("line")).alias("plain"))
-    words = plain.select(
-        "id", "raw", F.xxhash64("plain").alias("node"), F.length("plain").alias("length"), F.posexplode(features(F.col("plain"))).alias("at", "word")
-    )
-    h = words.withColumn("h", F.xxhash64("word")).withColumn("part", F.spark_partition_id())
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_HALF))).alias(f"s{j}") for j in range(32)]
-    each = h.groupBy("part", "raw", "node", "length").agg(
-        F.min("id").alias("first_id"), F.sum((F.col("at") == 0).cast("long")).alias("times"), F.count("*").alias("n"), *sums
+    told = plain.select(
+        "id", "raw", F.xxhash64("plain").alias("node"), F.length("plain").alias("length"), let(features(F.col("plain")), _bits).alias("bits")
     )
-    told = each.select("raw", "node", "length", "first_id", "times", _bits().alias("bits"))
-    return told.groupBy("raw", "node", "length", "bits").agg(F.min("first_id").alias("first_id"), F.sum("times").alias("times"))
+    return told.groupBy("raw", "node", "length", "bits").agg(F.min("id").alias("first_id"), F.count("*").alias("times"))
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
@@ -183,15 +194,58 @@ def _texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return part_files(found.select("num", normal(F.col("line")).alias("plain")), "plain")
 
 
+def _at_most(x: Column, y: Column, most: Column) -> Column:
+    """Edits by which ``x`` becomes ``y``, word by word: never fewer than the
+    edit distance. Words are paired in order; one that stands next in the other
+    text is waited for. It ends, with more than ``most``, once there are so many."""
+
+    def edits(a: Column, b: Column) -> Column:
+        def state(at: Column, cost: Column) -> Column:
+            return F.struct(at.alias("at"), cost.alias("cost"))
+
+        def step(s: Column, k: Column) -> Column:
+            at, cost = s["at"], s["cost"]
+            w, v = F.get(a, k), F.get(b, at)
+            longest = F.greatest(F.length(w), F.length(v))
+            other = F.when(longest <= LONG_WORD, F.levenshtein(w, v)).otherwise(longest)
+            return (
+                F.when(cost > most, s)
+                .when(w == v, state(at + 1, cost))
+                .when(v.isNull() | (F.get(a, k + 1) == v), state(at, cost + F.length(w) + 1))
+                .when(F.get(b, at + 1) == w, state(at + 2, cost + F.length(v) + 1))
+                .otherwise(state(at + 1, cost + other))
+            )
+
+        def end(s: Column) -> Column:
+            rest = F.slice(b, s["at"] + 1, F.greatest(F.size(b) - s["at"], F.lit(0)))
+            return F.when(s["cost"] > most, s["cost"]).otherwise(F.aggregate(rest, s["cost"], lambda n, w: n + F.length(w) + 1))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), state(F.lit(0), F.lit(0)), step, end)
+
+    return let(F.split(x, " "), lambda a: let(F.split(y, " "), lambda b: edits(a, b)))
+
+
+def _at_least(x: Column, y: Column) -> Column:
+    """Edits without which ``x`` cannot become ``y``: one for each of its pieces
+    side by side that is nowhere in ``y``."""
+    pieces = F.regexp_extract_all(x, F.lit("(.{%d})" % PIECE), F.lit(1))
+    return F.size(F.filter(pieces, lambda p: ~F.contains(y, p)))
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """``a, b`` of pairs that have the same numbers and are similar enough."""
     ends = pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct()
     texts = _texts_of(lines, nodes.select("num", "raw").join(ends, "num"))
     near = pairs.join(texts.select(F.col("num").alias("a"), F.col("plain").alias("x")), "a")
     near = near.join(texts.select(F.col("num").alias("b"), F.col("plain").alias("y")), "b")
-    most = f"cast(floor(greatest(length(x), length(y)) * {100 - PERCENT} / 100) as int)"
-    near = near.where(numbers(F.col("x")) == numbers(F.col("y")))
-    return near.where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b")
+    # Texts are dealt anew: few long ones take most of the time.
+    near = near.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x, y = F.col("x"), F.col("y")
+    most = F.floor(F.greatest(F.length(x), F.length(y)) * (100 - PERCENT) / 100).cast("int")
+    # Two bounds, in time with the length, spare most pairs the exact distance.
+    exact = F.expr(f"levenshtein(x, y, cast(floor(greatest(length(x), length(y)) * {100 - PERCENT} / 100) as int)) >= 0")
+    near = near.where(numbers(x) == numbers(y))
+    return near.where((_at_most(x, y, most) <= most) | ((_at_least(x, y) <= most) & exact)).select("a", "b")
 
 
 def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:

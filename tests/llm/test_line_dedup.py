@@ -216,3 +216,48 @@ def test_shuffles_go_with_their_query(spark):
     with clean_shuffles(spark):
         assert spark.conf.get(name) == "true"
     assert spark.conf.get(name, None) == before
+
+
+def test_fingerprints_of_any_number_of_words(spark):
+    draw = random.Random(8)
+    rows = [(n, " ".join(f"w{draw.randrange(10**7)}" for _ in range(n))) for n in (1, 2, 126, 127, 128, 129, 255, 256, 3000, 40_000)]
+    rows += [(n + 1, "same words " * n) for n in (2, 300)]
+    lines = spark.createDataFrame(rows, "id long, line string").withColumn("raw", F.xxhash64("line"))
+    wanted = {i: x - (1 << 64) if (x := bits(plain(t))) >> 63 else x for i, t in rows}
+    assert {r["first_id"]: r["bits"] for r in d.fingerprints(lines).collect()} == wanted
+
+
+def _edited(draw, words):
+    """Words with some changed, left out, put in, or in other places."""
+    out = list(words)
+    for _ in range(draw.randrange(1 + len(words) // 3)):
+        at = draw.randrange(len(out))
+        kind = draw.randrange(4)
+        if kind == 0:
+            out[at] = draw.choice(words)
+        elif kind == 1 and len(out) > 1:
+            del out[at]
+        elif kind == 2:
+            out.insert(at, draw.choice(["ab", "c", "x" * 40, "\u00e9t\u00e9"]))
+        else:
+            out[at:at + 2] = out[at:at + 2][::-1]
+    return out
+
+
+def test_bounds_of_the_edit_distance(spark):
+    """Neither bound is on the wrong side, and the upper one is close enough to
+    spare the distance of two near copies."""
+    draw = random.Random(9)
+    rows = []
+    for k in range(400):
+        words = ["".join(draw.choice("abcd") for _ in range(draw.randrange(1, 9))) for _ in range(draw.randrange(1, 25))]
+        rows.append((k, " ".join(words), " ".join(_edited(draw, words if k % 5 else words[::-1]))))
+    # A word of many goes, another comes and two change places.
+    words = [f"word{k}" for k in range(60)]
+    near = words[:10] + words[11:30] + ["new"] + [words[31], words[30]] + words[32:]
+    rows.append((1000, " ".join(words), " ".join(near)))
+    far = spark.createDataFrame(rows, "k long, x string, y string")
+    cases = far.select("k", F.levenshtein("x", "y").alias("e"), d._at_most(F.col("x"), F.col("y"), F.lit(10**6)).alias("most"), d._at_least(F.col("x"), F.col("y")).alias("least"))
+    for k, e, most, least in cases.collect():
+        assert least <= e <= most, rows[min(k, 400)]
+        assert k < 1000 or most < 0.1 * len(rows[400][1])
