@@ -25,6 +25,9 @@ from lanternrank.llm.shared import over_slices
 # longest that it remembers.
 REMEMBERED = 200_000
 LONGEST = 64
+# Characters of texts that are cut at once, one text at least: their pre-tokens
+# take many times the memory of the texts.
+TOGETHER = 1 << 17
 
 # Letters and digits of Unicode 16 that the Python version's own
 # tables may lack, as first and last code points.
@@ -166,6 +169,16 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as bytes of 32-bit integers."""
+        out: list[bytes] = []
+        start = size = 0
+        for k, text in enumerate(texts):
+            if size and size + len(text) > TOGETHER:
+                out += self._encode(texts[start:k])
+                start, size = k, 0
+            size += len(text)
+        return out + self._encode(texts[start:])
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.find(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -91,3 +92,18 @@ def test_query(spark, tables, reference):
         assert r.n_tokens == len(want)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_many_texts_are_cut_a_few_at_a_time(coder, monkeypatch):
+    """What cutting takes in memory goes with a few texts, not with all of a slice."""
+    texts = ["", *(" ".join(f"w{(k * j) % 97}" for j in range(900)) for k in range(300)), "", "last"]
+    coder(texts)
+    tracemalloc.start()
+    found = coder(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000  # 29 MB if all are cut at once
+    assert found == [coder([t])[0] for t in texts]
+    monkeypatch.setattr(bpe, "TOGETHER", 10)
+    assert coder(texts) == found
+    assert coder([]) == []
