@@ -9,12 +9,15 @@ linked. Of each connected group the first line stays.
 Equal lines are one node. First, nodes meet the leader of a longer block, which
 connects the copies of a line. Then, at the keys of two blocks, only those
 outside the group of a key's leader meet the others, and only nodes of different
-groups are paired.
+groups are paired, at the first key they share. Counts of letters rule most pairs
+out, and bounds decide most of the others; the exact edit distance is left for what
+those have not connected.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations, product
 
@@ -35,6 +38,10 @@ PERCENT = 90
 LONG_WORD, GRAM = 24, 3
 # Characters of a piece by which texts are told to be far apart.
 PIECE = 5
+# Characters that are counted, each for itself, for the same; all others as one.
+COUNTED, COUNTS = " etaoinsrhldcum", ("counts", "counts_2")
+# Pairs left open by the bounds that are compared whether they are connected or not.
+AT_ONCE = 1 << 12
 # Width of a band of lengths, in the logarithm; it only cuts the lists of keys.
 BAND = 0.6
 # Lines that hold more than one in so many rows are told to all tasks.
@@ -161,9 +168,15 @@ def _between_groups(nodes: DataFrame) -> DataFrame:
     """Candidates ``a, b`` of different groups that agree on two blocks.
 
     The keys come in turns, so that the disk holds the rows of few keys at a time.
+    A pair is found in one of them only.
     """
-    found = [part_files(_meeting(nodes, turn), "meeting") for turn in range(TURNS)]
-    return reduce(DataFrame.union, found).distinct()
+    return reduce(DataFrame.union, [part_files(_meeting(nodes, turn), "meeting") for turn in range(TURNS)])
+
+
+def _first_key(apart: Column) -> Column:
+    """The number of the first two blocks that do not differ, of ``_keyed``."""
+    same = [F.shiftrightunsigned(apart, 64 // BLOCKS * k).bitwiseAND(F.lit((1 << 64 // BLOCKS) - 1)) == 0 for k in range(BLOCKS)]
+    return F.coalesce(*[F.when(same[i] & same[j], F.lit(n)) for n, (i, j) in enumerate(combinations(range(BLOCKS), CHOSEN))])
 
 
 def _meeting(nodes: DataFrame, turn: int) -> DataFrame:
@@ -174,11 +187,36 @@ def _meeting(nodes: DataFrame, turn: int) -> DataFrame:
     # Two that are outside meet once; one outside and one of the main group, too.
     pairs = outside.join(other, "key").where((F.col("group") != F.col("group_b")) & _close("_b"))
     pairs = pairs.where((F.col("num") < F.col("num_b")) | (F.col("group_b") == F.col("main")))
+    apart = F.col("bits").bitwiseXOR(F.col("bits_b"))
+    pairs = pairs.where(F.shiftrightunsigned("key", 6 + CHOSEN * 64 // BLOCKS) == _first_key(apart))
+    # Only the band may still tell one pair twice.
     return pairs.select(F.greatest("num", "num_b").alias("a"), F.least("num", "num_b").alias("b")).distinct()
 
 
+def _counts(plain: Column) -> list[Column]:
+    """Two numbers that hold how often each of COUNTED, and what else, is in a
+    normalised line: eight bits for each, 255 for more."""
+    size = F.octet_length(plain)
+    each = [size - F.octet_length(F.replace(plain, F.lit(c), F.lit(""))) for c in COUNTED]
+    each.append(F.length(plain) - reduce(Column.__add__, each))
+    lanes = [F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * (k % 8)) for k, n in enumerate(each)]
+    return [reduce(Column.bitwiseOR, lanes[:8]), reduce(Column.bitwiseOR, lanes[8:])]
+
+
+def _moved(some: list[tuple[Column, Column]]) -> tuple[Column, Column]:
+    """How many characters the first of two lines has beyond the second, by
+    ``_counts``, and the second beyond the first: edits that are needed."""
+    more, less = [], []
+    for x, y in some:
+        for k in range(8):
+            n = [F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255)) for c in (x, y)]
+            more.append(F.greatest(n[0] - n[1], F.lit(0)))
+            less.append(F.greatest(n[1] - n[0], F.lit(0)))
+    return reduce(Column.__add__, more), reduce(Column.__add__, less)
+
+
 def _texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``num, plain`` of the wanted nodes, ``num, raw``.
+    """``num, plain, counts, counts_2`` of the wanted nodes, ``num, raw``.
 
     A bitmap of fixed size, one bit for each hash, spares the shuffle of most
     other lines; the join is exact.
@@ -191,7 +229,31 @@ def _texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     table = words.agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("x")).select("x.b").scalar()
     seen = F.getbit(F.element_at(table, (F.shiftright(cell, 6) + 1).cast("int")), F.pmod(cell, F.lit(64)).cast("int")) == 1
     found = lines.select("raw", "line").where(seen).join(wanted, "raw").groupBy("num", "line").agg(F.count("*"))
-    return part_files(found.select("num", normal(F.col("line")).alias("plain")), "plain")
+    found = found.select("num", normal(F.col("line")).alias("plain"))
+    return part_files(found.select("num", "plain", *[c.alias(n) for c, n in zip(_counts(F.col("plain")), COUNTS)]), "plain")
+
+
+def _middles(x: Column, y: Column) -> Column:
+    """``x, y`` without the words that both begin and both end with, each word
+    left with the space before it: as many edits apart as the whole lines."""
+
+    def equal(a: Column, b: Column) -> Column:
+        """Words that are equal up to the first two that are not."""
+        at = F.array_position(F.zip_with(a, b, lambda v, w: v.eqNullSafe(w)), False).cast("int")
+        return F.when(at > 0, at - 1).otherwise(F.size(a))
+
+    def text(words: Column, n: Column) -> Column:
+        return F.array_join(F.transform(F.slice(words, F.lit(1), F.size(words) - n), lambda w: F.concat(F.lit(" "), w)), "")
+
+    def without_head(a: Column, b: Column, n: Column) -> Column:
+        return F.array(*[F.slice(c, n + 1, F.size(c) - n) for c in (a, b)])
+
+    def both(words: Column) -> Column:
+        a, b = words[0], words[1]
+        return let(equal(F.reverse(a), F.reverse(b)), lambda n: F.struct(text(a, n).alias("x"), text(b, n).alias("y")))
+
+    words = F.array(F.split(x, " "), F.split(y, " "))
+    return let(words, lambda w: let(let(equal(w[0], w[1]), lambda n: without_head(w[0], w[1], n)), both))
 
 
 def _at_most(x: Column, y: Column, most: Column) -> Column:
@@ -232,20 +294,61 @@ def _at_least(x: Column, y: Column) -> Column:
     return F.size(F.filter(pieces, lambda p: ~F.contains(y, p)))
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """``a, b`` of pairs that have the same numbers and are similar enough."""
-    ends = pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct()
-    texts = _texts_of(lines, nodes.select("num", "raw").join(ends, "num"))
-    near = pairs.join(texts.select(F.col("num").alias("a"), F.col("plain").alias("x")), "a")
+def _most(longer: Column) -> Column:
+    """Edits that the longer line may have."""
+    return F.floor(longer * (100 - PERCENT) / 100).cast("int")
+
+
+def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs that counts of letters do not rule out."""
+    told = texts.select("num", F.length("plain").alias("length"), *COUNTS)
+    for end in ("a", "b"):
+        pairs = pairs.join(told.select([F.col(c).alias(end if c == "num" else f"{c}_{end}") for c in told.columns]), end)
+    more, less = _moved([(F.col(f"{c}_a"), F.col(f"{c}_b")) for c in COUNTS])
+    return pairs.where(F.greatest(more, less) <= _most(F.greatest("length_a", "length_b"))).drop(
+        *[f"{c}_{end}" for c in ("length", *COUNTS) for end in ("a", "b")]
+    )
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, told: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """``a, b, sure``: of pairs of the same numbers what is ``told`` by their
+    ``_middles`` and the edits they may have, NULL of others. To be written before
+    rows are chosen by it: what chooses rows is told once more."""
+    near = pairs.select("a", "b").join(texts.select(F.col("num").alias("a"), F.col("plain").alias("x")), "a")
     near = near.join(texts.select(F.col("num").alias("b"), F.col("plain").alias("y")), "b")
-    # Texts are dealt anew: few long ones take most of the time.
-    near = near.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     x, y = F.col("x"), F.col("y")
-    most = F.floor(F.greatest(F.length(x), F.length(y)) * (100 - PERCENT) / 100).cast("int")
-    # Two bounds, in time with the length, spare most pairs the exact distance.
-    exact = F.expr(f"levenshtein(x, y, cast(floor(greatest(length(x), length(y)) * {100 - PERCENT} / 100) as int)) >= 0")
-    near = near.where(numbers(x) == numbers(y))
-    return near.where((_at_most(x, y, most) <= most) | ((_at_least(x, y) <= most) & exact)).select("a", "b")
+    pair = F.struct(_middles(x, y).alias("of"), _most(F.greatest(F.length(x), F.length(y))).alias("most"))
+    sure = let(pair, lambda p: told(p["of"]["x"], p["of"]["y"], p["most"]))
+    return near.select("a", "b", F.when(numbers(x) == numbers(y), sure).alias("sure"))
+
+
+def _by_bounds(pairs: DataFrame, nodes: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b, sure`` of pairs that may be similar, and those that are for sure;
+    and the texts. Two bounds, in time with the length, spare many the exact distance."""
+    ends = pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct()
+    texts = _texts_of(lines, nodes.select("num", "raw").join(ends, "num"))
+    told = _compared(_possible(pairs, texts), texts, lambda x, y, most: F.when(_at_least(x, y) <= most, _at_most(x, y, most) <= most))
+    return part_files(told, "bounds").where("sure is not null"), texts
+
+
+def _exact(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b`` of pairs within the edits they may have."""
+    told = _compared(pairs, texts, lambda x, y, most: F.call_function("levenshtein", x, y, most) >= 0)
+    return part_files(told, "exact").where("sure").select("a", "b")
+
+
+def _joining(pairs: DataFrame, known: DataFrame, nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """Of the similar pairs of ``pairs`` enough, ``a, b``, to connect all that they
+    and the links ``known`` connect."""
+    told, texts = _by_bounds(pairs, nodes, lines)
+    found, rest = told.where("sure").select("a", "b"), told.where("not sure").select("a", "b")
+    if rest.count() > AT_ONCE:
+        # Whatever is in one group by now needs no comparison.
+        group = part_files(connected(known.union(found)), "groups")
+        for end in ("a", "b"):
+            rest = rest.join(group.select(F.col("node").alias(end), F.col("component").alias(f"group_{end}")), end, "left")
+        rest = rest.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b"))
+    return found.union(_exact(rest, texts))
 
 
 def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -263,9 +366,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Shorter lines have no edit to spare.
     some = nodes.where(F.col("length") * (100 - PERCENT) >= 100)
     star = part_files(_to_leader(some), "star")
-    first = part_files(_linked(star, nodes, lines), "links")
+    # What the bounds leave open meets again below, as a pair of two groups.
+    first = _by_bounds(star, nodes, lines)[0].where("sure").select("a", "b")
     pairs = part_files(_between_groups(part_files(_grouped(some, first), "grouped")), "pairs")
-    links = first.union(part_files(_linked(pairs, nodes, lines), "more"))
+    links = first.union(_joining(pairs, first, nodes, lines))
 
     groups = _grouped(nodes, links).select("node", "length", "group")
     named = part_files(each.join(groups, ["node", "length"]).select("raw", "group", "first_id", "times"), "named")

@@ -261,3 +261,76 @@ def test_bounds_of_the_edit_distance(spark):
     for k, e, most, least in cases.collect():
         assert least <= e <= most, rows[min(k, 400)]
         assert k < 1000 or most < 0.1 * len(rows[400][1])
+
+
+def test_counts_rule_out_no_similar_pair(spark):
+    """What letters have moved is never more than the edits, however many there are."""
+    draw = random.Random(11)
+    rows = []
+    for k in range(300):
+        x = "".join(draw.choice("eta oinzq\u00e9\u77ed") for _ in range(draw.randrange(1, 60)))
+        rows.append((k, x, edited(draw, x, draw.randrange(12)) if k % 3 else x[::-1]))
+    rows += [(300, "e" * 300, "e" * 400), (301, "z" * 300, "e" * 300), (302, "z" * 3, "e" * 4)]
+    df = spark.createDataFrame(rows, "k long, x string, y string")
+    some = df.select("k", F.levenshtein("x", "y").alias("e"), *[c.alias(f"{n}{k}") for k in (0, 1) for n, c in zip("xy", [d._counts(F.col(c))[k] for c in "xy"])])
+    more, less = d._moved([(F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1"))])
+    told = {r.k: (r.e, r.more, r.less) for r in some.select("k", "e", more.alias("more"), less.alias("less")).collect()}
+    assert all(max(m, n) <= e for e, m, n in told.values())
+    assert told[300][1:] == (0, 0) and told[301][1:] == (255, 255) and told[302][1:] == (3, 4)
+
+
+def test_a_pair_is_found_at_one_key(spark):
+    """Two that differ in few bits share many keys; one turn finds them."""
+    base = 0x9E3779B97F4A7C15 % (1 << 63)
+    rows = [(k, 50 + k % 2, base ^ (1 << 9 * k % 63), k) for k in range(12)]
+    nodes = spark.createDataFrame(rows, "num long, length int, bits long, group long")
+    turns = [(r.a, r.b) for k in range(d.TURNS) for r in d._meeting(nodes, k).collect()]
+    assert sorted(turns) == [(a, b) for a in range(12) for b in range(a)]
+    assert sorted(map(tuple, d._between_groups(nodes).collect())) == sorted(turns)
+
+
+def test_what_is_connected_is_not_compared(spark, monkeypatch):
+    """Near copies of one line: the exact distance is left for what no bound connects."""
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdefgh", k=6)) for _ in range(60)]
+    texts = [" ".join(words[:k] + ["newer"] * 5 + words[k + 5:]) for k in range(40)]
+    # Rows of a word torn apart: similar, but not by the words' bound.
+    texts += [" ".join(words), " ".join(words)[::-1], " ".join(f"{w[:3]} {w[3:]}" if k % 12 == 0 else w for k, w in enumerate(words[::-1]))]
+    texts += [" ".join(words[::-1])]
+    lines = d.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    nodes = d.fingerprints(lines).withColumn("num", F.col("first_id"))
+    pairs = spark.createDataFrame([(a, b) for a in range(len(texts)) for b in range(a)], "a long, b long")
+    compared = []
+
+    def exact_of(some, held, old=d._exact):
+        compared.append(sorted((r.a, r.b) for r in some.collect()))
+        return old(some, held)
+
+    monkeypatch.setattr(d, "_exact", exact_of)
+    every = None
+    for bound in (10**6, 0):
+        monkeypatch.setattr(d, "AT_ONCE", bound)
+        links = d._joining(pairs, spark.createDataFrame([], "a long, b long"), nodes, lines)
+        groups = sorted((r.node, r.component) for r in d.connected(links).collect())
+        every = every or groups
+        assert groups == every and len(groups) == 43
+    assert len(compared[1]) < len(compared[0])
+
+
+def test_kept_lines_in_two_rounds(spark, monkeypatch):
+    monkeypatch.setattr(d, "AT_ONCE", 0)
+    rows = corpus(12)
+    got = d.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.text for r in got} == brute(rows)
+
+
+def test_middles_are_as_far_apart(spark):
+    draw = random.Random(6)
+    rows = [("a b c", "a b c"), ("a b", "a x b"), ("a b", "b"), ("a", "a a"), ("a a a", "a a"), ("b a", "a b"), ("x", "y"), ("\u00e9 b c", "\u00e9 d c")]
+    for _ in range(200):
+        x = draw.choices(["a", "bb", "c", "dd", "\u77ed\u3044"], k=draw.randrange(1, 12))
+        rows.append((" ".join(x), " ".join(_edited(draw, x))))
+    df = spark.createDataFrame(rows, "x string, y string").withColumn("m", d._middles(F.col("x"), F.col("y")))
+    got = df.select("x", "y", F.levenshtein("x", "y").alias("e"), F.levenshtein("m.x", "m.y").alias("of"), "m").collect()
+    assert all(r.e == r.of for r in got), [r for r in got if r.e != r.of]
+    assert tuple(got[0].m) == ("", "") and tuple(got[1].m) == ("", " x") and tuple(got[7].m) == (" b", " d")
