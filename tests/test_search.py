@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -157,3 +158,27 @@ def test_top_k_kernel_over_any_batches(seed, k, n, step):
         for i, order in zip(q[0], brute.orders(q[2], p[2], p[0]))
     }
     assert got == want
+
+
+@pytest.mark.parametrize("dim", [4, 64])
+def test_best_match_of_hot_keys(monkeypatch, dim):
+    """Few keys of many rows: scored in tiles, with the same answers, ties by id,
+    and without a row for each pair."""
+    q, p = items(300, 21, dim, keys=3), items(900, 22, dim, keys=3)
+    monkeypatch.setattr(kernels, "_COLUMNS", 128)
+    monkeypatch.setattr(kernels, "_MANY_PAIRS", 64)
+    singly = []
+    monkeypatch.setattr(kernels.BestMatch, "_score", lambda self, codes, *rest: singly.append(len(codes)))
+    kernel = kernels.BestMatch()
+    kernel.start(pa.table({"grp": [""] * 300, "id": q[0], "key": q[1], "embedding": list(q[2])}))
+    table = pa.table({"id": p[0], "key": p[1], "embedding": list(p[2])})
+    for batch in table.to_batches(max_chunksize=300):
+        kernel.feed(batch)
+    got = pa.Table.from_batches(list(kernel.finish())).to_pylist()
+    score = brute.ticks(q[2], p[2])
+    want = {}
+    for n, order in enumerate(brute.orders(q[2], p[2], p[0])):
+        at = next(at for at in order if p[1][at] == q[1][n])
+        want[int(q[0][n])] = (int(p[0][at]), int(score[n, at]))
+    assert {r["query_id"]: (r["gold_id"], r["gold_ticks"]) for r in got} == want
+    assert sum(singly) == 0
