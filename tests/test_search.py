@@ -182,3 +182,21 @@ def test_best_match_of_hot_keys(monkeypatch, dim):
         want[int(q[0][n])] = (int(p[0][at]), int(score[n, at]))
     assert {r["query_id"]: (r["gold_id"], r["gold_ticks"]) for r in got} == want
     assert sum(singly) == 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 40])
+def test_counting_looks_at_few_or_at_all(monkeypatch, few):
+    """Both ways of a tile count what is ahead; only near ones are looked at again."""
+    monkeypatch.setattr(kernels, "_FEW_AHEAD", few)
+    q, p = items(120, 23, 16), items(700, 24, 16)
+    score = brute.ticks(q[2], p[2])
+    orders = brute.orders(q[2], p[2], p[0])
+    gold = [order[n * 5] for n, order in enumerate(orders)]
+    kernel = kernels.CountAhead()
+    kernel.start(pa.table({
+        "grp": [""] * 120, "id": q[0], "embedding": list(q[2]),
+        "gold_ticks": [int(score[n, at]) for n, at in enumerate(gold)], "gold_id": [int(p[0][at]) for at in gold],
+    }))
+    for batch in pa.table({"id": p[0], "embedding": list(p[2])}).to_batches(max_chunksize=256):
+        kernel.feed(batch)
+    assert kernel.ahead.tolist() == [n * 5 for n in range(120)]
